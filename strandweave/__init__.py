@@ -1,3 +1,26 @@
 """A PySpark-native engine that reads, corrects, translates and splits barcoded sequencing reads."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 __version__ = "0.1.0"
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends this package to the executors, once for each application, so that Python workers can import it wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(), "strandweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
