@@ -30,6 +30,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The same rows, computed once. Later filters and projections are not merged into the columns' expressions, which would compute costly ones again for every use; nor are columns pruned."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def blank_trimmed(c: Column) -> Column:
     """Without outer blanks and tabs."""
     return F.btrim(c, F.lit(" \t"))
