@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.sequence import deletions, edit_distance
-from .common import broadcast_if_small
+from .common import broadcast_if_small, durable
 from .counts import knee_rank, rank_counts
 
 #: Largest dictionary that is compared with every sequence; a larger one is joined by deletion neighbourhoods.
@@ -47,7 +47,7 @@ def nearest(raws: DataFrame, dictionary: DataFrame, distance: int = 1, metric: s
 
 def allowlist_map(counts: DataFrame, allowlist: DataFrame, distance: int = 1, metric: str = "osa", least: int = 1) -> DataFrame:
     """(raw, clean): M2A, mapping to an allowlist (column seq). Sequences below `least` reads or too far from all are not in the map. `counts`: seq, n; null is no sequence."""
-    kept = counts.where(F.col("seq").isNotNull() & (F.col("n") >= least)).select(F.col("seq").alias("raw"))
+    kept = durable(counts.where(F.col("seq").isNotNull() & (F.col("n") >= least)).select(F.col("seq").alias("raw")))  # used by several jobs
     terms = allowlist.select(F.col("seq").alias("term"), F.lit(0).cast("bigint").alias("weight")).where("term is not null")
     return nearest(kept, terms, distance, metric).select("raw", "clean")
 
@@ -65,8 +65,9 @@ def majority(counts: DataFrame, rank: int | str = "auto", least: int = 1, sensit
 
 def majority_map(counts: DataFrame, rank: int | str = "auto", distance: int = 1, metric: str = "osa", least: int = 1) -> DataFrame:
     """(raw, clean): I2M, imputation to the majority. A majority sequence stays itself, another goes to the closest of the majority (of equals the one with more reads), or is not in the map."""
+    counts = durable(counts.select("seq", "n"))  # used by several jobs
     kept = counts.where(F.col("seq").isNotNull() & (F.col("n") >= least)).select(F.col("seq").alias("raw"))
-    top = majority(counts, rank, least).select(F.col("seq").alias("term"), F.col("n").alias("weight"))
+    top = durable(majority(counts, rank, least).select(F.col("seq").alias("term"), F.col("n").alias("weight")))
     return nearest(kept, top, distance, metric).select("raw", "clean")
 
 
@@ -77,7 +78,7 @@ def chained_map(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def majority_allowlist_map(counts: DataFrame, allowlist: DataFrame, rank: int | str = "auto", distance: int = 1, allow_distance: int = 1, metric: str = "osa", least: int = 1) -> DataFrame:
     """(raw, clean): I2M, then M2A of the majority; a minority sequence follows its majority sequence."""
-    to_major = majority_map(counts, rank, distance, metric, least)
+    to_major = durable(majority_map(counts, rank, distance, metric, least))
     major = to_major.select(F.col("clean").alias("raw")).distinct()
     terms = allowlist.select(F.col("seq").alias("term"), F.lit(0).cast("bigint").alias("weight")).where("term is not null")
     return chained_map(to_major, nearest(major, terms, allow_distance, metric))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 
 def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(x0, x1, y0, y1, n) of a set of points."""
@@ -49,6 +51,7 @@ def nearest_spot(beads: DataFrame, spots: DataFrame, cell: float, bead: str = "b
         at = left.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
         best = at.join(spread, ["cx", "cy"], "left").groupBy(bead, "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d2.alias("dist2"), F.col(spot)))).alias("m"))
         sure = F.col("m").isNotNull() if last else F.col("m.dist2") <= (side * rings) ** 2
+        best = durable(best)  # else each round would run those before it again
         now = best.where(F.coalesce(sure, F.lit(False))).select(bead, F.col(f"m.{spot}").alias(spot), F.col("m.dist2").alias("dist2"))
         found = now if found is None else found.unionByName(now)
         if last:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config.parser import analyse
 from ..functions.sequence import mean_quality_code, quality_ok
 from ..operators import assign, correct, counts, demux, merge_pairs, spatial, translate, tree, wells
-from ..operators.common import once, table
+from ..operators.common import broadcast_if_small, once, table
 from ..operators.proximity import located
 from ..operators.segment import extract_segments
 from ..plans.engine import Pipeline
@@ -34,12 +34,16 @@ def barcode(supplier: str) -> Column:
 
 def synthetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(header, seq, qual, cb, umi, raw, l_linenumber, sample): a read of each lineitem; raw is its barcode with a planted error."""
+    part = F.col("p_partkey").cast("string")
+    # Bases are made once for each supplier and part, not for each of their lines.
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), barcode("s_suppkey").alias("cb"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring(dna(F.concat(F.lit("u"), part)), 1, 6).alias("umi"), F.substring(dna(F.concat(F.lit("c"), part)), 1, 20).alias("insert"))
     k = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     r = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_suppkey", "l_partkey", k.alias("k"), F.col("l_returnflag").alias("sample"))
-    r = r.withColumns({"cb": barcode("l_suppkey"), "umi": F.substring(dna(F.concat(F.lit("u"), F.col("l_partkey").cast("string"))), 1, 6), "insert": F.substring(dna(F.concat(F.lit("c"), F.col("k"))), 1, 20)})
+    r = r.join(broadcast_if_small(suppliers), "l_suppkey").join(broadcast_if_small(parts), "l_partkey").withColumn("q", quality(F.col("k")))
     cb, n = F.col("cb"), F.col("l_linenumber")
     raw = F.when(n == 1, F.concat(F.lit("A"), F.substring(cb, 2, 9))).when(n == 2, F.substring(cb, 2, 9)).when(n == 3, F.concat(cb, F.lit("T"))).when(n == 4, F.concat(F.substring(cb, 2, 1), F.substring(cb, 1, 1), F.substring(cb, 3, 9))).otherwise(cb)
-    qual = F.substring(F.concat(quality(F.concat(F.lit("q"), F.col("k"))), quality(F.concat(F.lit("r"), F.col("k")))), 1, 34)
+    qual = F.concat("q", F.substring("q", 1, 2))
     return r.select(F.concat(F.lit("@L"), F.col("k")).alias("header"), F.concat("cb", "umi", "insert").alias("seq"), qual.alias("qual"), "cb", "umi", raw.alias("raw"), "l_linenumber", "sample")
 
 
@@ -255,17 +259,17 @@ def well_384(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot"), (k * 37 % 101 * 16.0).alias("x"), (k * 53 % 103 * 16.0).alias("y"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot"), (k * 37 % 101 * 3072.0).alias("x"), (k * 53 % 103 * 128.0).alias("y"))
 
 
 def nearest_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     beads = table(spark, sf_dir, "s_loc").where(located(F.col("x"), F.col("y"))).select(F.concat_ws("/", "puck", "barcode").alias("bead"), "x", "y").distinct()
-    return spatial.nearest_spot(beads, _spots(spark, sf_dir), 64.0).groupBy("bead").agg(F.min(F.struct("dist2", "spot")).alias("m")).select("bead", "m.spot", "m.dist2")
+    return spatial.nearest_spot(beads, _spots(spark, sf_dir), 2048.0).groupBy("bead").agg(F.min(F.struct("dist2", "spot")).alias("m")).select("bead", "m.spot", "m.dist2")
 
 
 def spatial_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spots aligned to their lower left corner, scaled by two, and counted by tile."""
-    t = spatial.tiled(spatial.aligned(_spots(spark, sf_dir), 2.0), 512.0, 512.0)
+    t = spatial.tiled(spatial.aligned(_spots(spark, sf_dir), 2.0), 65536.0, 4096.0)
     return t.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("y").alias("y1"))
 
 
@@ -357,7 +361,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 _DNA = lambda x: f"translate(md5({x}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _QUAL = lambda x: f"translate(md5({x}), '0123456789abcdef', '#+5:?DFGHIIIJJJI')"
 _READS = f"""k AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, substr({_DNA('CAST(l_suppkey AS VARCHAR)')}, 1, 8) AS cb, substr({_DNA("concat('u', l_partkey)")}, 1, 6) AS umi FROM lineitem),
-r AS (SELECT concat('@L', k) AS header, concat(cb, umi, substr({_DNA("concat('c', k)")}, 1, 20)) AS seq, substr(concat({_QUAL("concat('q', k)")}, {_QUAL("concat('r', k)")}), 1, 34) AS qual, cb, umi, l_linenumber, l_returnflag AS sample,
+r AS (SELECT concat('@L', k) AS header, concat(cb, umi, substr({_DNA("concat('c', l_partkey)")}, 1, 20)) AS seq, concat({_QUAL("k")}, substr({_QUAL("k")}, 1, 2)) AS qual, cb, umi, l_linenumber, l_returnflag AS sample,
   CASE l_linenumber WHEN 1 THEN concat('A', substr(cb, 2)) WHEN 2 THEN substr(cb, 2) WHEN 3 THEN concat(cb, 'T') WHEN 4 THEN concat(substr(cb, 2, 1), substr(cb, 1, 1), substr(cb, 3)) ELSE cb END AS raw FROM k)"""
 _SCORES = lambda q: f"list_transform(string_split({q}, ''), lambda c: unicode(c) - 33)"
 _OK = lambda q, least, mean: f"list_min({_SCORES(q)}) >= {least} AND list_sum({_SCORES(q)}) >= {mean} * length({q})"
@@ -432,11 +436,11 @@ FROM (SELECT * FROM b WHERE s = 'O') x FULL JOIN (SELECT * FROM b WHERE s = 'F')
 x AS (SELECT chr(CAST(64 + r * 2 - 1 + (CASE WHEN q >= 2 THEN 1 ELSE 0 END) AS INTEGER)) AS row, CAST(c * 2 - 1 + q % 2 AS INTEGER) AS col FROM w)
 SELECT row, col AS column, concat(row, lpad(CAST(col AS VARCHAR), 2, '0')) AS well, count(*) AS n FROM x GROUP BY row, col""",
     "nearest_spot": """WITH b AS (SELECT DISTINCT concat_ws('/', puck, barcode) AS bead, x, y FROM s_loc WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT (x = -9999 AND y = -9999)),
-s AS (SELECT s_suppkey AS spot, CAST(s_suppkey * 37 % 101 * 16 AS DOUBLE) AS sx, CAST(s_suppkey * 53 % 103 * 16 AS DOUBLE) AS sy FROM supplier),
+s AS (SELECT s_suppkey AS spot, CAST(s_suppkey * 37 % 101 * 3072 AS DOUBLE) AS sx, CAST(s_suppkey * 53 % 103 * 128 AS DOUBLE) AS sy FROM supplier),
 d AS (SELECT bead, min(struct_pack(d := (x - sx) * (x - sx) + (y - sy) * (y - sy), spot := spot)) AS m FROM b, s GROUP BY bead)
 SELECT bead, m.spot AS spot, m.d AS dist2 FROM d""",
-    "spatial_tiles": """WITH s AS (SELECT s_suppkey * 37 % 101 * 16.0::DOUBLE AS x, s_suppkey * 53 % 103 * 16.0::DOUBLE AS y FROM supplier), b AS (SELECT min(x) AS x0, min(y) AS y0 FROM s),
-a AS (SELECT (x - x0) * 2 AS x, (y - y0) * 2 AS y FROM s, b) SELECT CAST(floor(x / 512) AS BIGINT) AS tx, CAST(floor(y / 512) AS BIGINT) AS ty, count(*) AS n, min(x - floor(x / 512) * 512) AS x0, max(y - floor(y / 512) * 512) AS y1 FROM a GROUP BY 1, 2""",
+    "spatial_tiles": """WITH s AS (SELECT s_suppkey * 37 % 101 * 3072.0::DOUBLE AS x, s_suppkey * 53 % 103 * 128.0::DOUBLE AS y FROM supplier), b AS (SELECT min(x) AS x0, min(y) AS y0 FROM s),
+a AS (SELECT (x - x0) * 2 AS x, (y - y0) * 2 AS y FROM s, b) SELECT CAST(floor(x / 65536) AS BIGINT) AS tx, CAST(floor(y / 4096) AS BIGINT) AS ty, count(*) AS n, min(x - floor(x / 65536) * 65536) AS x0, max(y - floor(y / 4096) * 4096) AS y1 FROM a GROUP BY 1, 2""",
     "header_to_index": """WITH s AS (SELECT nullif(regexp_replace(string_split(header, ' ')[2], ':.*$', ''), '') AS seq FROM fastq_record) SELECT seq, repeat('?', length(seq)) AS qual, count(*) AS n FROM s GROUP BY seq""",
     "header_normal": r"SELECT DISTINCT read1_path, row_idx, regexp_split_to_array(header, '[ |\t]+')[1] AS header FROM fastq_record",
     "bc_sort": f"""WITH i AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS reindex FROM part GROUP BY p_brand), t AS (SELECT DISTINCT p_brand, substr({_DNA('p_brand')}, 1, 8) AS dest FROM part WHERE p_size < 10)
