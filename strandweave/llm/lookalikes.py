@@ -51,13 +51,12 @@ _ASSIGNED = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x1700
 def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
     """Fold of single characters (None: no width), the unstable segments of a text, and what needs composition."""
     fold: dict[int, str | None] = {cp: None for cp in EMPTY}
-    shown, unstable, composing = set(SHOWN_FORMAT), [], []
+    shown, following, unstable, composing = set(SHOWN_FORMAT), _following(), [], []
     for cp in _ASSIGNED:
         c = chr(cp)
         kind = unicodedata.category(c)
-        if kind in ("Cn", "Cs", "Co", "Lo") and not 0xFF00 <= cp <= 0xFFEF and c not in ALIKE and not unicodedata.decomposition(c):
-            if cp not in fold:
-                continue
+        if kind in ("Cn", "Cs", "Co", "Lo") and cp not in fold and c not in ALIKE and c not in following and not unicodedata.decomposition(c):
+            continue
         if cp not in fold:
             if kind == "Cf" and cp not in shown:
                 fold[cp] = None
@@ -70,7 +69,7 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
                 fold[cp] = ALIKE[c]
         target = fold.get(cp, c)
         decomposed = unicodedata.normalize("NFD", target) if target else ""
-        moves = target is not None and (unicodedata.combining(target[0]) or not unicodedata.is_normalized("NFC", target) or 0x1161 <= ord(target[0]) <= 0x11C2 or target[0] in _SECOND)
+        moves = target is not None and (unicodedata.combining(target[0]) or not unicodedata.is_normalized("NFC", target) or target[0] in following)
         alike = len(decomposed) > 1 and ALIKE.get(decomposed[0], decomposed[0]) != decomposed[0]
         if moves or alike:
             composing.append(cp)
@@ -80,9 +79,9 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
 
 
 @lru_cache(maxsize=1)
-def _second() -> frozenset[str]:
-    """Starters that compose with the character before them, as some vowel signs do."""
-    out = set()
+def _following() -> frozenset[str]:
+    """Characters that compose with the one before them: vowels and finals of Hangul, and the second parts of canonical pairs."""
+    out = {chr(cp) for cp in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
     for cp in _ASSIGNED:
         d = unicodedata.decomposition(chr(cp))
         if d and d[0] != "<" and len(parts := d.split()) == 2:
@@ -90,14 +89,6 @@ def _second() -> frozenset[str]:
     return frozenset(out)
 
 
-class _Second:
-    def __contains__(self, c: str) -> bool:
-        return c in _second()
-
-
-_SECOND = _Second()
-
-
 def _class(cps: list[int]) -> str:
     """A regular expression's class body of code points, as ranges."""
     out, start, last = [], None, None
