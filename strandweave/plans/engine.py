@@ -98,7 +98,7 @@ class Pipeline:
             made.append(self._map_of(segment, lineage, counts).select(F.lit(sample).alias("sample"), "raw", "clean"))
         if not made:
             return self.spark.createDataFrame([], "sample string, raw string, clean string")
-        return reduce(DataFrame.unionByName, made)
+        return durable(reduce(DataFrame.unionByName, made))  # joined by every job that needs the clean table
 
     def _map_of(self, segment: str, lineage: Lineage, counts: DataFrame) -> DataFrame:
         i2m, m2a = lineage.call("I2M_CORRECTION"), lineage.call("M2A_CORRECTION")
