@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import durable
+
 # Letters drawn like a Latin letter, with that letter, and signs encoded twice.
 ALIKE = {
     # Greek
@@ -75,7 +77,9 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
             composing.append(cp)
         if moves or alike or cp in fold:
             unstable.append(cp)
-    return fold, re.compile(f"[^{_class(unstable)}]?[{_class(unstable)}]+"), re.compile(f"[{_class(composing)}]")
+    u = _class(unstable)
+    # From the first to the last unstable character of a run that ASCII does not interrupt: a word of another script is one segment.
+    return fold, re.compile(f"[{u}](?:[^{u}\\x00-\\x7F]*[{u}]+)*"), re.compile(f"[{_class(composing)}]")
 
 
 @lru_cache(maxsize=1)
@@ -102,20 +106,23 @@ def _class(cps: list[int]) -> str:
     return "".join(out)
 
 
-def _segment(m: re.Match) -> str:
-    """The canonical form of an unstable segment with the starter before it."""
-    fold, _, composing = _tables()
-    s = m[0].translate(fold)
-    if composing.search(m[0]) is None:
-        return s
-    # Apart, so that a letter is seen without its accents; letters drawn alike become one; together again.
-    s = unicodedata.normalize("NFD", s).translate(fold)
-    return unicodedata.normalize("NFC", s)
-
-
 def canonical(text: str) -> str:
     """The consistent form of a text; texts look the same if and only if theirs are equal. Applying it again changes nothing."""
-    return text if text.isascii() else _tables()[1].sub(_segment, text)
+    if text.isascii():
+        return text
+    fold, unstable, composing = _tables()
+    out, at = [], 0
+    for m in unstable.finditer(text):
+        start, end = m.span()
+        if composing.search(text, start, end) is None:
+            out += text[at:start], text[start:end].translate(fold)
+        else:
+            start = max(at, start - 1)  # the starter before it may compose with what follows
+            apart = unicodedata.normalize("NFD", text[start:end].translate(fold))
+            # Apart, a letter is seen without its accents; letters drawn alike become one; then all is put together again.
+            out += text[at:start], unicodedata.normalize("NFC", apart.translate(fold))
+        at = end
+    return "".join((*out, text[at:]))
 
 
 def canonical_column(text: Column) -> Column:
@@ -138,7 +145,7 @@ def same_looking_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
     # A SHA-256 digest stands for a text and its form; equal only for equal strings, to all practical certainty.
     digest = lambda c: F.unhex(F.sha2(c, 256))
-    d = d.select("id", digest(F.col("t")).alias("of"), digest(canonical_column(F.col("t"))).alias("form"))
+    d = durable(d.select("id", digest(F.col("t")).alias("of"), digest(canonical_column(F.col("t"))).alias("form")))  # read four times below
     texts = d.select("form", "of").distinct()
     mixed = texts.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     several = texts.join(mixed, "form")
