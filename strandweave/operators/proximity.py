@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small
 
-#: A coarse cell with more points than this is refined into FINE x FINE cells.
+#: A coarse cell with more points than this is refined into FINE x FINE cells: below, testing its points costs less than sending a disc to more cells.
 CROWDED = 48
 FINE = 4
 #: Points of one crowded coarse cell that share a salt.
@@ -49,7 +49,7 @@ def pairs_within(points: DataFrame, radius: float, group: str = "puck", point: s
     Every pair comes out once, whatever the number of places. Rows without a group, a point or a place are no points. Other columns are ignored. An
     empty table gives no rows. Only the half of each disc that follows its own cell is covered: the other half is found from the other point.
     """
-    side = 2.0 ** math.floor(math.log2(radius))
+    side = 2.0 * 2.0 ** math.floor(math.log2(radius))  # a disc's half then meets about three cells
     p = (
         points.select(F.col(group).alias("g"), F.col(point).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .where(located(F.col("x"), F.col("y")) & F.col("g").isNotNull() & F.col("p").isNotNull())
