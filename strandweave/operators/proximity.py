@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, durable
 
 #: A coarse cell with more points than this is refined into FINE x FINE cells: below, testing its points costs less than sending a disc to more cells.
 CROWDED = 48
@@ -50,7 +50,8 @@ def pairs_within(points: DataFrame, radius: float, group: str = "puck", point: s
     empty table gives no rows. Only the half of each disc that follows its own cell is covered: the other half is found from the other point.
     """
     side = 2.0 * 2.0 ** math.floor(math.log2(radius))  # a disc's half then meets about three cells
-    p = (
+    # Written once: its cells are counted, its points are members, and its discs are covers.
+    p = durable(
         points.select(F.col(group).alias("g"), F.col(point).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .where(located(F.col("x"), F.col("y")) & F.col("g").isNotNull() & F.col("p").isNotNull())
         .distinct()
