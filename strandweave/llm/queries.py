@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import broadcast_if_small, clean_value, table
+from ..operators.common import broadcast_if_small, clean_value, durable, table
 from .boundary_split import cut_rows, row_valleys, split_texts
 from .encoding import encode_texts
 from .lookalikes import canonical_column, same_looking_pairs
@@ -46,8 +46,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.join(runs, "run_id", "left").select("file_id", "path", F.coalesce("limit", F.lit(DEFAULT_READS)).cast("bigint").alias("limit"), F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"))
     reads = table(spark, sf_dir, "fastq_record").where("row_idx is not null")
     # row_idx has no gaps, so the number of distinct ones is the greatest plus 1; one small row a file and task is sent. Written paths are made one name after that.
-    sizes = reads.groupBy("read1_path").agg(F.max("row_idx").alias("m")).groupBy(same_path(F.col("read1_path")).alias("path"), "read1_path").agg((F.max("m") + 1).alias("n"))
-    large = files.join(sizes.groupBy("path").agg(F.max("n").alias("n")), "path").where(F.col("n") > F.greatest("limit", F.lit(1)))
+    sizes = durable(reads.groupBy("read1_path").agg((F.max("row_idx") + 1).alias("n")).select("read1_path", "n", same_path(F.col("read1_path")).alias("path")))  # one row a file, used three times
+    large = durable(files.join(sizes.groupBy("path").agg(F.max("n").alias("n")), "path").where(F.col("n") > F.greatest("limit", F.lit(1))))
     written = large.join(sizes.select("path", "read1_path"), "path").select("file_id", "read1_path")
     rows = reads.select("read1_path", "row_idx", "header").join(broadcast_if_small(written), "read1_path").select("file_id", "row_idx", lane_tile(F.col("header")).alias("tile"))
     valleys = row_valleys(rows, "file_id", "row_idx", "tile")
@@ -78,9 +78,9 @@ def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-grams of up to three words (between blanks, tabs and line breaks) that occur at least five times, those in more than a tenth of the documents marked."""
     docs = table(spark, sf_dir, "documents")
     words = docs.select(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "").alias("words"))
-    total = docs.agg(F.count("text").alias("docs"))
-    grams = ngram_counts(words, "words", 3, least=5).crossJoin(F.broadcast(total))  # a single row
-    return grams.select(F.array_join("ngram", " ").alias("ngram"), "n", "cf", "df", F.when(F.col("df") * 10 > F.col("docs"), "common").otherwise("kept").alias("mark"))
+    total = docs.agg(F.count("text")).first()[0]  # one number
+    grams = ngram_counts(words, "words", 3, least=5)
+    return grams.select(F.array_join("ngram", " ").alias("ngram"), "n", "cf", "df", F.when(F.col("df") * 10 > total, "common").otherwise("kept").alias("mark"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
