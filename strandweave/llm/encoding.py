@@ -44,6 +44,10 @@ def encoder(folder: str = TOKENIZERS, name: str = BYTE_BPE_50K):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _width(enc) -> str:
+    return "<u2" if enc.n_vocab <= 65_536 else "<u4"
+
+
 @lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), dtype="<u4").copy()
@@ -90,7 +94,12 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-_ID, _REF, _TEXT = "id", "id {kind}, k int, n int, h binary", "h binary, chunk binary"
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of ids as a column of lists."""
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def _breaks_before(left: bytes, right: bytes) -> bool:
@@ -113,7 +122,7 @@ class Stitcher:
     def __init__(self, enc):
         self.enc, self.word = enc, [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
         self.done: list[int] = []  # ids that are final
-        self.open: list[int] = []  # ids from the last sure break on
+        self.open: list[list[int]] = []  # ids from the last sure break on, of one chunk or more
 
     def _sure(self, ids: list[int], at: int) -> bool:
         left = self.word[ids[at - 1]]
@@ -123,17 +132,23 @@ class Stitcher:
             left = self.word[ids[at - back]] + left
         return _breaks_before(left, self.word[ids[at]])
 
+    def _encoded(self, parts: list[list[int]]) -> list[int]:
+        return self.enc.encode_ordinary(b"".join(self.word[i] for ids in parts for i in ids).decode("utf-8"))
+
     def add(self, ids: list[int]) -> None:
         if self.open:
-            first = next((i for i in range(1, len(ids)) if self._sure(ids, i)), len(ids))
-            window = b"".join(self.word[i] for i in self.open) + b"".join(self.word[i] for i in ids[:first])
-            ids = self.enc.encode_ordinary(window.decode("utf-8")) + ids[first:]
+            first = next((i for i in range(1, len(ids)) if self._sure(ids, i)), None)
+            if first is None:  # encoded when a sure break comes, so that a text without any is encoded once more and not for each chunk
+                self.open.append(ids)
+                return
+            ids = self._encoded([*self.open, ids[:first]]) + ids[first:]
         last = next((i for i in range(len(ids) - 1, 0, -1) if self._sure(ids, i)), 0)
         self.done += ids[:last]
-        self.open = ids[last:]
+        self.open = [ids[last:]]
 
     def finish(self) -> list[int]:
-        out, self.done, self.open = self.done + self.open, [], []
+        out = self.done + (self.open[0] if len(self.open) == 1 else self._encoded(self.open))
+        self.done, self.open = [], []
         return out
 
 
@@ -163,33 +178,39 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(folder, name), None
+        small = _width(enc)  # ids travel as bytes, two each for vocabularies up to 65,536
         for b in batches:
             keys, ids = [], []
             for h, c in zip(b.column("h").to_pylist(), b.column("chunk").to_pylist()):
                 if h != before:  # sorted by h: each distinct chunk is encoded once
                     keys.append(h)
-                    ids.append(enc.encode_ordinary(c.decode("utf-8")))
+                    ids.append(np.array(enc.encode_ordinary(c.decode("utf-8")), dtype=small).tobytes())
                 before = h
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["h", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], ["h", "ids"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = _width(encoder(folder, name))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), _lists([np.frombuffer(x, dtype=small) for x in b.column("ids").to_pylist()])], ["id", "ids"])
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stitcher = Stitcher(encoder(folder, name))
+        stitcher, small = Stitcher(encoder(folder, name)), _width(encoder(folder, name))
         for b in batches:
             keys, out = [], []
             for i, k, n, ids in zip(range(len(b)), b.column("k").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist()):
-                stitcher.add(ids)
+                stitcher.add(np.frombuffer(ids, dtype=small).tolist())
                 if k == n - 1:
                     keys.append(i)
-                    out.append(stitcher.finish())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keys, pa.int64())), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+                    out.append(np.array(stitcher.finish(), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keys, pa.int64())), _lists(out)], ["id", "ids"])
 
     refs = durable(full.mapInArrow(references, f"id {kind}, k int, n int, h binary"))
     often = F.broadcast(heavy_keys(refs.select(F.hex("h").alias("hx")), "hx").select(F.unhex("heavy").alias("h"), F.lit(PARTS).alias("parts")))
-    encoded = full.mapInArrow(chunks, "h binary, chunk binary").repartition("h").sortWithinPartitions("h").mapInArrow(encode, "h binary, ids array<int>")
+    encoded = full.mapInArrow(chunks, "h binary, chunk binary").repartition("h").sortWithinPartitions("h").mapInArrow(encode, "h binary, ids binary")
     spread = encoded.join(often, "h", "left").select("h", "ids", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"))
     placed = refs.join(often, "h", "left").select("id", "k", "n", "h", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
     got = placed.join(spread, ["h", "part"]).select("id", "k", "n", "ids")
-    single = got.where("n = 1").select("id", "ids")
+    single = got.where("n = 1").select("id", "ids").mapInArrow(unpack, f"id {kind}, ids array<int>")
     several = got.where("n > 1").repartition("id").sortWithinPartitions("id", "k").mapInArrow(stitch, f"id {kind}, ids array<int>")
     nothing = source.where(F.col("t").isNull() | (F.col("t") == "")).select("id", F.array().cast("array<int>").alias("ids"))
     return single.unionByName(several).unionByName(nothing).select(F.col("id").alias(key), "ids")
