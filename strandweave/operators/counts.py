@@ -31,7 +31,7 @@ def knee(levels: list[tuple[int, int]], sensitivity: float = 10.0) -> int | None
 
     The curve is convex and falls. Both axes are scaled to 0..1 and the counts turned over; the difference of the curve and the diagonal rises to a maximum where the
     fall slows down. The knee is the first maximum after which the difference drops by `sensitivity` mean steps of the rank axis before a minimum resets the threshold. As
-    counts are constant within a level, it suffices to look at each level's first and last rank.
+    counts are constant within a level, it suffices to look at each level's first and last rank. The first rank, which nothing precedes, is no maximum.
     """
     levels = sorted(((c, m) for c, m in levels if m > 0), reverse=True)
     total = sum(m for _, m in levels)
@@ -51,7 +51,7 @@ def knee(levels: list[tuple[int, int]], sensitivity: float = 10.0) -> int | None
         before = diff(starts[k - 1][1], starts[k - 1][2]) if k else None
         top, bottom = diff(a, h), diff(z, h)
         after_top = diff(a + 1, h) if z > a else following
-        if (before is None or top >= before) and (after_top is None or top >= after_top):
+        if before is not None and top >= before and (after_top is None or top >= after_top):
             threshold, candidate = top - sensitivity * step, a
         if candidate is not None and z > a and bottom < threshold:
             return candidate + 1

@@ -15,9 +15,10 @@ def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def aligned(points: DataFrame, scale: float = 1.0, x: str = "x", y: str = "y") -> DataFrame:
     """The points scaled and moved so that the lower left corner of their box is the origin."""
-    b = points.agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"))
-    moved = points.crossJoin(F.broadcast(b))  # a single row
-    return moved.withColumns({x: (F.col(x) - F.col("_x0")) * scale, y: (F.col(y) - F.col("_y0")) * scale}).drop("_x0", "_y0")
+    left, bottom = points.agg(F.min(x), F.min(y)).first()  # one row
+    if left is None or bottom is None:
+        return points
+    return points.withColumns({x: (F.col(x) - F.lit(float(left))) * scale, y: (F.col(y) - F.lit(float(bottom))) * scale})
 
 
 def tiled(points: DataFrame, width: float, height: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -26,11 +27,11 @@ def tiled(points: DataFrame, width: float, height: float, x: str = "x", y: str =
     return points.withColumns({"tx": tx, "ty": ty, x: F.col(x) - tx * width, y: F.col(y) - ty * height})
 
 
-def nearest_spot(beads: DataFrame, spots: DataFrame, cell: float, bead: str = "bead", spot: str = "spot", x: str = "x", y: str = "y", rings: int = 1, exhaustive: bool = True) -> DataFrame:
+def nearest_spot(beads: DataFrame, spots: DataFrame, cell: float, bead: str = "bead", spot: str = "spot", x: str = "x", y: str = "y", rings: int = 1, exhaustive: bool = True, others: bool = False) -> DataFrame:
     """(bead, spot, dist2): for each bead the nearest spot, of equally near ones the first by name.
 
     Spots are put into the cells around theirs, `rings` wide: a spot found nearer than the ring's width is surely nearest, as all nearer spots share a cell. Beads without one (few, if `cell` is
-    about the spots' spacing) look again in cells eight times as wide, again and again, until the spots fit into a single cell and its neighbours. Beads and spots without a place don't count.
+    about the spots' spacing) look again in cells eight times as wide, again and again, until the spots fit into a single cell and its neighbours. Beads and spots without a place don't count. `others`: a spot of the bead's own name doesn't count.
     """
     place = lambda d, name: d.select(F.col(name).alias(name), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(name).isNotNull())
     b, s = place(beads, bead), place(spots, spot).withColumnsRenamed({"x": "sx", "y": "sy"}).distinct()
@@ -49,7 +50,12 @@ def nearest_spot(beads: DataFrame, spots: DataFrame, cell: float, bead: str = "b
         spread = s.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(F.col(spot), "sx", "sy", (F.floor(F.col("sx") / side) + F.col("i")).alias("cx"), (F.floor(F.col("sy") / side) + F.col("j")).alias("cy"))
         d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
         at = left.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
-        best = at.join(spread, ["cx", "cy"], "left").groupBy(bead, "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d2.alias("dist2"), F.col(spot)))).alias("m"))
+        if others:
+            spread = spread.withColumnRenamed(spot, "_spot")
+            pairs = at.join(spread, (at.cx == spread.cx) & (at.cy == spread.cy) & (F.col(bead) != F.col("_spot")), "left").select(bead, "x", "y", F.col("_spot").alias(spot), "sx", "sy")
+        else:
+            pairs = at.join(spread, ["cx", "cy"], "left")
+        best = pairs.groupBy(bead, "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d2.alias("dist2"), F.col(spot)))).alias("m"))
         sure = F.col("m").isNotNull() if last else F.col("m.dist2") <= (side * rings) ** 2
         best = durable(best)  # else each round would run those before it again
         now = best.where(F.coalesce(sure, F.lit(False))).select(bead, F.col(f"m.{spot}").alias(spot), F.col("m.dist2").alias("dist2"))
@@ -58,3 +64,11 @@ def nearest_spot(beads: DataFrame, spots: DataFrame, cell: float, bead: str = "b
             return found
         left = best.where(~F.coalesce(sure, F.lit(False))).select(bead, "x", "y")
         side *= 8
+
+
+def least_distance(points: DataFrame, cell: float, name: str = "spot", x: str = "x", y: str = "y") -> float | None:
+    """The least distance of two different points: the spacing by which coordinates are scaled. None for fewer than two."""
+    beads = points.select(F.col(name).alias("bead"), F.col(x).alias("x"), F.col(y).alias("y"))
+    spots = points.select(F.col(name).alias("spot"), F.col(x).alias("x"), F.col(y).alias("y"))
+    least = nearest_spot(beads, spots, cell, others=True).agg(F.min("dist2")).first()[0]
+    return None if least is None else least**0.5

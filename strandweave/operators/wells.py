@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 QUADRANTS = {"TL": (0, 0), "TR": (0, 1), "BL": (1, 0), "BR": (1, 1)}
 
 
-def dominance(rows: DataFrame, well: Sequence[str], value: str, threshold: float = 0.7) -> DataFrame:
-    """well..., total, top, top_count, ratio, passed: the most frequent value of each well (of equals the first by name), and whether its share is above the threshold. Null values don't count."""
+def dominance(rows: DataFrame, well: Sequence[str], value: str, threshold: float = 0.7, expected: str | None = None) -> DataFrame:
+    """well..., total, top, top_count, ratio, passed: the most frequent value of each well (of equals the first by name), and whether its share is above the threshold and, if one is
+    `expected`, it is that value. Null values don't count."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*well, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     best = counts.groupBy(*well).agg(F.sum("c").alias("total"), F.min(F.struct((-F.col("c")).alias("m"), F.col("v"))).alias("b"))
     got = best.select(*well, "total", F.col("b.v").alias("top"), (-F.col("b.m")).alias("top_count"))
-    return got.withColumn("ratio", F.col("top_count") / F.col("total")).withColumn("passed", F.col("ratio") > threshold)
+    return got.withColumn("ratio", F.col("top_count") / F.col("total")).withColumn("passed", (F.col("ratio") > threshold) & (F.lit(True) if expected is None else F.col("top") == expected))
 
 
 def well_384(row: Column, column: Column, quadrant: Column) -> tuple[Column, Column, Column]:

@@ -171,6 +171,19 @@ class Pipeline:
         t = self.config.translation
         if t is None:
             raise ConfigError("value_translation is missing")
+        rows, parts = self._destinations()
+        return self._assembled(rows, t.structures, parts, ())
+
+    def barcode_list(self) -> DataFrame:
+        """sample, Header and every destination segment of all reads; null where a read has none."""
+        if self.config.translation is None:
+            raise ConfigError("value_translation is missing")
+        rows, parts = self._destinations()
+        return rows.select("sample", F.col("header").alias("Header"), *[seq.alias(d) for d, (seq, _) in parts.items()])
+
+    def _destinations(self) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+        """The clean reads with what the destination segments need, and sequence and quality of each."""
+        t = self.config.translation
         clean = rows = self.clean()
         parts: dict[str, tuple[Column, Column]] = {}
         for k, a in enumerate(t.assignments):
@@ -190,7 +203,7 @@ class Pipeline:
                 parts[a.dests[0]] = translate.constant(a.call.options["seq"])
             else:
                 parts[a.dests[0]] = self._passed(a.call.sources[0])
-        return self._assembled(rows, t.structures, parts, ())
+        return rows, parts
 
     def _table_name(self, table: DataFrame, name: str) -> str:
         """The table's column of a source: by the name used in the configuration, or any other of the same lineage."""

@@ -94,6 +94,20 @@ def test_files_to_translation_and_back(spark, project):
     assert len(list((project / "demux").glob("key=*"))) == 3
 
 
+def test_runner_writes_and_goes_on(spark, project):
+    from strandweave.plans.runner import rank_curves, run
+
+    pipe = Pipeline(spark, analyse(FORWARD.format(p=project)), mode="ordered")
+    out = str(project / "results")
+    assert run(spark, pipe, out) == ["value_extraction", "value_translation", "demultiplex"]
+    assert run(spark, pipe, out) == [] and run(spark, pipe, out, ["demultiplex"], again=True) == ["demultiplex"]
+    table = spark.read.csv(f"{out}/corrected_table", sep="\t", header=True)
+    assert table.count() == 240 and {"Header", "cb:cb.v", "sample"} <= set(table.columns)
+    assert spark.read.csv(f"{out}/barcode_list", sep="\t", header=True).where("d1 is not null and d2 is not null").count() == 240
+    assert spark.read.text(f"{out}/translated_READ1", lineSep="\n").where("value like '@%'").count() == 240
+    assert [r.segment for r in rank_curves(pipe).select("segment").distinct().collect()] == ["cb"]
+
+
 def test_fastq_source(spark, tmp_path):
     records = [(f"@r{i}", "ACGT", "IIII") for i in range(25)]
     write(tmp_path / "a.fastq.gz", records)

@@ -101,9 +101,9 @@ def test_ranks_keep_the_place_of_missing_ones(spark):
 
 
 def test_knee_of_a_curve():
-    curve = [(1000, 20), (900, 15), (800, 15)] + [(5, 500), (4, 600), (3, 900), (2, 2000), (1, 5000)]
-    at = counts.knee(curve, 10)
-    assert at is not None and 40 <= at <= 60
+    tail = [(5, 500), (4, 600), (3, 900), (2, 2000), (1, 5000)]
+    assert counts.knee([(1000 - 4 * i, 1) for i in range(50)] + tail, 10) == 51  # the majority is the fifty before it
+    assert counts.knee([(1000, 20), *tail], 10) == 21
     assert counts.knee([(5, 10)]) is None and counts.knee([]) is None
 
 
@@ -176,6 +176,9 @@ def test_nearest_spot_matches_brute_force(spark):
     spots = [(f"s{i:02d}", rng.uniform(0, 300), rng.uniform(0, 300)) for i in range(40)]
     got = {r.bead: r.spot for r in spatial.nearest_spot(spark.createDataFrame(beads, "bead string, x double, y double"), spark.createDataFrame(spots, "spot string, x double, y double"), 30.0).collect()}
     assert got == {b: min(((x - u) ** 2 + (y - v) ** 2, s) for s, u, v in spots)[1] for b, x, y in beads if x is not None and x == x}
+    spot_table = spark.createDataFrame(spots, "spot string, x double, y double")
+    least = min(((u - w) ** 2 + (v - z) ** 2) ** 0.5 for s, u, v in spots for t, w, z in spots if s < t)
+    assert abs(spatial.least_distance(spot_table, 30.0) - least) < 1e-9 and spatial.least_distance(spot_table.limit(1), 30.0) is None
     none = spark.createDataFrame([], "spot string, x double, y double")
     assert spatial.nearest_spot(spark.createDataFrame(beads, "bead string, x double, y double"), none, 30.0).count() == 0
 
@@ -186,5 +189,6 @@ def test_wells(spark):
     assert [r.w for r in got] == ["A01", "B02", "P24", None]
     profile = wells.dominance(spark.createDataFrame([("w", "a"), ("w", "a"), ("w", "b"), ("v", "b"), ("v", "a"), ("v", None)], "well string, bc string"), ["well"], "bc", 0.5).orderBy("well").collect()
     assert [(r.top, r.top_count, r.passed) for r in profile] == [("a", 1, False), ("a", 2, True)]
+    assert [r.passed for r in wells.dominance(spark.createDataFrame([("w", "a"), ("v", "b")], "well string, bc string"), ["well"], "bc", 0.5, "a").orderBy("well").collect()] == [False, True]
     h = spark.createDataFrame([("@x ACGT:12 z",), ("@x",), ("@x :1",)], "h string").select(wells.index_from_header(F.col("h"))[0].alias("s"), wells.index_from_header(F.col("h"))[1].alias("q")).collect()
     assert [tuple(r) for r in h] == [("ACGT", "????"), (None, None), (None, None)]
