@@ -84,36 +84,42 @@ def extract_segments(reads: DataFrame, patterns: Sequence[str], seq: str = "seq"
     layouts = [fixed_layout(p) for p in patterns]
     if all(x is not None for x in layouts):
         return _by_layout(reads, layouts, names, seq, qual, structure)
-    kind = ", ".join(f"`{n}`: struct<seq: string, qual: string>" for n in names)
+    kind = "".join(f", s{i}: string, q{i}: string" for i in range(len(names)))
     sources = list(patterns)
 
-    @F.pandas_udf(f"struct<_structure: int{', ' if names else ''}{kind}>")
+    @F.pandas_udf(f"struct<k: int{kind}>")
     def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import regex
 
-        compiled = [regex.compile(p) for p in sources]
+        compiled = [(k, p, [(i, p.groupindex[n]) for i, n in enumerate(names) if n in p.groupindex]) for k, p in enumerate(map(regex.compile, sources), 1)]
         for seqs, quals in batches:
-            which, out = [], {n: [] for n in names}
-            for s, q in zip(seqs, quals):
-                found = next(((k, m) for k, p in enumerate(compiled, 1) if (m := p.search(s))), (None, None)) if s is not None else (None, None)
-                which.append(found[0])
-                groups = found[1].re.groupindex if found[1] is not None else {}
-                for n in names:
-                    value = None
-                    if n in groups and (span := found[1].span(n))[1] > span[0] >= 0:
-                        value = {"seq": s[span[0] : span[1]], "qual": q[span[0] : span[1]] if q is not None else None}
-                    out[n].append(value)
-            frame = pd.DataFrame({"_structure": pd.array(which, dtype="Int32")})
-            for n in names:
-                frame[n] = pd.DataFrame({"seq": [v and v["seq"] for v in out[n]], "qual": [v and v["qual"] for v in out[n]]}).to_dict("records")
-            yield frame
+            size = len(seqs)
+            which: list[int | None] = [None] * size
+            out: list[list[str | None]] = [[None] * size for _ in range(2 * len(names))]  # flat columns: structs of structs would be made row by row
+            for row, (s, q) in enumerate(zip(seqs.tolist(), quals.tolist())):
+                if s is None:
+                    continue
+                for k, p, groups in compiled:
+                    m = p.search(s)
+                    if m is not None:
+                        which[row] = k
+                        for i, g in groups:
+                            a, z = m.span(g)
+                            if z > a >= 0:
+                                out[2 * i][row] = s[a:z]
+                                out[2 * i + 1][row] = q[a:z] if q is not None else None
+                        break
+            frame = {"k": pd.array(which, dtype="Int32")}
+            for i in range(len(names)):
+                frame[f"s{i}"], frame[f"q{i}"] = out[2 * i], out[2 * i + 1]
+            yield pd.DataFrame(frame)
 
     hit = "_hit"
     while hit in reads.columns:
         hit = "_" + hit
     found = reads.withColumn(hit, search(F.col(seq), F.col(qual)))
-    cols = {n: F.when(F.col(hit)[n]["seq"].isNotNull(), F.col(hit)[n]) for n in names} | ({structure: F.col(hit)["_structure"]} if structure else {})
-    return found.withColumns(cols).drop(hit)
+    cols = {n: F.when(F.col(hit)[f"s{i}"].isNotNull(), F.struct(F.col(hit)[f"s{i}"].alias("seq"), F.col(hit)[f"q{i}"].alias("qual"))) for i, n in enumerate(names)}
+    return found.withColumns(cols | ({structure: F.col(hit)["k"]} if structure else {})).drop(hit)
 
 
 def _by_layout(reads: DataFrame, layouts: Sequence[Layout], names: Sequence[str], seq: str, qual: str, structure: str | None) -> DataFrame:

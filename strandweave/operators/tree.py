@@ -17,10 +17,11 @@ def complete(columns: Sequence[str]) -> Column:
     return ok
 
 
-def tree_counts(values: DataFrame, value: Sequence[str], parents: Sequence[str] = (), sample: str | None = None) -> DataFrame:
-    """Counts of a (combined) value under its path of ancestors, within a sample: columns of all of them, and n. Rows with a null in any of them don't count."""
+def tree_counts(values: DataFrame, value: Sequence[str], parents: Sequence[str] = (), sample: str | None = None, weight: str | None = None) -> DataFrame:
+    """Counts of a (combined) value under its path of ancestors, within a sample: columns of all of them, and n. Rows with a null in any of them don't count. `weight`: a column of counts, if the rows are
+    already combined."""
     keys = [*([sample] if sample else []), *parents, *value]
-    return values.where(complete(keys)).groupBy(*keys).agg(F.count("*").alias("n"))
+    return values.where(complete(keys)).groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
 
 
 def value_ids(counts: DataFrame, value: Sequence[str], parents: Sequence[str] = (), sample: str | None = None, per_sample: bool = False) -> DataFrame:

@@ -144,23 +144,28 @@ class Pipeline:
                 raise ConfigError(f"{', '.join(a.dests)}: {s} has no value; use SEQ2VALUE")
         return group
 
+    def value_counts(self) -> DataFrame:
+        """sample, all value columns and n: the rows without a missing value, combined. Every level of the tree adds these up, so the reads are gone through once for all levels."""
+        every = [f"clean_{s}" for s, x in self.config.extraction.lineages.items() if x.to_value]
+        return tree.tree_counts(self.clean(), every, (), "sample")
+
     def value_ids(self, group: tuple[str, ...], rows: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-        """The value tree's level of a (combined) value with dense ids, and the columns of its ancestors. Rows with a missing value in any value column don't count."""
+        """The value tree's level of a (combined) value with dense ids, and the columns of its ancestors. `rows`: the result of `value_counts`, if it is there."""
         e = self.config.extraction
-        rows = self.clean() if rows is None else rows
-        every = [f"clean_{s}" for s, x in e.lineages.items() if x.to_value]
+        rows = self.value_counts() if rows is None else rows
         _, _, parent = tree.classify(e.hierarchy, [group])
         path = [f"clean_{s}" for s in tree.ancestors(group, parent)]
-        counts = tree.tree_counts(rows.where(tree.complete(every)), [f"clean_{s}" for s in group], path, "sample")
+        counts = tree.tree_counts(rows, [f"clean_{s}" for s in group], path, "sample", "n")
         return tree.value_ids(counts, [f"clean_{s}" for s in group], path, "sample"), path
 
     def value_tree(self) -> DataFrame:
         """(component, sample, path, value, n, id) of every VALUE2SEQ source."""
-        out = []
+        out, combined = [], None
         for a in self.config.translation.assignments if self.config.translation else ():
             if a.call.name == "VALUE2SEQ":
                 group = self._group(a)
-                ids, path = self.value_ids(group)
+                combined = durable(self.value_counts()) if combined is None else combined
+                ids, path = self.value_ids(group, combined)
                 out.append(ids.select(F.lit("+".join(group)).alias("component"), "sample", F.array(*path).cast("array<string>").alias("path"), F.array(*[f"clean_{s}" for s in group]).alias("value"), "n", "id"))
         if not out:
             raise ConfigError("no value is translated")
@@ -184,11 +189,12 @@ class Pipeline:
     def _destinations(self) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
         """The clean reads with what the destination segments need, and sequence and quality of each."""
         t = self.config.translation
-        clean = rows = self.clean()
+        rows, combined = self.clean(), None
         parts: dict[str, tuple[Column, Column]] = {}
         for k, a in enumerate(t.assignments):
             if a.call.name == "VALUE2SEQ":
-                rows = self._value2seq(rows, clean, a, k)
+                combined = durable(self.value_counts()) if combined is None else combined
+                rows = self._value2seq(rows, combined, a, k)
                 segments = self._segments_of(a.call.sources)
                 code = translate.mean_code([mean_quality_code(F.col(s)["qual"]) for s in segments])
                 parts |= {d: translate.synthesized(F.col(f"dest{k}_{i}"), code) for i, d in enumerate(a.dests)}
@@ -218,9 +224,9 @@ class Pipeline:
         segment = self.config.extraction.lineage(name).segment
         return translate.passed(F.col(f"clean_{segment}"), F.col(segment)["qual"])
 
-    def _value2seq(self, rows: DataFrame, clean: DataFrame, a: Assignment, k: int) -> DataFrame:
+    def _value2seq(self, rows: DataFrame, combined: DataFrame, a: Assignment, k: int) -> DataFrame:
         group = self._group(a)
-        ids, path = self.value_ids(group, clean)
+        ids, path = self.value_ids(group, combined)
         ids = durable(ids)  # the level of the tree is counted once, then sized and joined
         size = tree.size_info(ids, path, "sample" if path else None).agg(F.max("size")).first()[0] or 0
         rows = tree.attach_ids(rows, ids, [f"clean_{s}" for s in group], path, "sample", f"id{k}")
