@@ -15,6 +15,8 @@ from .top_items import most_frequent
 
 DEFAULT_READS = 2_000_000
 CONTAINER = 2048
+#: An n-gram with fewer occurrences is rare.
+RARE = 5
 
 
 # 2: pieces of oversized READ1 files
@@ -75,12 +77,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N-grams of up to three words (between blanks, tabs and line breaks) that occur at least five times, those in more than a tenth of the documents marked."""
+    """All n-grams of up to three words (between blanks, tabs and line breaks), marked `rare` below RARE occurrences, `common` in more than a tenth of the documents, else `kept`; one that is both has two rows."""
     docs = table(spark, sf_dir, "documents")
     words = docs.select(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "").alias("words"))
     total = docs.agg(F.count("text")).first()[0]  # one number
-    grams = ngram_counts(words, "words", 3, least=5)
-    return grams.select(F.array_join("ngram", " ").alias("ngram"), "n", "cf", "df", F.when(F.col("df") * 10 > total, "common").otherwise("kept").alias("mark"))
+    grams = ngram_counts(words, "words", 3)
+    rare, common = F.col("cf") < RARE, F.col("df") * 10 > total
+    marks = F.array_compact(F.array(F.when(rare, "rare"), F.when(common, "common"), F.when(~rare & ~common, "kept")))
+    return grams.select(F.array_join("ngram", " ").alias("ngram"), "n", "cf", "df", F.explode(marks).alias("mark"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from ..operators.heavy_keys import heavy_keys
 
 #: Parts into which a heavy first term is spread.
 PARTS = 16
+#: Terms whose suffixes are made and combined at once, or one record's: bounds the memory of a task.
+TERMS = 2**20
 
 
 def _changes(columns: list[np.ndarray]) -> np.ndarray:
@@ -138,6 +142,17 @@ def value_counts(rows: DataFrame, scope: list[str], term: str, record: str, weig
     return _merged(_count(combined, scope, 1, True, -(2**62)), scope, 1, -(2**62)).withColumnRenamed("t1", term).drop("n")
 
 
+def _pieces(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The lists in pieces of at most TERMS terms; a longer list is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + TERMS, "right")))
+        yield lists.slice(at, end - at)
+        at = end
+
+
 def ngram_counts(records: DataFrame, terms: str, longest: int = 3, least: int = 1) -> DataFrame:
     """(ngram ARRAY<STRING>, n, cf, df): every n-gram of 1 to `longest` terms that occurs at least `least` times, with its occurrences and the number of records (rows) it occurs in.
 
@@ -145,17 +160,19 @@ def ngram_counts(records: DataFrame, terms: str, longest: int = 3, least: int =
     """
     t, d = [f"t{i}" for i in range(1, longest + 1)], [f"d{i}" for i in range(1, longest + 1)]
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lists = [[] if x is None else [w for w in x if w is not None] for x in b["terms"]]
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
-            if not sizes.sum():
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for terms in (piece for b in batches for piece in _pieces(b.column(0))):
+            sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+            flat = terms.flatten()
+            record = np.repeat(np.arange(len(sizes)), sizes)[flat.is_valid().to_numpy(zero_copy_only=False)]
+            if not len(record):
                 continue
-            codes, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
-            record = np.repeat(np.arange(len(lists)), sizes)
+            sizes = np.bincount(record, minlength=len(sizes))
+            named = flat.drop_null().dictionary_encode()  # terms stay in Arrow: no string of them becomes an object
+            codes, words = named.indices.to_numpy().astype(np.int64), named.dictionary
             left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # terms from here to the end of the record
             gram = np.zeros(len(codes), dtype=np.int64)
-            marks, at = {}, []
+            marks, at = [], []
             for n in range(longest):
                 ok = left > n
                 following = np.full(len(codes), len(words), dtype=np.int64)
@@ -163,17 +180,15 @@ def ngram_counts(records: DataFrame, terms: str, longest: int = 3, least: int =
                 at.append(following)
                 gram = np.unique(gram * (len(words) + 1) + following, return_inverse=True)[1].astype(np.int64)
                 _, first = np.unique(record * (gram.max() + 1) + gram, return_index=True)
-                mark = np.zeros(len(codes), dtype=np.int64)
-                mark[first] = 1
-                marks[d[n]] = np.where(ok, mark, 0)
-            out = pd.DataFrame({"g": gram, "c": 1, **marks}).groupby("g").sum()
-            _, where = np.unique(gram, return_index=True)
-            named = np.append(words.astype(object), None)
-            for n in range(longest):
-                out[t[n]] = named[at[n][where]]
-            yield out[[*t, "c", *d]]
+                mark = np.zeros(len(codes), dtype=bool)
+                mark[first] = True
+                marks.append(mark & ok)
+            _, where, count = np.unique(gram, return_index=True, return_counts=True)
+            out = [words.take(pa.array(x[where], mask=x[where] == len(words))) for x in at]
+            out += [pa.array(count), *(pa.array(np.bincount(gram[m], minlength=len(where))) for m in marks)]
+            yield pa.RecordBatch.from_arrays(out, [*t, "c", *d])
 
     schema = ", ".join([f"{x} string" for x in t] + ["c bigint"] + [f"{x} bigint" for x in d])
-    s = records.select(F.col(terms).alias("terms")).mapInPandas(suffixes, schema)
+    s = records.select(F.col(terms).alias("terms")).mapInArrow(suffixes, schema)
     counted = _merged(_count(s, [], longest, False, least), [], longest, least)
     return counted.select(F.filter(F.array(*t), lambda x: x.isNotNull()).alias("ngram"), "n", "cf", "df")

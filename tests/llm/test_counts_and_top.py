@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 from strandweave.llm import term_counts, top_items
+from strandweave.llm.queries import p4_ngrams
 from strandweave.llm.term_counts import ngram_counts, value_counts
 from strandweave.llm.top_items import most_frequent
 
@@ -58,6 +59,30 @@ def test_heavy_first_terms_of_ngrams(spark):
     assert got == brute_ngrams(records, 3, 1)
 
 
+def test_every_ngram_has_a_row_and_rare_ones_are_marked(spark, tmp_path):
+    rng = random.Random(10)
+    texts = [f"of u{i} " + "of four " * (i % 10 == 0) + " ".join(rng.choice("abcdefgh") for _ in range(6)) for i in range(40)] + [None, "", " \t\n"]
+    for name, docs in {"many": texts, "few": ["a b", "a", None]}.items():
+        spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        want, total = set(), sum(t is not None for t in docs)
+        for k, (cf, df) in brute_ngrams([t.split() if t else t for t in docs], 3, 1).items():
+            marks = ["rare"] * (cf < 5) + ["common"] * (df * 10 > total) or ["kept"]
+            want |= {(" ".join(k), len(k), cf, df, m) for m in marks}
+        got = [tuple(r) for r in p4_ngrams(spark, str(tmp_path / name)).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert {r[4] for r in got} == ({"rare", "common", "kept"} if name == "many" else {"rare", "common"})
+
+
+def test_ngrams_of_records_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(term_counts, "TERMS", 8)
+    records = [["a", "b"] * (i % 7) for i in range(60)] + [None, [], [None], [None, "a", None, "b"]]
+    got = {tuple(r.ngram): (r.cf, r.df) for r in ngram_counts(spark.createDataFrame([(r,) for r in records], "terms array<string>"), "terms", 3).collect()}
+    assert got == brute_ngrams(records, 3, 1)
+    import pyarrow as pa
+
+    assert [p.to_pylist() for p in term_counts._pieces(pa.array([["a"] * 9, None, ["b"] * 5, [], ["c"] * 4], pa.list_(pa.string())))] == [[["a"] * 9], [None, ["b"] * 5, []], [["c"] * 4]]
+
+
 def test_batches_cut_runs_anywhere():
     import numpy as np
 
