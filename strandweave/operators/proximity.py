@@ -49,7 +49,7 @@ def pairs_within(points: DataFrame, radius: float, group: str = "puck", point: s
     Every pair comes out once, whatever the number of places. Rows without a group, a point or a place are no points. Other columns are ignored. An
     empty table gives no rows. Only the half of each disc that follows its own cell is covered: the other half is found from the other point.
     """
-    side = 2.0 * 2.0 ** math.floor(math.log2(radius))  # a disc's half then meets about three cells
+    side = 2.0 ** math.floor(math.log2(radius))  # a disc holds most cells of its centre; its half meets about six
     # Written once: its cells are counted, its points are members, and its discs are covers.
     p = durable(
         points.select(F.col(group).alias("g"), F.col(point).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

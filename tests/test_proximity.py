@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandweave.operators.proximity import cover_polygon, pairs_within, points_in_regions
@@ -49,6 +50,24 @@ def test_blocks_of_a_very_crowded_cell(spark, monkeypatch):
     assert got == brute(rows, 1.0)
 
 
+def test_discs_hold_cells_where_points_are_sparse(spark, monkeypatch):
+    from strandweave.operators import proximity
+
+    rng = random.Random(5)
+    rows = [("k", f"b{i:03d}", rng.randrange(-400, 400) / 8, rng.randrange(-400, 400) / 8, None, 1) for i in range(150)]
+    df, reach, calls = spark.createDataFrame(rows, SCHEMA), proximity._reach, []
+    assert {tuple(r) for r in pairs_within(df, 10.0).collect()} == brute(rows, 10.0)
+
+    def telling(*x):
+        meets, interior = reach(*x)
+        calls.append(x)  # the first call is for the coarse cells
+        return meets, interior if len(calls) > 1 else F.when(meets & interior, F.raise_error(F.lit("a disc holds this cell"))).otherwise(F.lit(False))
+
+    monkeypatch.setattr(proximity, "_reach", telling)
+    with pytest.raises(Exception, match="a disc holds this cell"):
+        pairs_within(df, 10.0).collect()
+
+
 def test_coverage_has_interior_and_boundary_cells():
     square = np.array([0.0, 8.0, 8.0, 0.0]), np.array([0.0, 0.0, 8.0, 8.0])
     cells = cover_polygon(*square, most=64)
