@@ -3,6 +3,10 @@
 What does not show is folded: full-width and half-width forms, composed against combining accents, characters without width, the kind of a blank, and letters
 drawn alike. What shows stays: case, accents, raised and other digits, the number of blanks, line breaks.
 
+Letters drawn alike are those of the table ALIKE, which is written by hand, and the twins of one letter that Unicode names: letters in a mathematical or other style (<font>), and
+radicals, numerals and Hebrew signs that are an ideograph or letter encoded again (<compat>). Other look-alikes (the rest of Unicode's confusables, ligatures, presentation forms,
+letters of several signs) are not found.
+
 A quick check by character properties isolates the unstable segments: a run of characters that may change or combine, with the starter
 before it, which a combining mark may compose with. Only these are normalised, and spliced into the text, which is otherwise left as it is.
 """
@@ -23,7 +27,7 @@ from ..operators.common import durable
 ALIKE = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "υ": "u", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J", "ϴ": "Θ",
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "ү": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v", "Ѵ": "V", "ӏ": "l", "ӕ": "æ", "Ӕ": "Æ", "ә": "ə", "Ә": "Ə",
@@ -44,14 +48,16 @@ SHOWN_FORMAT = [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD
 #: Characters without width that are not of the category of format characters: joiner of marks, fillers, variation selectors.
 EMPTY = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
+#: Characters of the upper planes.
+UPPER = re.compile("[\U00010000-\U0010ffff]")
 
 #: Code points that can matter: the planes in use, without the large blocks of ideographs and syllables, which are stable.
 _ASSIGNED = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x17000), *range(0x1A000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
-    """Fold of single characters (None: no width), the unstable segments of a text, and what needs composition."""
+def _tables() -> tuple[dict[int, str | None], tuple[re.Pattern, re.Pattern], tuple[re.Pattern, re.Pattern]]:
+    """Fold of single characters (None: no width); the unstable segments and what needs composition, for texts without characters of the upper planes and for all."""
     fold: dict[int, str | None] = {cp: None for cp in EMPTY}
     shown, following, unstable, composing = set(SHOWN_FORMAT), _following(), [], []
     for cp in _ASSIGNED:
@@ -64,9 +70,8 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
                 fold[cp] = None
             elif kind == "Zs":
                 fold[cp] = " "
-            elif (d := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>")):
-                wide = "".join(chr(int(x, 16)) for x in d.split()[1:])
-                fold[cp] = ALIKE.get(wide, wide)
+            elif (twin := _twin(c)) is not None:
+                fold[cp] = ALIKE.get(twin, twin)
             elif ALIKE.get(c, c) != c:
                 fold[cp] = ALIKE[c]
         target = fold.get(cp, c)
@@ -77,9 +82,25 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
             composing.append(cp)
         if moves or alike or cp in fold:
             unstable.append(cp)
-    u = _class(unstable)
-    # From the first to the last unstable character of a run that ASCII does not interrupt: a word of another script is one segment.
-    return fold, re.compile(f"[{u}](?:[^{u}\\x00-\\x7F]*[{u}]+)*"), re.compile(f"[{_class(composing)}]")
+    patterns = []
+    for last in (0xFFFF, 0x10FFFF):  # a class without the upper planes is a table, one with them a list that is run through
+        u, c = (_class([cp for cp in cps if cp <= last]) for cps in (unstable, composing))
+        # From the first to the last unstable character of a run that ASCII does not interrupt: a word of another script is one segment.
+        patterns.append((re.compile(f"[{u}](?:[^{u}\\x00-\\x7F]*[{u}]+)*"), re.compile(f"[{c}]")))
+    return fold, *patterns
+
+
+def _twin(c: str) -> str | None:
+    """The character of which c is another width, a letter in another style, or the same sign encoded twice; None without one."""
+    kind, *parts = unicodedata.decomposition(c).split() or [""]
+    twin = "".join(chr(int(x, 16)) for x in parts)
+    if kind in ("<wide>", "<narrow>"):
+        return twin
+    if len(twin) != 1:
+        return None
+    letters = unicodedata.category(c)[0] == unicodedata.category(twin)[0] == "L"  # digits of another style are visible differences
+    again = "\u4e00" <= twin <= "\u9fff" or "\u05d0" <= twin <= "\u05ea"  # ideographs, Hebrew
+    return twin if kind == "<font>" and letters or kind == "<compat>" and again else None
 
 
 @lru_cache(maxsize=1)
@@ -107,10 +128,11 @@ def _class(cps: list[int]) -> str:
 
 
 def canonical(text: str) -> str:
-    """The consistent form of a text; texts look the same if and only if theirs are equal. Applying it again changes nothing."""
+    """The consistent form of a text; texts that look the same as far as the tables above go, and only they, have equal ones. Applying it again changes nothing."""
     if text.isascii():
         return text
-    fold, unstable, composing = _tables()
+    fold, low, every = _tables()
+    unstable, composing = every if UPPER.search(text) else low
     out, at = [], 0
     for m in unstable.finditer(text):
         start, end = m.span()

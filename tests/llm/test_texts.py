@@ -103,6 +103,18 @@ def test_what_looks_the_same_and_what_does_not():
     assert len(ALIKE) < 200
 
 
+def test_twins_of_one_letter_are_found():
+    same = [("\u2f00", "一"), ("\u2fd5", "龠"), ("\u2e9f", "母"), ("\u3038", "十"), ("\u2135", "א"), ("\u03c1\u03b1\u03b9\u03c5", "paiu"), ("\u03ac", "á"), ("\u03f4", "Θ")]
+    same += [("\U0001d400\U0001d41a", "Aa"), ("\U0001d6fc", "a"), ("\U0001d6b9", "Θ"), ("\u211d", "R"), ("\u2113", "l"), ("\U0001d41e\u0301", "é"), ("x\U0001d670", "xA")]
+    for a, b in same:
+        assert canonical(a) == canonical(b) == b, (a, b)
+    for a, b in [("\U0001d7ce", "0"), ("\U0001d7d8", "0"), ("\u3131", "\u1100"), ("\u3131\u314f", "가"), ("\u03d5", "φ"), ("\u017f", "s"), ("\u2f00", "二"), ("\U0001d400", "a"), ("\u2207", "\U0001d6c1")]:
+        assert canonical(a) != canonical(b), (a, b)
+    assert not any(ALIKE.get(x, x) != x for x in ALIKE.values())
+    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xD800), *range(0xF900, 0x20000)]:
+        assert canonical(once := canonical(f"e{chr(cp)}\u0301")) == once, hex(cp)
+
+
 def test_segments_give_what_the_whole_text_would():
     rng = random.Random(6)
     pool = ["a", "e", "E", " ", "\n", "́", "̈", "̧", "​", "­", "é", "е", "и", "й", " ", "ａ", "ﾞ", "ｶ", "ᄀ", "ᅡ", "ᆨ", "가", "K", "µ", "日", "²", "ṩ", "אּ", "क़", "שׁ", "\U0001f9ec", "̈́"]
