@@ -132,7 +132,8 @@ SELECT file_id, s AS first_row, CAST(e - 1 AS BIGINT) AS last_row FROM p""",
 l AS (SELECT DISTINCT run_id, segment, min_num_reads, max_num_chunks FROM bccorrect), j AS (SELECT * FROM c LEFT JOIN l USING (run_id, segment))
 SELECT run_id, segment, seq, 'rare' AS mark FROM j WHERE cf < coalesce(min_num_reads, 1) UNION ALL SELECT run_id, segment, seq, 'common' AS mark FROM j WHERE df > max_num_chunks""",
     "p4_ngrams": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, n, array_to_string(t[i:i + n - 1], ' ') AS ngram FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w), (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(t))
-SELECT ngram, n, count(*) AS cf, count(DISTINCT doc_id) AS df, CASE WHEN count(DISTINCT doc_id) * 10 > (SELECT count(*) FROM w) THEN 'common' ELSE 'kept' END AS mark FROM g GROUP BY ngram, n HAVING count(*) >= 5""",
+g AS (SELECT doc_id, n, array_to_string(t[i:i + n - 1], ' ') AS ngram FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w), (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(t)),
+c AS (SELECT ngram, n, count(*) AS cf, count(DISTINCT doc_id) AS df, count(*) < 5 AS rare, count(DISTINCT doc_id) * 10 > (SELECT count(*) FROM w) AS common FROM g GROUP BY ngram, n)
+SELECT ngram, n, cf, df, 'rare' AS mark FROM c WHERE rare UNION ALL SELECT ngram, n, cf, df, 'common' AS mark FROM c WHERE common UNION ALL SELECT ngram, n, cf, df, 'kept' AS mark FROM c WHERE NOT rare AND NOT common""",
     "p5_found": f"""WITH {_HELD} SELECT segment, seq FROM (SELECT segment, seq, row_number() OVER (PARTITION BY segment ORDER BY sum(seq_count) DESC, seq) AS o FROM s WHERE segment IS NOT NULL GROUP BY segment, seq) WHERE o <= 20""",
 }
