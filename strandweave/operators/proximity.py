@@ -5,7 +5,7 @@ belongs to the region, so an equi-join on the cell is the answer. A cell that th
 candidates, and only they get the exact test. Cells have sides that are powers of two, so with coordinates that are binary fractions the
 interior test is as exact as the distance itself.
 
-The coverage adapts: discs use coarse cells where points are sparse and refine the coarse cells that are crowded; polygons are
+The coverage adapts: discs descend from tiles to the cells that hold points, and where these are crowded to finer ones; polygons are
 descended as a quadtree that stops at interior cells. No step gathers a cell's points in one place: crowded cells are split into
 finer cells and, past that, into salted blocks.
 """
@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable
 
-#: A coarse cell with more points than this is refined into FINE x FINE cells: below, testing its points costs less than sending a disc to more cells.
+#: Cells along the side of a tile; the occupied ones are the bits of one number.
+TILE = 8
+#: A cell with more points than this is refined into FINE x FINE cells: below, testing its points costs less than sending a disc to more cells.
 CROWDED = 48
 FINE = 4
-#: Points of one crowded coarse cell that share a salt.
+#: Points of one crowded cell that share a salt.
 BLOCK = 4096
+#: Corners of all regions together up to which their outlines are broadcast (16 bytes each); beyond, they are joined by a shuffle.
+CORNERS = 1_000_000
 
 
 def located(x: Column, y: Column, missing: float = -9999.0) -> Column:
@@ -43,56 +47,79 @@ def _reach(left: Column, bottom: Column, side: float, radius: float) -> tuple[Co
     return nx * nx + ny * ny <= radius * radius, fx * fx + fy * fy <= radius * radius
 
 
-def pairs_within(points: DataFrame, radius: float, group: str = "puck", point: str = "barcode", x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs (point_a, point_b), point_a < point_b, of two different points of one group with some place of one at most `radius` from some place of the other.
+def disc_covers(p: DataFrame, radius: float, side: float) -> tuple[DataFrame, DataFrame]:
+    """(covers, members) of points (g, p, x, y, cx, cy: the cell of the given side).
 
-    Every pair comes out once, whatever the number of places. Rows without a group, a point or a place are no points. Other columns are ignored. An
-    empty table gives no rows. Only the half of each disc that follows its own cell is covered: the other half is found from the other point.
+    covers: a row for each point's half disc (the cells after its own) and each cell there that holds points: g, cx, cy, sub, salt, p, x, y, interior, own. members: the points by
+    the same cells. A disc is sent to the tiles it meets, learns there which cells are occupied, and descends to them alone; empty cells get no row.
     """
-    side = 2.0 ** math.floor(math.log2(radius))  # a disc holds most cells of its centre; its half meets about six
-    # Written once: its cells are counted, its points are members, and its discs are covers.
-    p = durable(
-        points.select(F.col(group).alias("g"), F.col(point).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        .where(located(F.col("x"), F.col("y")) & F.col("g").isNotNull() & F.col("p").isNotNull())
-        .distinct()
-        .withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    bit = lambda cx, cy: ((cx - F.floor(cx / TILE) * TILE) * TILE + cy - F.floor(cy / TILE) * TILE).cast("int")
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    cells = p.groupBy("g", "cx", "cy").agg(F.count("*").alias("n")).withColumns({"tx": tile("cx"), "ty": tile("cy"), "bit": bit(F.col("cx"), F.col("cy"))})
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    tiles = durable(
+        cells.groupBy("g", "tx", "ty").agg(
+            F.expr("bit_or(shiftleft(1L, bit))").alias("occupied"),
+            F.collect_list(F.when(F.col("n") > CROWDED, F.struct("bit", blocks, "cx", "cy"))).alias("crowded"),  # at most TILE x TILE of them
+        )
     )
     # At most rows / CROWDED cells: broadcast when counting shows few, else joined by a shuffle.
-    crowded = broadcast_if_small(
-        p.groupBy("g", "cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("g", "cx", "cy", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    )
+    crowded = broadcast_if_small(tiles.where(F.size("crowded") > 0).select("g", F.explode("crowded").alias("c")).select("g", "c.cx", "c.cy", "c.blocks"))
     fine = side / FINE
-    fine_index = lambda fx, fy: (fx - F.col("cx") * FINE) * FINE + (fy - F.col("cy") * FINE)
-
+    fine_index = (F.floor(F.col("x") / fine) - F.col("cx") * FINE) * FINE + (F.floor(F.col("y") / fine) - F.col("cy") * FINE)
     members = p.join(crowded, ["g", "cx", "cy"], "left").select(
         "g", "cx", "cy", "p", "x", "y",
-        F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(fine_index(F.floor(F.col("x") / fine), F.floor(F.col("y") / fine))).cast("int").alias("sub"),
+        F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(fine_index).cast("int").alias("sub"),
         F.coalesce(F.pmod(F.xxhash64("p", "x", "y"), F.col("blocks")), F.lit(0)).cast("int").alias("salt"),
     )
 
     # explode, not array functions: rows stay in generated code
-    floor = lambda c, size: F.floor(c / size)
-    covers = p.select("g", "p", "x", "y", F.col("cx").alias("own_x"), F.col("cy").alias("own_y"), F.explode(F.sequence(F.col("cx"), floor(F.col("x") + radius, side))).alias("cx"))
-    covers = covers.withColumn("cy", F.explode(F.sequence(F.when(F.col("cx") == F.col("own_x"), F.col("own_y")).otherwise(floor(F.col("y") - radius, side)), floor(F.col("y") + radius, side))))
+    at = lambda c, by: F.floor((F.col(c) + by) / side)
+    discs = p.select("g", "p", "x", "y", F.col("cx").alias("own_x"), F.col("cy").alias("own_y"), at("x", radius).alias("right"), at("y", -radius).alias("bottom"), at("y", radius).alias("top"))
+    sent = discs.withColumn("tx", F.explode(F.sequence(tile("own_x"), tile("right")))).withColumn("ty", F.explode(F.sequence(tile("bottom"), tile("top"))))
+    sent = sent.where(_reach(F.col("tx") * TILE * side - F.col("x"), F.col("ty") * TILE * side - F.col("y"), TILE * side, radius)[0])
+    met = sent.join(broadcast_if_small(tiles.select("g", "tx", "ty", "occupied", F.transform("crowded", lambda c: F.struct(c.bit, c.blocks)).alias("crowded"))), ["g", "tx", "ty"])
+
+    first, last = F.greatest(F.col("tx") * TILE, F.col("own_x")), F.least(F.col("tx") * TILE + TILE - 1, F.col("right"))
+    met = met.withColumn("cx", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("ty") * TILE, F.when(F.col("cx") == F.col("own_x"), F.col("own_y")).otherwise(F.col("bottom")))
+    high = F.least(F.col("ty") * TILE + TILE - 1, F.col("top"))
+    met = met.withColumn("cy", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("bit", bit(F.col("cx"), F.col("cy")))
     meets, interior = _reach(F.col("cx") * side - F.col("x"), F.col("cy") * side - F.col("y"), side, radius)
-    covers = covers.where(meets).withColumns({"interior": interior, "own": (F.col("cx") == F.col("own_x")) & (F.col("cy") == F.col("own_y"))}).drop("own_x", "own_y").join(crowded, ["g", "cx", "cy"], "left")
+    met = met.where((F.getbit(F.col("occupied"), F.col("bit")) == 1) & meets).withColumns({"interior": interior, "own": (F.col("cx") == F.col("own_x")) & (F.col("cy") == F.col("own_y"))})
     # A crowded cell becomes FINE x FINE cells (sub) times its blocks (salt).
-    covers = covers.withColumn("sub", F.explode(F.sequence(F.when(F.col("blocks").isNull(), -1).otherwise(0), F.when(F.col("blocks").isNull(), -1).otherwise(FINE * FINE - 1))))
+    met = met.withColumn("blocks", F.when(F.size("crowded") > 0, F.get(F.filter("crowded", lambda c: c.bit == F.col("bit")), F.lit(0))["blocks"]))
+    lone = F.col("blocks").isNull()
+    met = met.withColumn("sub", F.explode(F.sequence(F.when(lone, -1).otherwise(0), F.when(lone, -1).otherwise(FINE * FINE - 1))))
     meets, interior = _reach((F.col("cx") * FINE + F.floor(F.col("sub") / FINE)) * fine - F.col("x"), (F.col("cy") * FINE + F.col("sub") % FINE) * fine - F.col("y"), fine, radius)
-    covers = covers.where(F.col("blocks").isNull() | meets).withColumn("interior", F.col("interior") | (F.col("blocks").isNotNull() & interior))
-    covers = covers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int"))))
+    met = met.where(lone | meets).withColumn("interior", F.col("interior") | (~lone & interior))
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int"))))
+    return met.select("g", "cx", "cy", "sub", "salt", "p", "x", "y", "interior", "own"), members
 
-    a, b = covers.alias("a"), members.alias("b")
-    same_cell = (F.col("a.g") == F.col("b.g")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.sub") == F.col("b.sub")) & (F.col("a.salt") == F.col("b.salt"))
-    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    near = F.col("a.interior") | (dx * dx + dy * dy <= radius * radius)
-    # Within the disc's own cell both points see each other; the order of names then keeps one of the two.
-    once = F.when(F.col("a.own"), F.col("a.p") < F.col("b.p")).otherwise(F.col("a.p") != F.col("b.p"))
-    return (
-        a.join(b, same_cell & near & once)
-        .select(F.least("a.p", "b.p").alias("point_a"), F.greatest("a.p", "b.p").alias("point_b"))
+
+def pairs_within(points: DataFrame, radius: float, group: str = "puck", point: str = "barcode", x: str = "x", y: str = "y") -> DataFrame:
+    """Pairs (point_a, point_b), point_a < point_b, of two different points of one group with some place of one at most `radius` from some place of the other.
+
+    Every pair comes out once, whatever the number of places. Rows without a group, a point or a place are no points. Other columns are ignored. An
+    empty table gives no rows. Only the half of each disc that follows its own cell is covered: the other half is found from the other point.
+    """
+    side = 2.0 ** (math.floor(math.log2(radius)) - 1)  # a disc holds several such cells wholly
+    # Written once: its cells are counted, its points are members, and its discs are covers.
+    p = durable(
+        points.select(F.col(group).alias("g"), F.col(point).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        .where(located(F.col("x"), F.col("y")) & F.col("g").isNotNull() & F.col("p").isNotNull())
         .distinct()
-    )
+        .withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    )
+    covers, members = disc_covers(p, radius, side)
+    covers = durable(covers)  # read by both branches
+    cell = ["g", "cx", "cy", "sub", "salt"]
+    # Within the disc's own cell both points see each other; the order of names then keeps one of the two.
+    new = F.when(F.col("own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))
+    sure = covers.where("interior").select(*cell, "p", "own").join(members.select(*cell, F.col("p").alias("q")), cell).where(new)
+    dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+    tested = covers.where("not interior").select(*cell, "p", "own", "x", "y").join(members.select(*cell, F.col("p").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy")), cell).where(new & (dx * dx + dy * dy <= radius * radius))
+    return sure.select("p", "q").unionByName(tested.select("p", "q")).select(F.least("p", "q").alias("point_a"), F.greatest("p", "q").alias("point_b")).distinct()
 
 
 def _crosses(px1: np.ndarray, py1: np.ndarray, px2: np.ndarray, py2: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
@@ -164,10 +191,12 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], x:
     """(keys..., region): each point with each region that contains it. `regions` has region, vertices (array of struct<x,y>) and, if `group` is given, that column, which must agree.
 
     Points without a place and regions of fewer than three vertices match nothing. A region is covered by at most about `most_cells` cells, so the
-    coverage grows with the regions and not with the points; both sides may be of any size. Repeated rows of points come out as often as they are.
+    coverage grows with the regions and not with the points; both sides may be of any size. Repeated rows of points come out as often as they are. Regions of one name are regions of
+    their own: each that contains a point gives a row; equal rows of regions count once.
     """
-    own = [F.col(group).alias("rg")] if group else [F.lit(0).alias("rg")]
-    shape = regions.select(F.col(region).alias("r"), *own, F.col(vertices).cast("array<struct<x:double,y:double>>").alias("v"))
+    own = F.col(group) if group else F.lit(0)
+    shape = regions.select(F.col(region).alias("r"), own.alias("rg"), F.col(vertices).cast("array<struct<x:double,y:double>>").alias("v")).distinct()
+    shape = shape.withColumn("id", F.md5(F.to_json(F.struct("r", "rg", "v"))))  # regions of one name are told apart
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -179,12 +208,12 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], x:
                 out += [(k, *cell) for cell in cover_polygon(xs, ys, most_cells)]
             cells = pd.DataFrame(out, columns=["k", "level", "cx", "cy", "interior"])
             at = cells.pop("k").to_numpy(dtype=int)
-            for c in ("r", "rg"):
+            for c in ("r", "rg", "id"):
                 cells[c] = rows[c].to_numpy()[at]
             yield cells
 
     kinds = dict(shape.dtypes)
-    cells = shape.mapInPandas(cover, f"level int, cx bigint, cy bigint, interior boolean, r {kinds['r']}, rg {kinds['rg']}")
+    cells = shape.mapInPandas(cover, f"level int, cx bigint, cy bigint, interior boolean, r {kinds['r']}, rg {kinds['rg']}, id string")
     levels = [row.level for row in cells.select("level").distinct().collect()]  # one number for each size of cell in use, at most about a hundred
     p = points.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], (F.col(group) if group else F.lit(0)).alias("pg"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where(located(F.col("px"), F.col("py")))
     side = F.pow(F.lit(2.0), F.col("level"))
@@ -192,5 +221,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], x:
     candidates = p.join(cells.withColumnRenamed("rg", "pg"), ["pg", "level", "cx", "cy"])
     names = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
     sure = candidates.where("interior").select(*names, F.col("r").alias(region))
-    tested = candidates.where("not interior").join(broadcast_if_small(shape.select("r", F.col("rg").alias("pg"), "v"), 5_000), ["r", "pg"]).where(contains(F.col("v"), F.col("px"), F.col("py")))
+    outlines = shape.where("v is not null").select("id", "v")
+    corners = outlines.agg(F.sum(F.size("v"))).first()[0] or 0  # one number
+    outlines = F.broadcast(outlines) if corners <= CORNERS else outlines
+    tested = candidates.where("not interior").join(outlines, "id").where(contains(F.col("v"), F.col("px"), F.col("py")))
     return sure.unionByName(tested.select(*names, F.col("r").alias(region)))

@@ -55,17 +55,21 @@ def test_discs_hold_cells_where_points_are_sparse(spark, monkeypatch):
 
     rng = random.Random(5)
     rows = [("k", f"b{i:03d}", rng.randrange(-400, 400) / 8, rng.randrange(-400, 400) / 8, None, 1) for i in range(150)]
-    df, reach, calls = spark.createDataFrame(rows, SCHEMA), proximity._reach, []
-    assert {tuple(r) for r in pairs_within(df, 10.0).collect()} == brute(rows, 10.0)
-
-    def telling(*x):
-        meets, interior = reach(*x)
-        calls.append(x)  # the first call is for the coarse cells
-        return meets, interior if len(calls) > 1 else F.when(meets & interior, F.raise_error(F.lit("a disc holds this cell"))).otherwise(F.lit(False))
-
-    monkeypatch.setattr(proximity, "_reach", telling)
-    with pytest.raises(Exception, match="a disc holds this cell"):
-        pairs_within(df, 10.0).collect()
+    made = []
+    monkeypatch.setattr(proximity, "disc_covers", lambda *a, covers=proximity.disc_covers: made.append(covers(*a)) or made[-1])
+    assert {tuple(r) for r in pairs_within(spark.createDataFrame(rows, SCHEMA), 10.0).collect()} == brute(rows, 10.0)
+    covers, members = ([r.asDict() for r in d.collect()] for d in made[0])
+    place = {r["p"]: (r["x"], r["y"]) for r in members}
+    by_cell = {}
+    for m in members:
+        by_cell.setdefault((m["cx"], m["cy"]), []).append(m["p"])
+    accepted = tested = 0
+    for c in covers:  # every cell with a cover holds points, and all points of an interior cell are near
+        there = [q for q in by_cell[c["cx"], c["cy"]] if (q > c["p"] if c["own"] else q != c["p"])]
+        near = [math.dist(place[q], (c["x"], c["y"])) <= 10 for q in there]
+        assert not c["interior"] or all(near)
+        accepted, tested = accepted + c["interior"] * len(there), tested + (not c["interior"]) * sum(near)
+    assert accepted + tested == len(brute(rows, 10.0)) and accepted > 0.3 * (accepted + tested)
 
 
 def test_coverage_has_interior_and_boundary_cells():
@@ -94,3 +98,17 @@ def test_points_in_regions_match_the_rule(spark):
     assert got == want and len(want) > 50
     assert points_in_regions(spark.createDataFrame([], "id int, x double, y double"), regions, ["id"], "x", "y").count() == 0
     assert points_in_regions(spark.createDataFrame([(1, 1.0, 1.0)], "id int, x double, y double"), regions.where("false"), ["id"], "x", "y").where(F.lit(True)).count() == 0
+
+
+def test_regions_of_one_name_keep_apart(spark):
+    box = lambda x, y, n: [(float(x), float(y)), (x + n, float(y)), (x + n, y + n / 2), (x + n / 2, y + n), (float(x), y + n)]
+    shapes = [box(0, 0, 20.0), box(50, 50, 20.0), box(10, 0, 20.0), box(0, 0, 20.0)]
+    regions = spark.createDataFrame([("same", v) for v in shapes], "region string, vertices array<struct<x:double,y:double>>")
+    rng = random.Random(8)
+    points = [(i, rng.randrange(0, 800) / 8 + 1 / 16, rng.randrange(0, 800) / 8 + 1 / 32) for i in range(600)]
+
+    def inside(v, x, y):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(v, v[1:] + v[:1])) % 2 == 1
+
+    got = sorted(r.id for r in points_in_regions(spark.createDataFrame(points, "id int, x double, y double"), regions, ["id"], "x", "y").collect())
+    assert got == sorted(i for i, x, y in points for v in shapes[:3] if inside(v, x, y)) and len(set(got)) < len(got)
