@@ -80,12 +80,15 @@ def edit_distance(a: Column, b: Column, most: int, metric: str = "osa") -> Colum
         plain = F.levenshtein(a, b, 1)
         return F.when(plain >= 0, plain).when(transposed(a, b), 1).otherwise(-1)
 
+    # Generated code decides all pairs but those near enough that exchanges of neighbours may count: only these go to Python.
+    plain = F.levenshtein(a, b, 2 * most)
+
     @F.pandas_udf("int")
     def distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in pairs:
             yield pd.Series([-1 if p is None or q is None else osa(p, q, most) for p, q in zip(x, y)], dtype="int32")
 
-    return distance(a, b)
+    return F.when(plain < 2, plain).when(plain.isNotNull(), distance(F.when(plain >= 2, a), F.when(plain >= 2, b)))
 
 
 def deletions(s: Column, most: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Most rows that a side may have to be broadcast by `broadcast_if_small`. Callers pass narrow tables (well under 200 bytes a row), so the copy stays under about 40 MB.
 BROADCAST_ROWS = 200_000
@@ -52,3 +53,15 @@ def free_name(wanted: str, taken: Sequence[str]) -> str:
     while wanted.lower() in lower:
         wanted = "_" + wanted
     return wanted
+
+
+def dense_rank_all(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """`rows` with their place from 0 in an order over the whole table. Range partitions are sorted and numbered within, then moved by the sizes of those before: what meets in one task is
+    one row a partition. The numbered rows are written once, so that a partition made again has the same numbers; rows equal in the order come in any order."""
+    at, part, before = (free_name(n, rows.columns) for n in ("_at", "_part", "_before"))
+    # The upper bits of this number are the partition, the lower 33 the row's place in it.
+    numbered = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    which, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit(2**33 - 1))
+    sizes = numbered.groupBy(which.alias(part)).agg(F.max(place + 1).alias("_size"))
+    moved = sizes.select(part, F.coalesce(F.sum("_size").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return numbered.join(F.broadcast(moved), which == F.col(part)).withColumn(name, (F.col(before) + place).cast("bigint")).drop(at, part, before)

@@ -2,67 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .common import broadcast_if_small, dense_rank_all
 
 
-def segment_counts(segments: DataFrame, names: list[str]) -> DataFrame:
-    """(segment, seq, n): rows with each sequence of each named column, missing ones (null) included."""
-    long = segments.select(F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), F.col(n).alias("seq")) for n in names])).alias("s")).select("s.*")
-    return long.groupBy("segment", "seq").agg(F.count("*").alias("n"))
+def segment_counts(segments: DataFrame, names: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., segment, seq, n): rows with each sequence of each named column, missing ones (null) included; one pass over the rows for all columns and groups."""
+    long = segments.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), F.col(n).alias("seq")) for n in names])).alias("_s")).select(*by, "_s.*")
+    return long.groupBy(*by, "segment", "seq").agg(F.count("*").alias("n"))
 
 
-def rank_counts(counts: DataFrame, seq: str = "seq", n: str = "n", least: int = 1) -> DataFrame:
-    """(seq, n, rank, log_rank): present sequences by descending count (of equals by name), from `least` on. A missing one keeps its place in the ranks.
+def rank_counts(counts: DataFrame, seq: str = "seq", n: str = "n", least: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., seq, n, rank, log_rank): present sequences of each group by descending count (of equals by name), from `least` on. A missing one keeps its place in the ranks; a null group is one like any other.
 
-    Ranks come from two steps without a global sort of all rows in one task: counts are added up by count value, which are few, then ranks are given within each value.
+    The rows are numbered in range partitions over all groups, and a group's ranks begin with its first number: no count and no group, however frequent, meets in one task.
     """
-    c = counts.select(F.col(seq).alias("s"), F.col(n).alias("n"))
-    levels = c.groupBy("n").agg(F.count("*").alias("size"))
-    before = levels.select("n", (F.sum("size").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))).alias("before"))
-    within = F.row_number().over(W.partitionBy("n").orderBy(F.col("s").asc_nulls_last()))
-    r = c.withColumn("k", within).join(before, "n").withColumn("rank", (F.col("k") + F.coalesce("before", F.lit(0))).cast("bigint"))
-    return r.where(F.col("s").isNotNull() & (F.col("n") >= least)).select(F.col("s").alias(seq), F.col("n").alias(n), "rank", F.log10("rank").alias("log_rank"))
+    c = counts.select(*by, F.col(seq).alias("s"), F.col(n).alias("n"))
+    placed = dense_rank_all(c, [*[F.col(k) for k in by], F.desc("n"), F.col("s").asc_nulls_last()], "place")
+    before = F.lit(0)
+    if by:
+        first = placed.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.min("place").alias("first"))
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        placed, before = placed.join(broadcast_if_small(first), same), F.col("first")
+    r = placed.withColumn("rank", (F.col("place") - before + 1).cast("bigint")).where(F.col("s").isNotNull() & (F.col("n") >= least))
+    return r.select(*by, F.col("s").alias(seq), F.col("n").alias(n), "rank", F.log10("rank").alias("log_rank"))
 
 
 def knee(levels: list[tuple[int, int]], sensitivity: float = 10.0) -> int | None:
     """The knee's rank of a curve given as (count, number of sequences with it); ranks from 1, counts descending. None without a knee.
 
     The curve is convex and falls. Both axes are scaled to 0..1 and the counts turned over; the difference of the curve and the diagonal rises to a maximum where the
-    fall slows down. The knee is the first maximum after which the difference drops by `sensitivity` mean steps of the rank axis before a minimum resets the threshold. As
-    counts are constant within a level, it suffices to look at each level's first and last rank. The first rank, which nothing precedes, is no maximum.
+    fall slows down. The knee is the first maximum after which the difference drops by `sensitivity` mean steps of the rank axis before a minimum resets the threshold to 0. As
+    counts are constant within a level, where the difference falls, it suffices to look at each level's first and last rank. The first rank, which nothing precedes, is no maximum.
+    All is computed in whole numbers (the difference times both extents), so that equal heights are equal.
     """
     levels = sorted(((c, m) for c, m in levels if m > 0), reverse=True)
     total = sum(m for _, m in levels)
     if total < 3 or len(levels) < 2:
         return None
-    high, low = levels[0][0], levels[-1][0]
-    step = 1 / (total - 1)
-    height = lambda c: (high - c) / (high - low)
-    starts, at = [], 0
+    high, fall = levels[0][0], levels[0][0] - levels[-1][0]
+    spans, at = [], 0
     for c, m in levels:
-        starts.append((at, at + m - 1, height(c)))
+        spans.append((at, at + m - 1, (high - c) * (total - 1)))
         at += m
-    diff = lambda i, h: h - i * step
-    threshold, candidate = None, None
-    for k, (a, z, h) in enumerate(starts):
-        following = diff(starts[k + 1][0], starts[k + 1][2]) if k + 1 < len(starts) else None
-        before = diff(starts[k - 1][1], starts[k - 1][2]) if k else None
-        top, bottom = diff(a, h), diff(z, h)
-        after_top = diff(a + 1, h) if z > a else following
-        if before is not None and top >= before and (after_top is None or top >= after_top):
-            threshold, candidate = top - sensitivity * step, a
-        if candidate is not None and z > a and bottom < threshold:
+    drop = Fraction(sensitivity) * fall
+    threshold = candidate = None
+    for k, (a, z, h) in enumerate(spans):
+        top, bottom = h - a * fall, h - z * fall
+        before = spans[k - 1][2] - (a - 1) * fall if k else None
+        following = spans[k + 1][2] - (z + 1) * fall if k + 1 < len(spans) else None
+        if before is not None and top >= before and (z > a or following is None or top >= following):
+            threshold, candidate = top - drop, a
+        if z > a and candidate is not None and bottom < threshold:
             return candidate + 1
-        if (following is None or bottom <= following) and (z > a or before is None or bottom <= before) and candidate is not None and candidate != z:
-            threshold = 0.0
+        if candidate is not None and (following is None or bottom <= following) and (z > a or before is None or bottom <= before):
+            threshold = 0
         if candidate is not None and following is not None and following < threshold:
             return candidate + 1
     return None
 
 
-def knee_rank(counts: DataFrame, n: str = "n", sensitivity: float = 10.0) -> int | None:
-    """`knee` of a table of counts. What reaches the driver is one row for each distinct count, at most about the root of twice the rows counted."""
-    levels = counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("m")).collect()
-    return knee([(r.n, r.m) for r in levels], sensitivity)
+def knee_ranks(counts: DataFrame, n: str = "n", sensitivity: float = 10.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., at): the `knee` of each group of a table of counts, null without one. A group's part is one row for each distinct count, at most about the root of twice the rows counted."""
+    levels = counts.groupBy(*by, F.col(n).alias("_n")).agg(F.count("*").alias("_m"))
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        at = knee(list(zip(rows["_n"].tolist(), rows["_m"].tolist())), sensitivity)
+        return rows[list(by)].head(1).assign(at=pd.array([at], dtype="Int64"))
+
+    kinds = dict(levels.dtypes)
+    return levels.groupBy(*by).applyInPandas(find, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "at bigint"]))

@@ -28,9 +28,10 @@ def tagged_header(header: Column, tags: Sequence[str]) -> Column:
     return F.when(complete(tags), F.concat_ws("_", header, *tags)) if tags else header
 
 
-def demux_table(rows: DataFrame, keys: Sequence[str], targets: Sequence[str], header: str = "header", into: str = "key") -> DataFrame:
-    """(key, header, targets...): rows whose key is complete; other missing values are written as `-`."""
-    return rows.select(key_column(keys).alias(into), F.col(header), *[F.coalesce(F.col(t), F.lit(MISSING)).alias(t) for t in targets]).where(F.col(into).isNotNull())
+def demux_table(rows: DataFrame, keys: Sequence[str], targets: Sequence[str], header: str = "header", into: str = "key", sample: str | None = None) -> DataFrame:
+    """(sample, key, header, targets...): rows whose key is complete; other missing values are written as `-`. Without `sample` there is none."""
+    own = [F.col(sample)] if sample else []
+    return rows.select(*own, key_column(keys).alias(into), F.col(header), *[F.coalesce(F.col(t), F.lit(MISSING)).alias(t) for t in targets]).where(F.col(into).isNotNull())
 
 
 def annotate(rows: DataFrame, tags: Sequence[str], needed: Sequence[str], header: str = "header") -> DataFrame:
@@ -38,6 +39,7 @@ def annotate(rows: DataFrame, tags: Sequence[str], needed: Sequence[str], header
     return rows.where(complete([*needed, *tags])).withColumn(header, tagged_header(F.col(header), tags))
 
 
-def demux_counts(rows: DataFrame, keys: Sequence[str], into: str = "key") -> DataFrame:
-    """(key, n) of complete keys."""
-    return rows.select(key_column(keys).alias(into)).where(F.col(into).isNotNull()).groupBy(into).agg(F.count("*").alias("n"))
+def demux_counts(rows: DataFrame, keys: Sequence[str], into: str = "key", sample: str | None = None) -> DataFrame:
+    """(sample, key, n) of complete keys, within each sample. Without `sample` there is none."""
+    own = [sample] if sample else []
+    return rows.select(*own, key_column(keys).alias(into)).where(F.col(into).isNotNull()).groupBy(*own, into).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,26 @@ def least_distance(points: DataFrame, cell: float, name: str = "spot", x: str =
     spots = points.select(F.col(name).alias("spot"), F.col(x).alias("x"), F.col(y).alias("y"))
     least = nearest_spot(beads, spots, cell, others=True).agg(F.min("dist2")).first()[0]
     return None if least is None else least**0.5
+
+
+def greatest_below(points: DataFrame, limit: float, name: str = "spot", x: str = "x", y: str = "y") -> float | None:
+    """The greatest distance of two places of points that is above 0 and below `limit`; None without one. Places meet in cells of that side, so the limit should be about their spacing."""
+    p = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+    at = p.withColumns({"cx": F.floor(F.col("x") / limit), "cy": F.floor(F.col("y") / limit)})
+    # Each pair is found from the side of the lesser cell: the half of the neighbours that follow it.
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    spread = at.withColumn("s", F.explode(steps)).select(F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    greatest = at.join(spread, ["cx", "cy"]).select(d2.alias("d2")).where((F.col("d2") > 0) & (F.col("d2") < limit * limit)).agg(F.max("d2")).first()[0]
+    return None if greatest is None else greatest**0.5
+
+
+def expansion_rate(sources: DataFrame, dests: DataFrame, source_cell: float, dest_cell: float) -> float | None:
+    """The factor by which sources are spread so that no two of them share a nearest destination: the destinations' ring of neighbours (the greatest of their distances below 1.5 times the
+    least, rounded up, as the diameter of the hexagon round a spot, rounded up) over the sources' least distance. None for fewer than two of either. Columns spot, x, y."""
+    apart = lambda p: p.groupBy("x", "y").agg(F.min("spot").alias("spot"))
+    spacing, least = least_distance(apart(dests), dest_cell), least_distance(apart(sources), source_cell)
+    if spacing is None or least is None:
+        return None
+    ring = greatest_below(dests, spacing * 1.5)
+    return math.ceil(math.ceil(ring) * 2 / math.sqrt(3)) / least

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import broadcast_if_small, dense_rank_all
+
 
 def complete(columns: Sequence[str]) -> Column:
     """Whether none of the columns is null."""
@@ -37,19 +39,6 @@ def value_ids(counts: DataFrame, value: Sequence[str], parents: Sequence[str] =
     return dense_rank_all(counts, [F.desc("n"), *[F.col(t) for t in ties]], "id")
 
 
-def dense_rank_all(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """`rows` with their place from 0 in a total order over the whole table. Range partitions are numbered within, then moved by the sizes of those before: what meets in one task is one row a partition.
-
-    The order must be total (no two rows equal in it), as partitions are made twice.
-    """
-    part, place = "_part", "_place"
-    ranged = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    numbered = ranged.withColumn(place, F.row_number().over(W.partitionBy(part).orderBy(*order)))
-    sizes = numbered.groupBy(part).agg(F.max(place).alias("_size"))
-    moved = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    return numbered.join(F.broadcast(moved), part).withColumn(name, (F.col("_before") + F.col(place) - 1).cast("bigint")).drop(part, place, "_before")
-
-
 def size_info(ids: DataFrame, parents: Sequence[str] = (), sample: str | None = None) -> DataFrame:
     """(sample,) size: how many ids an assignment must provide: all of them for a global value, the most children of one parent for a local one."""
     if not parents:
@@ -60,8 +49,6 @@ def size_info(ids: DataFrame, parents: Sequence[str] = (), sample: str | None =
 
 def attach_ids(values: DataFrame, ids: DataFrame, value: Sequence[str], parents: Sequence[str], sample: str | None, name: str) -> DataFrame:
     """`values` with the id of each row's value under its path, null where the path or value is not in the tree."""
-    from .common import broadcast_if_small
-
     keys = [*([sample] if sample else []), *parents, *value]
     return values.join(broadcast_if_small(ids.select(*keys, F.col("id").alias(name))), keys, "left")
 

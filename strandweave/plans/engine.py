@@ -13,26 +13,30 @@ from ..config.parser import is_constant
 from ..functions.sequence import constant_quality, mean_quality_code, quality_ok
 from ..operators import assign, correct, demux, translate, tree
 from ..operators.common import broadcast_if_small, durable, once
-from ..operators.counts import segment_counts
+from ..operators.counts import rank_counts, segment_counts
 from ..operators.merge_pairs import merge_reads
 from ..operators.segment import extract_segments
 from ..sources.fastq import read_fastq, with_samples, zip_mates
 from ..sources.tables import allowlist_lines, read_allowlist, read_conversion_table, read_samplesheet
 
 CustomFunction = Callable[[DataFrame], DataFrame]
+#: Prefix of the destination segments' columns in the table of translated reads.
+DEST = "dest:"
 
 
 class Pipeline:
     """A configuration over reads.
 
-    `reads` (sample, header, <READ>_seq, <READ>_qual) replaces the files that the configuration names. `custom` maps a segment to the function for its CUSTOM_CORRECTION or
-    BARTENDER_CORRECTION: distinct sequences (raw, n) -> (raw, clean). mode: `random` gives references in the shuffled order of fixed seeds, `ordered` in plain order.
+    `reads` (sample, header, <READ>_seq, <READ>_qual) replaces the files that the configuration names; rows without a sample are not corrected. `custom` maps a segment to the function for its
+    CUSTOM_CORRECTION or BARTENDER_CORRECTION: distinct sequences (sample, raw, n) -> (sample, raw, clean), or (raw, clean) for all samples alike; it is called once. mode: `random` gives references
+    in the shuffled order of fixed seeds, `ordered` in plain order.
     """
 
     def __init__(self, spark: SparkSession, config: Config, reads: DataFrame | None = None, custom: dict[str, CustomFunction] | None = None, mode: str = "random", metric: str = "osa", words: int = assign.WORDS, strict: bool = False):
         self.spark, self.config, self._reads, self.custom = spark, config, reads, custom or {}
         self.mode, self.metric, self.words, self.strict = mode, metric, words, strict
         self._maps: dict[str, DataFrame | None] = {}
+        self._counts: DataFrame | None = None
 
     # reads and segments
     def reads(self) -> DataFrame:
@@ -82,39 +86,45 @@ class Pipeline:
         return F.when(segment.isNotNull(), F.struct(F.when(ok, segment["seq"]).alias("seq"), segment["qual"].alias("qual")))
 
     # correction
+    def counts(self) -> DataFrame:
+        """(sample, segment, seq, n): the distinct sequences of every corrected segment, from one pass over the reads whatever the number of samples and segments; written once."""
+        if self._counts is None:
+            corrected = [s for s, x in self.config.extraction.lineages.items() if x.corrected]
+            if not corrected:
+                raise ConfigError("no segment is corrected")
+            rows = once(self.segments()).select("sample", *[F.col(s)["seq"].alias(s) for s in corrected])
+            self._counts = durable(segment_counts(rows, corrected, ["sample"]))
+        return self._counts
+
+    def rank_curves(self) -> DataFrame:
+        """(sample, segment, seq, n, rank, log_rank) of every corrected segment: what a rank-count plot shows."""
+        return rank_counts(self.counts(), by=["sample", "segment"])
+
     def correction_map(self, segment: str) -> DataFrame | None:
-        """(sample, raw, clean) of a corrected segment, None for others. Samples are corrected apart."""
+        """(sample, raw, clean) of a corrected segment, None for others. Samples are corrected apart, but all at once."""
         if segment not in self._maps:
             lineage = self.config.extraction.lineages[segment]
-            self._maps[segment] = self._make_map(segment, lineage) if lineage.corrected else None
+            self._maps[segment] = None
+            if lineage.corrected:
+                counts = self.counts().where((F.col("segment") == segment) & F.col("sample").isNotNull()).select("sample", "seq", "n")
+                self._maps[segment] = durable(self._map_of(segment, lineage, counts).select("sample", "raw", "clean"))  # joined by every job that needs the clean table
         return self._maps[segment]
 
-    def _make_map(self, segment: str, lineage: Lineage) -> DataFrame:
-        rows = self.segments().select("sample", F.col(segment)["seq"].alias(segment))
-        samples = [r.sample for r in rows.select("sample").distinct().collect()]  # as many as the samplesheet names
-        made = []
-        for sample in samples:
-            counts = segment_counts(rows.where(F.col("sample") == sample), [segment]).select("seq", "n")
-            made.append(self._map_of(segment, lineage, counts).select(F.lit(sample).alias("sample"), "raw", "clean"))
-        if not made:
-            return self.spark.createDataFrame([], "sample string, raw string, clean string")
-        return durable(reduce(DataFrame.unionByName, made))  # joined by every job that needs the clean table
-
     def _map_of(self, segment: str, lineage: Lineage, counts: DataFrame) -> DataFrame:
-        i2m, m2a = lineage.call("I2M_CORRECTION"), lineage.call("M2A_CORRECTION")
+        i2m, m2a, by = lineage.call("I2M_CORRECTION"), lineage.call("M2A_CORRECTION"), ["sample"]
         if lineage.call("CUSTOM_CORRECTION") or lineage.call("BARTENDER_CORRECTION"):
             if segment not in self.custom:
                 raise ConfigError(f"{segment}: give the function of its correction in `custom`")
-            return correct.custom_map(counts, self.custom[segment])
+            return correct.custom_map(counts, self.custom[segment], by)
         distance = lambda c: int(c.options["levenshtein_distance"])
         least = lambda c: int(c.options["min_num_reads"])
         if m2a:
             allowlist = read_allowlist(self.spark, m2a.options["path"])
         if i2m and m2a:
-            return correct.majority_allowlist_map(counts, allowlist, i2m.options["rank"], distance(i2m), distance(m2a), self.metric, max(least(i2m), least(m2a)))
+            return correct.majority_allowlist_map(counts, allowlist, i2m.options["rank"], distance(i2m), distance(m2a), self.metric, max(least(i2m), least(m2a)), by)
         if i2m:
-            return correct.majority_map(counts, i2m.options["rank"], distance(i2m), self.metric, least(i2m))
-        return correct.allowlist_map(counts, allowlist, distance(m2a), self.metric, least(m2a))
+            return correct.majority_map(counts, i2m.options["rank"], distance(i2m), self.metric, least(i2m), by)
+        return correct.allowlist_map(counts, allowlist, distance(m2a), self.metric, least(m2a), by)
 
     def clean(self) -> DataFrame:
         """sample, header, the segments, and for each its clean sequence as clean_<segment>."""
@@ -186,6 +196,30 @@ class Pipeline:
         rows, parts = self._destinations()
         return rows.select("sample", F.col("header").alias("Header"), *[seq.alias(d) for d, (seq, _) in parts.items()])
 
+    def translated(self) -> DataFrame:
+        """`translate` and `barcode_list` from one pass: sample, header, the destination reads, each destination segment as DEST + its name, and `complete`, whether the read survives."""
+        t = self.config.translation
+        if t is None:
+            raise ConfigError("value_translation is missing")
+        rows, parts = self._destinations()
+        made = self._reads_made(t.structures, parts)
+        out = once(rows.select("sample", "header", *[c.alias(n) for n, c in made.items()], *[seq.alias(f"{DEST}{d}") for d, (seq, _) in parts.items()]))
+        return out.withColumn("complete", tree.complete(list(made)))
+
+    def size_info(self) -> DataFrame:
+        """(component, sample, size): how many sequences an assignment must provide: all values over all samples (sample `all`), or the most children of one parent in a sample."""
+        out, combined = [], None
+        for a in self.config.translation.assignments if self.config.translation else ():
+            if a.call.name == "VALUE2SEQ":
+                group = self._group(a)
+                combined = durable(self.value_counts()) if combined is None else combined
+                ids, path = self.value_ids(group, combined)
+                size = tree.size_info(ids, path, "sample" if path else None)
+                out.append(size.select(F.lit("+".join(group)).alias("component"), F.col("sample") if path else F.lit("all").alias("sample"), "size"))
+        if not out:
+            raise ConfigError("no value is translated")
+        return reduce(DataFrame.unionByName, out)
+
     def _destinations(self) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
         """The clean reads with what the destination segments need, and sequence and quality of each."""
         t = self.config.translation
@@ -244,11 +278,15 @@ class Pipeline:
             return [(assign.alphabets(p), assign.pattern_size(p)) for p in patterns]
         return [(assign.pattern_reference(self.spark, p, size, self.mode, self.words), min(assign.pattern_size(p), max(size, self.words))) for p in patterns]
 
-    def _assembled(self, rows: DataFrame, structures: dict[str, tuple[str, ...]], parts: dict[str, tuple[Column, Column]], extra: tuple[str, ...]) -> DataFrame:
+    def _reads_made(self, structures: dict[str, tuple[str, ...]], parts: dict[str, tuple[Column, Column]]) -> dict[str, Column]:
         made = {}
         for read, components in structures.items():
             pieces = [translate.constant(c[1:-1]) if is_constant(c) else parts[c] if c in parts else self._passed(c) for c in components]
             made[f"{read}_seq"], made[f"{read}_qual"] = translate.assembled(pieces)
+        return made
+
+    def _assembled(self, rows: DataFrame, structures: dict[str, tuple[str, ...]], parts: dict[str, tuple[Column, Column]], extra: tuple[str, ...]) -> DataFrame:
+        made = self._reads_made(structures, parts)
         out = rows.select("sample", "header", *extra, *[c.alias(n) for n, c in made.items()])
         return translate.complete_cases(out, list(made))
 
@@ -265,14 +303,14 @@ class Pipeline:
         return self._passed(name)
 
     def demultiplex(self) -> DataFrame:
-        """TSV: key, Header and the target segments. FASTQ: sample, key (null without KEY), and for each read its header, sequence and quality."""
+        """TSV: sample, key, Header and the target segments. FASTQ: sample, key (null without KEY), and for each read its header, sequence and quality. Keys of samples are apart."""
         d = self.config.demultiplex
         if d is None:
             raise ConfigError("demultiplex is missing")
         rows = self.clean()
         if d.format == "TSV":
-            out = demux.demux_table(rows, self._terminals(rows, d.key), self._terminals(rows, d.target))
-            return out.toDF("key", "Header", *d.target)
+            out = demux.demux_table(rows, self._terminals(rows, d.key), self._terminals(rows, d.target), sample="sample")
+            return out.toDF("sample", "key", "Header", *d.target)
         return self._headed(rows, d.structures, d.header, d.key)
 
     def annotate(self) -> DataFrame:

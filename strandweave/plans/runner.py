@@ -3,58 +3,107 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import importlib
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config.parser import load
 from ..sources.fastq import write_fastq, write_table
-from .engine import Pipeline
+from .engine import DEST, CustomFunction, Pipeline
 
 VERBS = ("value_extraction", "value_translation", "demultiplex", "annotate_header")
+#: Intermediate tables that can be written for themselves.
+STAGES = ("segment_counts", "correction_maps", "rank_curves", "value_tree", "size_info")
 
 
 def _reads_of(df: DataFrame) -> list[str]:
     return [c[: -len("_seq")] for c in df.columns if c.endswith("_seq")]
 
 
-def _done(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _done(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
 
 
 def _flag(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
+    fs, p = _path(spark, path)
+    fs.create(p, True).close()
+
+
+@contextmanager
+def _stored(rows: DataFrame, out: str, name: str) -> Iterator[DataFrame]:
+    """The rows, written once under the results' folder, from where every sink reads its columns; removed at the end."""
+    spark, path = rows.sparkSession, f"{out}/_tmp/{name}"
+    rows.write.mode("overwrite").parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
 
 
 def write_verb(pipeline: Pipeline, verb: str, out: str) -> None:
-    """Writes one verb's result: value_extraction: corrected_table (TSV); value_translation: translated_<read> (FASTQ) and barcode_list (TSV); demultiplex: demultiplex (TSV), or
-    demultiplex_<read> (FASTQ), in folders by key; annotate_header: annotate_header_<read> (FASTQ)."""
+    """Writes one verb's result, in folders by sample: value_extraction: corrected_table (TSV), and rank_curves (TSV) if a segment is corrected; value_translation: translated_<read> (FASTQ),
+    barcode_list (TSV) and size_info (TSV); demultiplex: demultiplex (TSV), or demultiplex_<read> (FASTQ), in folders by sample and key; annotate_header: annotate_header_<read> (FASTQ).
+
+    What a verb computes is computed once: its sinks read one stored table.
+    """
     by = ["sample"]
     if verb == "value_extraction":
         write_table(pipeline.extract(), f"{out}/corrected_table", by)
+        if any(x.corrected for x in pipeline.config.extraction.lineages.values()):
+            write_stage(pipeline, "rank_curves", out)
     elif verb == "value_translation":
-        rows = pipeline.translate()
-        for read in _reads_of(rows):
-            write_fastq(rows, f"{out}/translated_{read}", "header", f"{read}_seq", f"{read}_qual", by)
-        write_table(pipeline.barcode_list(), f"{out}/barcode_list", by)
+        with _stored(pipeline.translated(), out, verb) as rows:
+            complete = rows.where("complete")
+            for read in _reads_of(rows):
+                write_fastq(complete, f"{out}/translated_{read}", "header", f"{read}_seq", f"{read}_qual", by)
+            dests = [c for c in rows.columns if c.startswith(DEST)]
+            write_table(rows.select("sample", F.col("header").alias("Header"), *[F.col(f"`{c}`").alias(c[len(DEST) :]) for c in dests]), f"{out}/barcode_list", by)
     elif verb == "demultiplex":
-        rows, d = pipeline.demultiplex(), pipeline.config.demultiplex
+        d = pipeline.config.demultiplex
         if d.format == "TSV":
-            write_table(rows, f"{out}/demultiplex", ["key"])
+            write_table(pipeline.demultiplex(), f"{out}/demultiplex", ["sample", "key"])
         else:
-            for read in _reads_of(rows):
-                write_fastq(rows, f"{out}/demultiplex_{read}", f"{read}_header", f"{read}_seq", f"{read}_qual", ["key"] if d.key else [])
+            with _stored(pipeline.demultiplex(), out, verb) as rows:
+                for read in _reads_of(rows):
+                    write_fastq(rows, f"{out}/demultiplex_{read}", f"{read}_header", f"{read}_seq", f"{read}_qual", ["sample", "key"] if d.key else by)
     elif verb == "annotate_header":
-        rows = pipeline.annotate()
-        for read in _reads_of(rows):
-            write_fastq(rows, f"{out}/annotate_header_{read}", f"{read}_header", f"{read}_seq", f"{read}_qual", by)
+        with _stored(pipeline.annotate(), out, verb) as rows:
+            for read in _reads_of(rows):
+                write_fastq(rows, f"{out}/annotate_header_{read}", f"{read}_header", f"{read}_seq", f"{read}_qual", by)
     else:
         raise ValueError(f"unknown verb {verb}")
 
 
+def write_stage(pipeline: Pipeline, stage: str, out: str) -> None:
+    """Writes an intermediate table (TSV, in folders by sample): segment_counts (segment, seq, n); correction_maps (segment, raw, clean); rank_curves (segment, seq, n, rank, log_rank); value_tree
+    (component, path, value, n, id), paths and combined values joined by `_`; size_info (component, size)."""
+    if stage == "segment_counts":
+        table = pipeline.counts()
+    elif stage == "correction_maps":
+        maps = {s: pipeline.correction_map(s) for s in pipeline.config.extraction.lineages}
+        table = reduce(DataFrame.unionByName, [m.withColumn("segment", F.lit(s)) for s, m in maps.items() if m is not None])
+    elif stage == "rank_curves":
+        table = pipeline.rank_curves()
+    elif stage == "value_tree":
+        table = pipeline.value_tree().withColumns({c: F.array_join(c, "_", "-") for c in ("path", "value")})
+    elif stage == "size_info":
+        table = pipeline.size_info()
+    else:
+        raise ValueError(f"unknown stage {stage}")
+    write_table(table, f"{out}/{stage}", ["sample"])
+
+
 def run(spark: SparkSession, pipeline: Pipeline, out: str, verbs: Sequence[str] | None = None, again: bool = False) -> list[str]:
     """The verbs that were run now. Without `verbs` all that the configuration has; a verb whose flag is there is skipped unless `again`."""
     c = pipeline.config
@@ -69,11 +118,25 @@ def run(spark: SparkSession, pipeline: Pipeline, out: str, verbs: Sequence[str]
     return ran
 
 
+def named_functions(given: Sequence[str]) -> dict[str, CustomFunction]:
+    """Functions of `segment=module:function`, for segments corrected by a user's function."""
+    out = {}
+    for text in given:
+        segment, _, name = text.partition("=")
+        module, _, function = name.partition(":")
+        if not (segment and module and function):
+            raise ValueError(f"{text} is not segment=module:function")
+        out[segment] = getattr(importlib.import_module(module), function)
+    return out
+
+
 def main(args: Sequence[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="python -m strandweave", description="Runs the verbs of a configuration.")
     p.add_argument("-conf", required=True)
     p.add_argument("-out", help="folder of the results; PROJECT_DIR by default")
     p.add_argument("-verb", action="append", choices=VERBS)
+    p.add_argument("-stage", action="append", choices=STAGES, default=[], help="write this intermediate table; without -verb nothing else")
+    p.add_argument("-custom", action="append", default=[], metavar="SEGMENT=MODULE:FUNCTION", help="the function of a CUSTOM_CORRECTION or BARTENDER_CORRECTION")
     p.add_argument("-mode", choices=("random", "ordered"), default="random")
     p.add_argument("-metric", choices=("osa", "levenshtein"), default="osa")
     p.add_argument("-aliases", action="store_true", help="understand old names of functions and options")
@@ -84,21 +147,8 @@ def main(args: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("strandweave").getOrCreate()
     ship(spark)
     config = load(o.conf, o.aliases)
-    ran = run(spark, Pipeline(spark, config, mode=o.mode, metric=o.metric), o.out or config.general["PROJECT_DIR"], o.verb, o.again)
-    print("ran", ", ".join(ran) or "nothing")
-
-
-def rank_curves(pipeline: Pipeline) -> DataFrame:
-    """(segment, seq, n, rank, log_rank) of every corrected segment: what a rank-count plot shows."""
-    from functools import reduce
-
-    from ..operators.counts import rank_counts, segment_counts
-
-    rows, out = pipeline.segments(), []
-    for s, lineage in pipeline.config.extraction.lineages.items():
-        if lineage.corrected:
-            counts = segment_counts(rows.select(F.col(s)["seq"].alias(s)), [s]).select("seq", "n")
-            out.append(rank_counts(counts).select(F.lit(s).alias("segment"), "seq", "n", "rank", "log_rank"))
-    if not out:
-        raise ValueError("no segment is corrected")
-    return reduce(DataFrame.unionByName, out)
+    pipeline, out = Pipeline(spark, config, custom=named_functions(o.custom), mode=o.mode, metric=o.metric), o.out or config.general["PROJECT_DIR"]
+    for stage in o.stage:
+        write_stage(pipeline, stage, out)
+    ran = run(spark, pipeline, out, o.verb, o.again) if o.verb or not o.stage else []
+    print("ran", ", ".join([*o.stage, *ran]) or "nothing")

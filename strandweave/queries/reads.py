@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config.parser import analyse
 from ..functions.sequence import mean_quality_code, quality_ok
 from ..operators import assign, correct, counts, demux, merge_pairs, spatial, translate, tree, wells
-from ..operators.common import broadcast_if_small, once, table
+from ..operators.common import broadcast_if_small, dense_rank_all, durable, once, table
 from ..operators.proximity import located
 from ..operators.segment import extract_segments
 from ..plans.engine import Pipeline
@@ -17,6 +17,7 @@ from ..sources.fastq import zip_mates
 READ = "^(?P<cb>.{8})(?P<umi>.{6})(?P<insert>.*)$"
 STRUCTURES = ["^(?P<cb>.{8})(?P<mark>CA)(?P<rest>.*)$", "^(?P<umi>.{6})(?P<mark>GT)(?P<rest>.*)$", "^(?P<rest>.*)$"]
 FUZZY = ["^(?P<cb>.{8})(?P<anchor>CAGAGC){s<=2}(?P<rest>.*)$"]
+ERRORS = ["^(?P<cb>.{8})(?P<anchor>CAGAGC){e<=2}(?P<rest>.*)$"]
 MAJORITY = 60
 
 
@@ -71,6 +72,12 @@ def segment_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("header", *[F.col(c)["seq"].alias(c) for c in ("cb", "anchor", "rest")])
 
 
+def segment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that allows up to two substitutions, insertions and deletions in its anchor. Where its errors lie is left to the pattern; whether it is found is not."""
+    s = extract_segments(_bare(spark, sf_dir), ERRORS)
+    return s.select("header", F.col("cb")["seq"].alias("cb"), F.col("anchor").isNotNull().alias("found"))
+
+
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = extract_segments(_bare(spark, sf_dir), [READ], wanted=["cb", "umi"])
     passed = lambda c, least, mean: F.when(quality_ok(F.col(c)["qual"], least, mean), F.col(c)["seq"]).alias(c)
@@ -117,6 +124,14 @@ def correct_i2m_m2a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corrected(spark, sf_dir, correct.majority_allowlist_map(_raw_counts(spark, sf_dir), _allowlist(spark, sf_dir), MAJORITY, 1, 1))
 
 
+def correct_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample is corrected by its own majority, then against the allowlist, all samples at once."""
+    r = synthetic_reads(spark, sf_dir)
+    c = durable(counts.segment_counts(r, ["raw"], ["sample"]).select("sample", "seq", "n"))
+    mapping = correct.majority_allowlist_map(c, _allowlist(spark, sf_dir), MAJORITY, 1, 1, by=["sample"])
+    return correct.apply_map(r, "raw", mapping, "clean", ["sample"]).groupBy("sample", "raw", "clean").agg(F.count("*").alias("n"))
+
+
 def correct_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's function: sequences that begin with A lose it, others of eight bases stay, the rest have no value."""
     own = lambda d: d.select("raw", F.when(F.col("raw").startswith("A"), F.substring("raw", 2, 9)).when(F.length("raw") == 8, F.col("raw")).otherwise("-").alias("clean"))
@@ -131,8 +146,9 @@ def correct_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knee_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences before the knee, at the sensitivity that the engine uses."""
     users = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("seq")).agg(F.count("*").alias("n"))
-    return correct.majority(users, "auto", sensitivity=1.0)
+    return correct.majority(users, "auto", sensitivity=10.0)
 
 
 def value_tree_global(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +190,7 @@ def value2seq_iupac(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value2seq_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to combinations of two references, in plain order; ids beyond their product have none."""
     ids = value_tree_local(spark, sf_dir).select("cb", "umi", "id")
-    names = lambda t, c: tree.dense_rank_all(table(spark, sf_dir, t).select(F.col(c).alias("seq")), [F.col("seq")], "id")
+    names = lambda t, c: dense_rank_all(table(spark, sf_dir, t).select(F.col(c).alias("seq")), [F.col("seq")], "id")
     a, b = names("region", "r_name"), names("nation", "n_name")
     return assign.assign_sequences(ids, "id", [("dest1", a, 5), ("dest2", b, 25)])
 
@@ -212,7 +228,7 @@ def read_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mates(spark: SparkSession, sf_dir: str, read: str, order: Column) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     key = F.concat(F.lit(f"{read}-"), F.col("o_orderkey").cast("string"))
-    r = tree.dense_rank_all(o, [order], "row_idx")
+    r = dense_rank_all(o, [order], "row_idx")
     return r.select(F.lit(0).alias("file_idx"), "row_idx", F.concat(F.lit("@"), key).alias("header"), dna(key).alias("seq"), quality(key).alias("qual"))
 
 
@@ -296,12 +312,19 @@ def union_null_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs cut from a longer molecule with a known overlap of 24 bases; every one must be put together again. (No SQL can do it, but the molecules are known.)"""
-    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("@"), F.col("o_orderkey").cast("string")).alias("header"), F.concat(dna(F.col("o_orderkey").cast("string")), dna(F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))), dna(F.concat(F.lit("y"), F.col("o_orderkey").cast("string")))).alias("molecule"))
-    second = F.reverse(F.translate(F.substring("molecule", 37, 60), "ACGT", "TGCA"))
-    pairs = o.select("header", "molecule", F.substring("molecule", 1, 60).alias("READ1_seq"), F.lit("I" * 60).alias("READ1_qual"), second.alias("READ2_seq"), F.lit("I" * 60).alias("READ2_qual"))
+    """Pairs cut from a molecule of 96 bases, which overlap in 24. By the key modulo 4: 0: both reads agree. 1: the first read has a wrong base of lower quality at place 40. 2: the second read has one at
+    place 50. 3: the mate is of another molecule, and the pair must not merge. Where reads agree the better quality holds, where not the difference (at least 2)."""
+    key = F.col("o_orderkey")
+    strand = lambda salt: dna(F.concat(F.lit(salt), key.cast("string")))
+    o = table(spark, sf_dir, "orders").select((key % 4).alias("kind"), F.concat(F.lit("@"), key.cast("string")).alias("header"), F.concat(strand(""), strand("x"), strand("y")).alias("molecule"), F.concat(strand("p"), strand("q"), strand("z")).alias("other"))
+    wrong = lambda place: F.concat(F.substring("molecule", 1, place - 1), F.translate(F.substring("molecule", place, 1), "ACGT", "CATG"), F.substring("molecule", place + 1, 96))
+    first = F.substring(F.when(F.col("kind") == 1, wrong(40)).otherwise(F.col("molecule")), 1, 60)
+    second = F.reverse(F.translate(F.substring(F.when(F.col("kind") == 2, wrong(50)).when(F.col("kind") == 3, F.col("other")).otherwise(F.col("molecule")), 37, 60), "ACGT", "TGCA"))
+    first_qual = F.when(F.col("kind") == 1, "I" * 39 + "5" + "I" * 20).otherwise("I" * 60)
+    second_qual = F.when(F.col("kind") == 2, F.reverse(F.lit("?" * 13 + "+" + "?" * 46))).otherwise("?" * 60)
+    pairs = o.select("header", first.alias("READ1_seq"), first_qual.alias("READ1_qual"), second.alias("READ2_seq"), second_qual.alias("READ2_qual"))
     m = merge_pairs.merge_reads(pairs, "READ1", "READ2", 20, 30)
-    return m.select("header", F.col("merged_seq").alias("seq"), "is_merged")
+    return m.select("header", F.col("merged_seq").alias("seq"), F.col("merged_qual").alias("qual"), "is_merged")
 
 
 TRANSLATION = """
@@ -330,6 +353,17 @@ READ1_HEADER_ADDITION = umi.value
 READ1_STRUCTURE = umi + "AC" + insert
 """
 
+DEMULTIPLEX_TABLE = """
+[value_extraction]
+READ1_STRUCTURE = ^(?P<cb>.{8})(?P<umi>.{6})(?P<insert>.*)$
+cb.filtered = QUALITY_FILTER(source: cb)
+umi.filtered = QUALITY_FILTER(source: umi, min_nucleotide_Q-score: 11, min_avg_Q-score: 33)
+[demultiplex]
+FORMAT = TSV
+KEY = cb.filtered
+TARGET = umi.filtered,insert
+"""
+
 
 def _pipeline(spark: SparkSession, sf_dir: str, text: str) -> Pipeline:
     reads = _stored(synthetic_reads(spark, sf_dir).select("header", "sample", F.col("seq").alias("READ1_seq"), F.col("qual").alias("READ1_qual")))
@@ -345,16 +379,22 @@ def demultiplex_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pipeline(spark, sf_dir, DEMULTIPLEX).demultiplex()
 
 
+def demultiplex_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a demultiplexed run of several samples that share all keys: each key belongs to a sample."""
+    d = _pipeline(spark, sf_dir, DEMULTIPLEX_TABLE).demultiplex()
+    return d.toDF(*[c.replace(".", "_") for c in d.columns])
+
+
 def extract_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _pipeline(spark, sf_dir, TRANSLATION).extract()
     return e.toDF(*[c.replace(":", "__").replace(".", "_") for c in e.columns])
 
 
 _ALL = (
-    segment_fixed, segment_alternatives, segment_fuzzy, quality_filter, segment_counts, rank_count_curve, min_num_reads, correct_m2a, correct_m2a_levenshtein, correct_i2m, correct_i2m_m2a, correct_custom, correct_clusters,
+    segment_fixed, segment_alternatives, segment_fuzzy, segment_errors, quality_filter, segment_counts, rank_count_curve, min_num_reads, correct_m2a, correct_m2a_levenshtein, correct_i2m, correct_i2m_m2a, correct_by_sample, correct_custom, correct_clusters,
     knee_majority, value_tree_global, value_tree_local, value_tree_3level, combinatorial_value, multi_sample_ids, size_info, value2seq_iupac, value2seq_multi, value2seq_random, assignment_overflow, seq2seq, mean_quality,
     read_assembly, positional_zip, complete_case, demux_counts, demux_tsv, annotate_header, dominance_profile, profile_correspondence, well_384, nearest_spot, spatial_tiles, header_to_index, header_normal, bc_sort, union_null_fill,
-    merged_pairs, translate_reads, demultiplex_reads, extract_reads,
+    merged_pairs, translate_reads, demultiplex_reads, demultiplex_samples, extract_reads,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -392,6 +432,7 @@ SQL = {
 SELECT header, matched, CASE matched WHEN 1 THEN substr(seq, 1, 8) END AS cb, CASE matched WHEN 2 THEN substr(seq, 1, 6) END AS umi, CASE matched WHEN 1 THEN 'CA' WHEN 2 THEN 'GT' END AS mark, CASE matched WHEN 1 THEN substr(seq, 11) WHEN 2 THEN substr(seq, 9) ELSE seq END AS rest FROM m""",
     "segment_fuzzy": f"""WITH {_READS}, m AS (SELECT *, hamming(substr(seq, 9, 6), 'CAGAGC') <= 2 AS hit FROM r)
 SELECT header, CASE WHEN hit THEN substr(seq, 1, 8) END AS cb, CASE WHEN hit THEN substr(seq, 9, 6) END AS anchor, CASE WHEN hit THEN substr(seq, 15) END AS rest FROM m""",
+    "segment_errors": f"""WITH {_READS}, m AS (SELECT header, cb, list_min(list_transform(range(4, 9), lambda k: levenshtein(substr(seq, 9, k), 'CAGAGC'))) <= 2 AS found FROM r) SELECT header, CASE WHEN found THEN cb END AS cb, found FROM m""",
     "quality_filter": f"WITH {_READS}, {_FILTERED} SELECT * FROM f",
     "segment_counts": f"WITH {_READS} SELECT 'cb' AS segment, cb AS seq, count(*) AS n FROM r GROUP BY cb UNION ALL SELECT 'umi' AS segment, umi AS seq, count(*) AS n FROM r GROUP BY umi",
     "rank_count_curve": f"WITH {_OBS} SELECT raw AS seq, n, rank, round(log10(rank), 6) AS log_rank FROM (SELECT *, row_number() OVER (ORDER BY n DESC, raw) AS rank FROM o)",
@@ -401,8 +442,18 @@ SELECT header, CASE WHEN hit THEN substr(seq, 1, 8) END AS cb, CASE WHEN hit THE
     "correct_i2m": f"WITH {_OBS}, {_TOP}, m AS ({_nearest('o', 't', 1, order='d, w DESC, seq')}) {_APPLIED}",
     "correct_i2m_m2a": f"""WITH {_OBS}, {_ALLOW}, {_TOP}, m1 AS ({_nearest('o', 't', 1, order='d, w DESC, seq')}), j AS (SELECT DISTINCT clean AS raw FROM m1), m2 AS ({_nearest('j', '(SELECT seq, 0 AS w FROM a)', 1)}),
 m AS (SELECT m1.raw, m2.clean FROM m1 JOIN m2 ON m1.clean = m2.raw) {_APPLIED}""",
+    "correct_by_sample": f"""WITH {_READS}, o AS (SELECT sample, raw, count(*) AS n FROM r GROUP BY ALL), {_ALLOW}, t AS (SELECT sample, raw AS seq, n AS w FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY n DESC, raw) AS k FROM o) WHERE k <= {MAJORITY}),
+m1 AS (SELECT sample, raw, seq AS mid FROM (SELECT x.sample, raw, seq, row_number() OVER (PARTITION BY x.sample, raw ORDER BY damerau_levenshtein(raw, seq), w DESC, seq) AS q FROM o AS x JOIN t ON x.sample = t.sample AND damerau_levenshtein(raw, seq) <= 1) WHERE q = 1),
+m2 AS (SELECT mid, seq AS clean FROM (SELECT mid, seq, row_number() OVER (PARTITION BY mid ORDER BY damerau_levenshtein(mid, seq), seq) AS q FROM (SELECT DISTINCT mid FROM m1) JOIN a ON damerau_levenshtein(mid, seq) <= 1) WHERE q = 1)
+SELECT r.sample, r.raw, clean, count(*) AS n FROM r LEFT JOIN (SELECT sample, raw, clean FROM m1 JOIN m2 USING (mid)) m ON r.sample = m.sample AND r.raw = m.raw GROUP BY ALL""",
     "correct_custom": f"WITH {_READS} SELECT raw, CASE WHEN raw LIKE 'A%' THEN substr(raw, 2) WHEN length(raw) = 8 THEN raw END AS clean, count(*) AS n FROM r GROUP BY ALL",
     "correct_clusters": f"WITH {_OBS}, m AS (SELECT raw, min(raw) OVER (PARTITION BY substr(raw, 1, 5)) AS clean FROM o) {_APPLIED}",
+    "knee_majority": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS seq, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)) AS rank FROM events GROUP BY user_id),
+b AS (SELECT max(n) AS high, max(n) - min(n) AS fall, count(*) AS m FROM r), y AS (SELECT rank AS i, (high - n) * (m - 1) - (rank - 1) * fall AS y, fall FROM r, b),
+e AS (SELECT *, lag(y) OVER (ORDER BY i) AS before, lead(y) OVER (ORDER BY i) AS following FROM y),
+k AS (SELECT *, i > 1 AND y >= before AND y >= coalesce(following, y) AS top, y <= coalesce(before, y) AND y <= coalesce(following, y) AS low FROM e),
+s AS (SELECT *, last_value(CASE WHEN top THEN i END IGNORE NULLS) OVER (ORDER BY i) AS knee, last_value(CASE WHEN low THEN 0 WHEN top THEN y - 10 * fall END IGNORE NULLS) OVER (ORDER BY i) AS threshold FROM k),
+t AS (SELECT arg_min(knee, i) AS knee FROM s WHERE knee IS NOT NULL AND following < threshold) SELECT seq, n, rank FROM r, t WHERE knee IS NULL OR rank < knee""",
     "value_tree_global": f"WITH {_READS}, {_RANKS} SELECT * FROM g",
     "value_tree_local": f"WITH {_READS}, {_LOCAL} SELECT * FROM l",
     "value_tree_3level": """SELECT c_nationkey AS nation, c_custkey AS customer, o_orderpriority AS priority, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey, c_custkey ORDER BY count(*) DESC, o_orderpriority) - 1 AS id
@@ -446,12 +497,14 @@ a AS (SELECT (x - x0) * 2 AS x, (y - y0) * 2 AS y FROM s, b) SELECT CAST(floor(x
     "bc_sort": f"""WITH i AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS reindex FROM part GROUP BY p_brand), t AS (SELECT DISTINCT p_brand, substr({_DNA('p_brand')}, 1, 8) AS dest FROM part WHERE p_size < 10)
 SELECT p_brand AS source, dest, reindex FROM t JOIN i USING (p_brand)""",
     "union_null_fill": f"WITH {_READS} SELECT header, cb, NULL AS umi FROM r WHERE l_linenumber <= 2 UNION ALL SELECT header, NULL AS cb, umi FROM r WHERE l_linenumber > 2",
-    "merged_pairs": f"""WITH k AS (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders) SELECT concat('@', k) AS header, concat({_DNA('k')}, {_DNA("concat('x', k)")}, {_DNA("concat('y', k)")}) AS seq, true AS is_merged FROM k""",
+    "merged_pairs": f"""WITH k AS (SELECT o_orderkey % 4 AS kind, CAST(o_orderkey AS VARCHAR) AS k FROM orders) SELECT concat('@', k) AS header, CASE WHEN kind <> 3 THEN concat({_DNA('k')}, {_DNA("concat('x', k)")}, {_DNA("concat('y', k)")}) END AS seq,
+CASE kind WHEN 0 THEN repeat('I', 60) || repeat('?', 36) WHEN 1 THEN repeat('I', 39) || '+' || repeat('I', 20) || repeat('?', 36) WHEN 2 THEN repeat('I', 49) || '?' || repeat('I', 10) || repeat('?', 36) END AS qual, kind <> 3 AS is_merged FROM k""",
     "translate_reads": f"""WITH {_READS}, s AS (SELECT header, sample, seq, qual, CASE WHEN {_OK('substr(qual, 1, 8)', 5, 30)} THEN cb END AS cb, umi FROM r), t AS (SELECT * FROM s WHERE cb IS NOT NULL),
 g AS (SELECT sample, cb, row_number() OVER (ORDER BY count(*) DESC, cb, sample) - 1 AS id FROM t GROUP BY sample, cb), l AS (SELECT sample, cb, umi, row_number() OVER (PARTITION BY sample, cb ORDER BY count(*) DESC, umi) - 1 AS id FROM t GROUP BY sample, cb, umi)
 SELECT s.sample, header, {_word('g.id', 8)} || {_word('l.id', 9)} || 'TCTC' AS "READ1_seq", repeat(chr({_CODE('substr(qual, 1, 8)')}), 8) || repeat(chr({_CODE('substr(qual, 9, 6)')}), 9) || 'IIII' AS "READ1_qual", substr(seq, 15) AS "READ2_seq", substr(qual, 15) AS "READ2_qual"
 FROM s JOIN g ON s.sample = g.sample AND s.cb = g.cb JOIN l ON s.sample = l.sample AND s.cb = l.cb AND s.umi = l.umi""",
     "demultiplex_reads": f"""WITH {_READS}, s AS (SELECT *, CASE WHEN {_OK('substr(qual, 1, 8)', 5, 20)} THEN cb END AS key FROM r) SELECT sample, header, key, concat(header, '_', umi) AS "READ1_header", concat(umi, 'AC', substr(seq, 15)) AS "READ1_seq",
 concat(repeat(chr({_CODE('substr(qual, 9, 6)')}), 6), 'II', substr(qual, 15)) AS "READ1_qual" FROM s WHERE key IS NOT NULL""",
+    "demultiplex_samples": f"""WITH {_READS}, {_FILTERED.replace("SELECT header", "SELECT header, sample, substr(seq, 15) AS insert")} SELECT sample, cb AS key, header AS "Header", coalesce(umi, '-') AS umi_filtered, insert AS insert_clean1 FROM f WHERE cb IS NOT NULL""",
     "extract_reads": f"""WITH {_READS} SELECT sample, header AS "Header", CASE WHEN {_OK('substr(qual, 1, 8)', 5, 30)} THEN cb END AS cb__cb_value, substr(seq, 15) AS insert__insert_clean1, umi AS umi__umi_value FROM r""",
 }

@@ -89,13 +89,13 @@ def test_files_to_translation_and_back(spark, project):
     tree = pipe.value_tree().collect()
     assert {r.component for r in tree} == {"cb", "umi"} and min(r.id for r in tree) == 0
     keyed = pipe.demultiplex()
-    assert keyed.columns == ["key", "Header", "umi.v", "ins.clean1"] and keyed.count() == 240
-    write_table(keyed.toDF("key", "Header", "umi", "ins"), str(project / "demux"), ["key"])
-    assert len(list((project / "demux").glob("key=*"))) == 3
+    assert keyed.columns == ["sample", "key", "Header", "umi.v", "ins.clean1"] and keyed.count() == 240
+    write_table(keyed.toDF("sample", "key", "Header", "umi", "ins"), str(project / "demux"), ["sample", "key"])
+    assert len(list((project / "demux").glob("sample=*/key=*"))) == 6  # the keys of two samples keep apart
 
 
 def test_runner_writes_and_goes_on(spark, project):
-    from strandweave.plans.runner import rank_curves, run
+    from strandweave.plans.runner import STAGES, run, write_stage
 
     pipe = Pipeline(spark, analyse(FORWARD.format(p=project)), mode="ordered")
     out = str(project / "results")
@@ -105,7 +105,44 @@ def test_runner_writes_and_goes_on(spark, project):
     assert table.count() == 240 and {"Header", "cb:cb.v", "sample"} <= set(table.columns)
     assert spark.read.csv(f"{out}/barcode_list", sep="\t", header=True).where("d1 is not null and d2 is not null").count() == 240
     assert spark.read.text(f"{out}/translated_READ1", lineSep="\n").where("value like '@%'").count() == 240
-    assert [r.segment for r in rank_curves(pipe).select("segment").distinct().collect()] == ["cb"]
+    assert {p.name for p in (project / "results" / "demultiplex").glob("sample=*")} == {"sample=heart", "sample=liver"} and not list((project / "results" / "_tmp").glob("*"))
+    curves = spark.read.csv(f"{out}/rank_curves", sep="\t", header=True, inferSchema=True).collect()
+    for sample in ("heart", "liver"):  # ranks run within a sample
+        own = sorted((r["rank"], r.n) for r in curves if r["sample"] == sample)
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and sum(x[1] for x in own) == 120 and own == sorted(own, key=lambda x: -x[1])
+    for stage in STAGES:
+        write_stage(pipe, stage, out)
+    read = lambda stage: spark.read.csv(f"{out}/{stage}", sep="\t", header=True, inferSchema=True)
+    assert {tuple(r) for r in read("size_info").where("component = 'cb'").select("sample", "size").collect()} == {("all", 6)}
+    assert read("value_tree").where("component = 'umi'").groupBy("sample", "path").agg(F.max("id").alias("m")).groupBy("sample").agg((F.max("m") + 1).alias("size")).exceptAll(read("size_info").where("component = 'umi'").select("sample", "size")).count() == 0
+    assert read("correction_maps").where("clean in ('ACGTACGT', 'TTGGCCAA', 'GATTACAG')").count() == read("correction_maps").count() > 3 and read("segment_counts").agg(F.sum("n")).first()[0] == 240
+
+
+def test_correction_takes_as_many_jobs_for_many_samples_as_for_one(spark):
+    rng = random.Random(4)
+    cells = ["ACGTACGT", "TTGGCCAA", "GATTACAG"]
+    rows = [(f"s{i % 30}", f"@r{i}", (c := cells[min(rng.randrange(5), 2)])[: rng.randrange(1, 9)] + rng.choice("ACGT") + c[8:] if i % 9 == 0 else cells[i // 30 % 3], "I" * 8) for i in range(900)]
+    text = "[value_extraction]\nREAD1_STRUCTURE=^(?P<cb>.{8})(?P<end>.*)$\ncb.c=I2M_CORRECTION(source:cb, rank:%s)"
+    jobs = {}
+    for rank in ("2", "auto"):
+        for samples in (1, 30):
+            reads = spark.createDataFrame([(f"s{int(s[1:]) % samples}", *r) for s, *r in rows], "sample string, header string, READ1_seq string, READ1_qual string")
+            spark.sparkContext.setJobGroup(f"{rank}{samples}", "correction")
+            made = {(r.sample, r.raw): r.clean for r in Pipeline(spark, analyse(text % rank), reads).correction_map("cb").collect()}
+            jobs[rank, samples] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{rank}{samples}"))
+            if rank == "2":  # each sample has a majority of its own
+                assert all(len({c for (s, _), c in made.items() if s == f"s{k}"}) == 2 for k in range(samples))
+        assert jobs[rank, 1] == jobs[rank, 30] > 0, jobs
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_functions_by_name(spark):
+    from strandweave.plans.runner import named_functions
+
+    assert named_functions(["cb=os.path:join"])["cb"].__name__ == "join" and named_functions([]) == {}
+    for bad in ("cb", "cb=os", "=os:path"):
+        with pytest.raises(ValueError):
+            named_functions([bad])
 
 
 def test_fastq_source(spark, tmp_path):

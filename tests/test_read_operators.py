@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -73,13 +75,14 @@ def test_distance_columns(spark):
 
 
 @pytest.mark.parametrize("distance", [1, 2])
-def test_similarity_join_ways_agree(spark, monkeypatch, distance):
+def test_similarity_joins_match_brute_force(spark, monkeypatch, distance):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("ACGT") for _ in range(rng.randrange(5, 8)))
     left, right = spark.createDataFrame([(word(),) for _ in range(150)] + [(None,)], "l string"), spark.createDataFrame([(word(),) for _ in range(150)] + [(None,)], "r string")
-    loop = {tuple(r) for r in correct.similar(left, right, distance).collect()}
-    monkeypatch.setattr(correct, "NESTED_LOOP_ROWS", 0)
-    assert {tuple(r) for r in correct.similar(left, right, distance).collect()} == loop and loop
+    every = {(a.l, b.r, d) for a in left.collect() for b in right.collect() if a.l and b.r and (d := full_osa(a.l, b.r)) <= distance}
+    assert {tuple(r) for r in correct.similar(left, right, distance).collect()} == every and every
+    monkeypatch.setattr("strandweave.operators.common.broadcast_if_small.__defaults__", (0,))
+    assert {tuple(r) for r in correct.similar(left, right, distance).collect()} == every
 
 
 def test_correction_maps(spark):
@@ -107,6 +110,69 @@ def test_knee_of_a_curve():
     assert counts.knee([(5, 10)]) is None and counts.knee([]) is None
 
 
+def published_knee(values, sensitivity):
+    """The knee by the algorithm as it is published, rank by rank, in exact numbers; but the first rank is no maximum."""
+    n, high, low = len(values), max(values), min(values)
+    if n < 3 or high == low:
+        return None
+    y = [Fraction(high - v, high - low) - Fraction(i, n - 1) for i, v in enumerate(values)]
+    left, right = [y[max(i - 1, 0)] for i in range(n)], [y[min(i + 1, n - 1)] for i in range(n)]
+    maxima = [i for i in range(1, n) if y[i] >= left[i] and y[i] >= right[i]]
+    minima = {i for i in range(n) if y[i] <= left[i] and y[i] <= right[i]}
+    threshold = at = None
+    for i in range(maxima[0] if maxima else n, n - 1):
+        if i in maxima:
+            threshold, at = y[i] - Fraction(sensitivity) / (n - 1), i
+        if i in minima:
+            threshold = 0
+        if y[i + 1] < threshold:
+            return at + 1
+    return None
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 30)), min_size=1, max_size=14), st.sampled_from([0.5, 1.0, 3.0, 10.0]))
+def test_knee_matches_the_published_algorithm(levels, sensitivity):
+    levels = list(dict(levels).items())
+    assert counts.knee(levels, sensitivity) == published_knee(sorted((c for c, m in levels for _ in range(m)), reverse=True), sensitivity)
+
+
+def test_maps_of_groups_are_those_of_each_group(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("ACGT") for _ in range(6)) for _ in range(40)]
+    rows = [(g, w, rng.choice([1, 2, 50, 60])) for g in "xyz" for w in rng.sample(words, 25)] + [("x", None, 5), (None, words[0], 9)]
+    df = spark.createDataFrame(rows, "g string, seq string, n bigint")
+    allow = spark.createDataFrame([(w,) for w in words[:8]], "seq string")
+    ways = {
+        "m2a": lambda c, by: correct.allowlist_map(c, allow, 2, by=by), "i2m": lambda c, by: correct.majority_map(c, 5, 2, by=by), "auto": lambda c, by: correct.majority_map(c, "auto", 1, by=by),
+        "both": lambda c, by: correct.majority_allowlist_map(c, allow, 5, 2, 2, by=by), "own": lambda c, by: correct.custom_map(c, lambda d: d.select("raw", F.reverse("raw").alias("clean")), by),
+    }
+    for name, way in ways.items():
+        got = {tuple(r) for r in way(df, ["g"]).where("g is not null").collect()}
+        assert got == {(g, r.raw, r.clean) for g in "xyz" for r in way(df.where(F.col("g") == g).drop("g"), []).collect()}, name
+    ranks = {(r.g, r.seq): r.rank for r in counts.rank_counts(df, by=["g"]).collect()}
+    for g in ("x", "y", "z", None):
+        own = sorted(((-n, s is None, s) for h, s, n in rows if h == g))
+        assert {k[1]: v for k, v in ranks.items() if k[0] == g} == {s: i + 1 for i, (_, _, s) in enumerate(own) if s is not None}
+
+
+def test_a_distance_too_great_for_the_terms_is_an_error(spark):
+    c = spark.createDataFrame([("AAA", 9), ("AAC", 1)], "seq string, n bigint")
+    with pytest.raises(correct.DistanceError):
+        correct.majority_map(c, 1, 1)
+    assert correct.majority_map(c, 2, 1).count() == 2  # nothing is to be corrected
+    assert correct.majority_map(spark.createDataFrame([("AAAA", 9), ("AAAC", 1)], "seq string, n bigint"), 1, 1).count() == 2
+
+
+def test_plans_have_no_loops_and_no_single_task(spark):
+    c = spark.range(1000).select(F.hex(F.col("id") * 7919 + 1_000_000).alias("seq"), F.lit(1).alias("n"))
+    plan = correct.similar(c.select(F.col("seq").alias("l")), c.select(F.col("seq").alias("r")))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    ranked = counts.rank_counts(c)
+    assert "NestedLoop" not in (plan := ranked._jdf.queryExecution().executedPlan().toString()) and plan.count("SinglePartition") <= 1  # the offsets
+    assert sorted(r.rank for r in ranked.collect()) == list(range(1, 1001)) and [r.seq for r in ranked.orderBy("rank").collect()] == sorted(r.seq for r in c.collect())
+
+
 def test_tree_of_three_levels_and_samples(spark):
     rng = random.Random(4)
     rows = [(rng.choice("st"), rng.choice(["p", "q", None]), rng.choice(["a", "b"]), rng.choice(["x", "y", "z"])) for _ in range(200)]
@@ -179,6 +245,13 @@ def test_nearest_spot_matches_brute_force(spark):
     spot_table = spark.createDataFrame(spots, "spot string, x double, y double")
     least = min(((u - w) ** 2 + (v - z) ** 2) ** 0.5 for s, u, v in spots for t, w, z in spots if s < t)
     assert abs(spatial.least_distance(spot_table, 30.0) - least) < 1e-9 and spatial.least_distance(spot_table.limit(1), 30.0) is None
+    grid = [(f"g{i}{j}", i * 100.0 + 50 * (j % 2), j * 86.0) for i in range(6) for j in range(6)]
+    grid_table = spark.createDataFrame([*grid, ("twin", 0.0, 0.0)], "spot string, x double, y double")
+    all_d = {math.dist(a[1:], b[1:]) for a in grid for b in grid if a != b}
+    ring = max(d for d in all_d if d < 1.5 * min(all_d))
+    assert abs(spatial.greatest_below(grid_table, 1.5 * min(all_d)) - ring) < 1e-9
+    assert abs(spatial.expansion_rate(spot_table, grid_table, 30.0, 100.0) - math.ceil(math.ceil(ring) * 2 / 3**0.5) / least) < 1e-9
+    assert spatial.expansion_rate(spot_table.limit(1), grid_table, 30.0, 100.0) is None
     none = spark.createDataFrame([], "spot string, x double, y double")
     assert spatial.nearest_spot(spark.createDataFrame(beads, "bead string, x double, y double"), none, 30.0).count() == 0
 
