@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import durable
 from ..operators.heavy_keys import heavy_keys
 
 #: Parts into which a heavy first term is spread.
@@ -28,94 +28,98 @@ PARTS = 16
 TERMS = 2**20
 
 
-def _changes(columns: list[np.ndarray]) -> np.ndarray:
-    """Where a row differs from the one before it in any column (the first row: True)."""
-    out = np.zeros(len(columns[0]), dtype=bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
+def _differs(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it (the first: True); missing values are equal, and so are NaN."""
+    out = np.ones(len(column), dtype=bool)
+    if len(column) > 1:
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        unlike = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(column.type):
+            unlike = pc.and_not(unlike, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        out[1:] = unlike.to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
     return out
 
 
+def _row(columns: list[pa.Array], at: int) -> tuple:
+    return tuple(None if (v := c[at].as_py()) is None or v != v else v for c in columns)
+
+
 class PrefixStack:
-    """Open prefixes, one for each length, over suffixes in reverse lexicographic order; works on whole batches."""
+    """Open prefixes, one for each length, over suffixes in reverse lexicographic order; works on whole Arrow batches, in which no term becomes an object of its own."""
 
-    def __init__(self, scope: int, longest: int):
-        self.scope, self.longest = scope, longest
-        self.open: list[list | None] = [None] * longest  # key, occurrences, records of the open prefix of each length
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.open: list[tuple[pa.RecordBatch, int, int] | None] = [None] * longest  # keys and terms, occurrences, records of the open prefix of each length
 
-    def push(self, keys: list[np.ndarray], terms: list[np.ndarray], count: np.ndarray, records: list[np.ndarray]) -> list[tuple]:
-        """Adds a batch; the prefixes that it closes, as (scope..., terms up to the length, length, occurrences, records)."""
-        closed: list[tuple] = []
+    def push(self, keys: list[pa.Array], terms: list[pa.Array], count: np.ndarray, records: list[np.ndarray]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+        """Adds a batch; yields the prefixes that it closes: (keys and terms up to the length, length, occurrences, records)."""
+        changed = np.zeros(len(count), dtype=bool)
+        for c in keys:
+            changed |= _differs(c)
         for n in range(1, self.longest + 1):
-            has = np.flatnonzero(np.array([t is not None for t in terms[n - 1]], dtype=bool))
+            changed = changed | _differs(terms[n - 1])
+            has = np.flatnonzero(terms[n - 1].is_valid().to_numpy(zero_copy_only=False))
             if not len(has):
                 continue
-            columns = [c[has] for c in (*keys, *terms[:n])]
-            at = np.flatnonzero(_changes(columns))
+            group = np.cumsum(changed)[has]
+            at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             sums, marks = np.add.reduceat(count[has], at), np.add.reduceat(records[n - 1][has], at)
-            rows = [[k, int(c), int(r)] for k, c, r in zip(zip(*(c[at] for c in columns)), sums, marks)]
-            before = self.open[n - 1]
-            if before is not None and before[0] == rows[0][0]:
-                rows[0][1] += before[1]
-                rows[0][2] += before[2]
-            elif before is not None:
-                rows.insert(0, before)
-            closed += ((k, n, c, r) for k, c, r in rows[:-1])
-            self.open[n - 1] = rows[-1]
-        return closed
-
-    def finish(self) -> list[tuple]:
-        return [(k, n + 1, c, r) for n, x in enumerate(self.open) if x is not None for k, c, r in [x]]
-
-
-def _count(suffixes: DataFrame, scope: list[str], longest: int, record: bool, least: int) -> DataFrame:
-    """scope..., t1..tn, n, cf, df of suffixes (s0.., t1.., c, d1.., and record) that are heavy or not."""
+            columns = [*keys, *terms[:n]]
+            where = pa.array(has[at])
+            found = pa.RecordBatch.from_arrays([c.take(where) for c in columns], [str(i) for i in range(len(columns))])
+            if (before := self.open[n - 1]) is not None:
+                if _row(before[0].columns, 0) == _row(found.columns, 0):
+                    sums[0] += before[1]
+                    marks[0] += before[2]
+                else:
+                    yield before[0], n, np.array([before[1]]), np.array([before[2]])
+            last = len(at) - 1
+            if last:
+                yield found.slice(0, last), n, sums[:last], marks[:last]
+            self.open[n - 1] = found.take(pa.array([last])), int(sums[last]), int(marks[last])
+
+    def finish(self) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+        for n, x in enumerate(self.open, 1):
+            if x is not None:
+                yield x[0], n, np.array([x[1]]), np.array([x[2]])
+
+
+def _count(suffixes: DataFrame, seen: DataFrame, scope: list[str], longest: int, record: bool, least: int) -> DataFrame:
+    """scope..., t1..tn, n, cf, df of suffixes (s0.., t1.., c, d1.., or record). `seen` (s0.., t1) is sketched for heavy first terms. The suffixes are made, sorted and counted once."""
     keys, terms, marks = [f"s{i}" for i in range(len(scope))], [f"t{i}" for i in range(1, longest + 1)], [f"d{i}" for i in range(1, longest + 1)]
-    first = suffixes.withColumn("route", F.xxhash64(*keys, "t1"))
-    marked = first.join(F.broadcast(heavy_keys(first, "route")), F.col("route") == F.col("heavy"), "left")
+    route = F.xxhash64(*keys, "t1")
+    heavy = heavy_keys(seen.select(route.alias("route")), "route")
+    marked = suffixes.withColumn("route", route).join(F.broadcast(heavy), F.col("route") == F.col("heavy"), "left")
     part = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64("record" if record else "t2" if longest > 1 else "t1"), F.lit(PARTS))).otherwise(F.lit(-1)).cast("int")
     routed = marked.withColumn("part", part).drop("route", "heavy").repartition(*keys, "t1", "part")
     order = [F.col("part"), *[F.col(k).asc_nulls_first() for k in keys], *[F.col(t).desc_nulls_last() for t in terms]] + ([F.col("record")] if record else [])
     kinds = dict(suffixes.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{t} string" for t in terms] + ["n int, cf bigint, df bigint, part int"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack, last = PrefixStack(len(keys) + 1, longest), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, last = PrefixStack(longest), None
 
-        def rows(closed: list[tuple]) -> pd.DataFrame:
-            out = [(*k[1:], *[None] * (longest - n), n, c, r, k[0]) for k, n, c, r in closed if c >= least or k[0] >= 0]
-            return pd.DataFrame(out, columns=[*keys, *terms, "n", "cf", "df", "part"])
+        def rows(found: pa.RecordBatch, n: int, c: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+            size = len(c)
+            columns = [*found.columns[1:], *[pa.nulls(size, pa.string())] * (longest - n), pa.array(np.full(size, n), pa.int32()), pa.array(c, pa.int64()), pa.array(r, pa.int64()), found.columns[0]]
+            out = pa.RecordBatch.from_arrays(columns, [*keys, *terms, "n", "cf", "df", "part"])
+            return out.filter(pc.or_(pc.greater_equal(out["cf"], least), pc.greater_equal(out["part"], 0)))
 
         for b in batches:
             if not len(b):
                 continue
-            columns = {c: b[c].to_numpy() for c in b.columns}
-            ks = [columns["part"], *[_plain(columns[k]) for k in keys]]
-            ts = [_plain(columns[t]) for t in terms]
+            ks, ts = [b["part"], *[b[k] for k in keys]], [b[t] for t in terms]
             if record:  # one row or more for each record: a change of the record within a term marks a new one
-                r = _plain(columns["record"])
-                new = _changes([*ks, ts[0], r])
-                edge = tuple(c[-1] for c in (*ks, ts[0], r))
-                if last is not None and tuple(c[0] for c in (*ks, ts[0], r)) == last:
-                    new[0] = False
-                last, records = edge, [new.astype(np.int64)]
+                own = [*ks, ts[0], b["record"]]
+                new = np.logical_or.reduce([_differs(c) for c in own])
+                new[0] = last is None or _row(own, 0) != last
+                last, records = _row(own, len(b) - 1), [new.astype(np.int64)]
             else:
-                records = [columns[m] for m in marks]
-            yield rows(stack.push(ks, ts, columns["c"], records))
-        yield rows(stack.finish())
-
-    counted = routed.sortWithinPartitions(*order).mapInPandas(run, schema)
-    return counted
-
+                records = [b[m].to_numpy() for m in marks]
+            yield from (rows(*x) for x in stack.push(ks, ts, b["c"].to_numpy(), records))
+        yield from (rows(*x) for x in stack.finish())
 
-def _plain(values: np.ndarray) -> np.ndarray:
-    """Missing values as None, so that they compare equal."""
-    if values.dtype == object:
-        return values
-    if values.dtype.kind == "f":
-        return np.array([None if v != v else v for v in values.tolist()], dtype=object)
-    return values
+    return durable(routed.sortWithinPartitions(*order).mapInArrow(run, schema))  # read for whole and for partial counts
 
 
 def _merged(counted: DataFrame, scope: list[str], longest: int, least: int) -> DataFrame:
@@ -125,21 +129,23 @@ def _merged(counted: DataFrame, scope: list[str], longest: int, least: int) -> D
     return counted.where("part < 0").drop("part").unionByName(parts).select(*[F.col(k).alias(s) for k, s in zip(keys, scope)], *terms, "n", "cf", "df")
 
 
-def value_counts(rows: DataFrame, scope: list[str], term: str, record: str, weight: str) -> DataFrame:
+def value_counts(rows: DataFrame, scope: list[str], term: str, record: str, weight: str, sketch_over: DataFrame | None = None) -> DataFrame:
     """scope..., term, cf, df: of every distinct term of a scope the sum of the weights and the number of distinct records.
 
     A record may be any number of rows, also several with the same term. Rows without a term count for nothing; a null weight counts as 0; a null scope or record
-    is a value like any other.
+    is a value like any other. `sketch_over`: rows (scope, term) to sketch for heavy terms instead of `rows` (the same ones before an expensive step); it never changes the result.
     """
     s = rows.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], F.col(term).alias("t1"), F.col(record).alias("record"), F.coalesce(F.col(weight).cast("bigint"), F.lit(0)).alias("c")).where(F.col("t1").isNotNull())
     keys = [f"s{i}" for i in range(len(scope))]
+    seen = (rows if sketch_over is None else sketch_over).select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], F.col(term).alias("t1")).where(F.col("t1").isNotNull())
+    names = [*keys, "t1", "record"]
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.groupby([*keys, "t1", "record"], as_index=False, dropna=False, sort=False)["c"].sum()
+            yield from pa.Table.from_batches([b]).group_by(names, use_threads=False).aggregate([("c", "sum")]).select([*names, "c_sum"]).rename_columns([*names, "c"]).to_batches()
 
-    combined = s.mapInPandas(combine, s.schema)
-    return _merged(_count(combined, scope, 1, True, -(2**62)), scope, 1, -(2**62)).withColumnRenamed("t1", term).drop("n")
+    combined = s.mapInArrow(combine, s.schema)
+    return _merged(_count(combined, seen, scope, 1, True, -(2**62)), scope, 1, -(2**62)).withColumnRenamed("t1", term).drop("n")
 
 
 def _pieces(lists: pa.ListArray) -> Iterator[pa.ListArray]:
@@ -189,6 +195,7 @@ def ngram_counts(records: DataFrame, terms: str, longest: int = 3, least: int =
             yield pa.RecordBatch.from_arrays(out, [*t, "c", *d])
 
     schema = ", ".join([f"{x} string" for x in t] + ["c bigint"] + [f"{x} bigint" for x in d])
-    s = records.select(F.col(terms).alias("terms")).mapInArrow(suffixes, schema)
-    counted = _merged(_count(s, [], longest, False, least), [], longest, least)
+    r = records.select(F.col(terms).alias("terms"))
+    seen = r.select(F.explode("terms").alias("t1")).where(F.col("t1").isNotNull())
+    counted = _merged(_count(r.mapInArrow(suffixes, schema), seen, [], longest, False, least), [], longest, least)
     return counted.select(F.filter(F.array(*t), lambda x: x.isNotNull()).alias("ngram"), "n", "cf", "df")
