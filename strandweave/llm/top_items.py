@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.common import durable
+
 #: Rows in a sorted run.
 RUN_ROWS = 100_000
 
@@ -32,20 +35,21 @@ class _Late:
         return self.s > other.s
 
 
-def _combined(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(parts).groupby(["g", "v"], as_index=False, sort=True)["c"].sum()
+def _combined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = pa.Table.from_batches(parts).group_by(["g", "v"], use_threads=False).aggregate([("c", "sum")]).rename_columns(["g", "v", "c"])
+    yield from sums.sort_by([("g", "ascending"), ("v", "ascending")]).to_batches()
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
     for b in batches:
         held.append(b)
         rows += len(b)
         if rows >= RUN_ROWS:
-            yield _combined(held)
+            yield from _combined(held)
             held, rows = [], 0
     if rows:
-        yield _combined(held)
+        yield from _combined(held)
 
 
 def most_frequent(rows: DataFrame, group: str, value: str, weight: str | None = None, k: int = 20) -> DataFrame:
@@ -106,7 +110,8 @@ def most_frequent(rows: DataFrame, group: str, value: str, weight: str | None =
         if now is not None:
             yield flush()
 
-    ranged = r.mapInPandas(_runs, "g string, v string, c bigint").repartitionByRange("g", "v").sortWithinPartitions("g", "v")
+    runs = durable(r.mapInArrow(_runs, "g string, v string, c bigint"))  # read once more, for the ranges' limits
+    ranged = runs.repartitionByRange("g", "v").sortWithinPartitions("g", "v")
     best = ranged.mapInPandas(merge, "g string, v string, c bigint")
     order = W.partitionBy("g").orderBy(F.col("c").desc(), "v")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("g").alias(group), F.col("v").alias(value), F.col("c").alias("n"), "rank")
