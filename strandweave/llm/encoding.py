@@ -5,6 +5,9 @@ chunk is encoded once, wherever it occurs. At the joins of a text's chunks the i
 re-encoding between the nearest places where both agree for certain: the tokenizer's pattern always breaks between a character that is not white space
 and one that is, whatever lies before or behind, so ids up to such a place in the left chunk and from such a place in the right one
 are those of the whole text. If a chunk has no such place, it joins the text to be re-encoded and the next chunk is looked at.
+
+Texts are read once. A chunk's bytes are sent once by each task, and its other uses as references beside them; sorted by chunk, they meet its ids, and go with them to their texts. A
+task that meets a chunk very often sends further references to parts of its own, in which the chunk is encoded again: no part grows with the number of texts.
 """
 
 from __future__ import annotations
@@ -17,12 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.common import durable
-from ..operators.heavy_keys import heavy_keys
-
 #: Folder of the public vocabulary files, readable by every executor.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
@@ -31,8 +32,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Bytes of the shortest chunk (but a text's last) and of the longest; a hash has MASK_BITS zero bits once in 2**MASK_BITS places.
 SHORTEST, LONGEST, MASK_BITS = 1024, 16384, 11
-#: Parts into which the rows of a chunk are spread that occurs very often.
-PARTS = 64
+#: References to a chunk that a task sends to the part it shares with other tasks, and those it sends to each further part of its own.
+SHARED, OWN = 16, 4096
+#: Chunks whose uses a task remembers at once; it bounds memory, and forgetting one only sends its bytes again.
+REMEMBERED = 2**18
 
 
 @lru_cache(maxsize=4)
@@ -81,19 +84,28 @@ def chunk_ends(data: bytes, places: np.ndarray | None = None) -> list[int]:
     return ends
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
-    """(row, number, chunks of the row, bytes) of every chunk of a batch's texts."""
-    for row, text in enumerate(batch.column("t")):
-        data = text.as_buffer().to_pybytes() if text.is_valid else b""
-        ends = chunk_ends(data)
-        for k, (a, z) in enumerate(zip([0, *ends], ends)):
-            yield row, k, len(ends), data[a:z]
-
-
 def _digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+class Uses:
+    """The parts to which a task sends its references to chunks."""
+
+    def __init__(self, task: int):
+        self.task, self.count = task, {}
+
+    def part(self, digest: bytes) -> tuple[int, bool]:
+        """The part of the next reference to a chunk, and whether the chunk's bytes must go there too. Part 0 is that of all tasks."""
+        if len(self.count) >= REMEMBERED:
+            self.count.clear()
+        n = self.count.get(digest, 0)
+        self.count[digest] = n + 1
+        if n < SHARED:
+            return 0, n == 0
+        own, at = divmod(n - SHARED, OWN)
+        return (self.task + 1) * 2**32 + own, at == 0
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     """Arrays of ids as a column of lists."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -155,62 +167,72 @@ class Stitcher:
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids ARRAY<INT>): the ids of every text by the tokenizer, without special tokens, the text taken as it is. Empty and null texts have an empty list.
 
-    `key` must be unique. Chunks travel once for encoding and their ids once for each text; a chunk of very many texts is spread over PARTS tasks.
+    Every row comes out once: keys may repeat or be null. Other columns are ignored. Chunks travel once for encoding and their ids once to each text. A task that is made again must see its
+    rows in the same order, as it does from files; rows that come out of a shuffle should be written first.
     """
     kind = dict(docs.dtypes)[key]
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    full = source.where(F.col("t").isNotNull() & (F.col("t") != ""))
-
-    def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(row, k, n, _digest(c)) for row, k, n, c in _pieces(b)]
-            if rows:
-                row, k, n, h = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())], ["id", "k", "n", "h"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        uses = Uses(context.partitionId() if context else 0)
         for b in batches:
-            seen: dict[bytes, bytes] = {}  # within a batch a chunk is sent once
-            for _, _, _, c in _pieces(b):
-                seen[_digest(c)] = c
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["h", "chunk"])
+            rows: list[tuple] = []
+            for row, t in enumerate(b.column("t")):
+                data = t.as_buffer().to_pybytes() if t.is_valid else b""
+                ends = chunk_ends(data) or [0]
+                pieces = [data[a:z] for a, z in zip([0, *ends], ends)]
+                digests = [_digest(c) for c in pieces]
+                of = digests[0] if len(digests) == 1 else _digest(b"".join(digests))  # stands for the text: rows of one key are told apart by it
+                for k, (c, h) in enumerate(zip(pieces, digests)):
+                    part, first = uses.part(h)
+                    rows.append((row, of, k, len(pieces), h, part, c if first else None))
+            row, of, k, n, h, part, chunk = zip(*rows) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(pa.array(row, pa.int64())), pa.array(of, pa.binary()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary()), pa.array(part, pa.int64()), pa.array(chunk, pa.binary())],
+                ["id", "of", "k", "n", "h", "part", "chunk"],
+            )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = encoder(folder, name), None
+        enc, before, ids = encoder(folder, name), None, b""
         small = _width(enc)  # ids travel as bytes, two each for vocabularies up to 65,536
         for b in batches:
-            keys, ids = [], []
-            for h, c in zip(b.column("h").to_pylist(), b.column("chunk").to_pylist()):
-                if h != before:  # sorted by h: each distinct chunk is encoded once
-                    keys.append(h)
-                    ids.append(np.array(enc.encode_ordinary(c.decode("utf-8")), dtype=small).tobytes())
-                before = h
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], ["h", "ids"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = _width(encoder(folder, name))
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), _lists([np.frombuffer(x, dtype=small) for x in b.column("ids").to_pylist()])], ["id", "ids"])
+            out = []
+            for h, part, c in zip(b.column("h").to_pylist(), b.column("part").to_pylist(), b.column("chunk").to_pylist()):
+                if (h, part) != before:  # sorted, bytes first: each distinct chunk of a part is encoded once
+                    before, ids = (h, part), np.array(enc.encode_ordinary(c.decode("utf-8")), dtype=small).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "of", "k", "n")), pa.array(out, pa.binary())], ["id", "of", "k", "n", "ids"])
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stitcher, small = Stitcher(encoder(folder, name)), _width(encoder(folder, name))
+        now, last, copies, whole, kinds = None, -1, 0, None, None
+
+        def text() -> tuple[list, list]:
+            ids = np.array(stitcher.finish(), dtype=np.int32) if whole is None else whole
+            return [now[0]] * copies, [ids] * copies
+
         for b in batches:
+            kinds = b.schema.field("id").type
             keys, out = [], []
-            for i, k, n, ids in zip(range(len(b)), b.column("k").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist()):
-                stitcher.add(np.frombuffer(ids, dtype=small).tolist())
-                if k == n - 1:
-                    keys.append(i)
-                    out.append(np.array(stitcher.finish(), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keys, pa.int64())), _lists(out)], ["id", "ids"])
-
-    refs = durable(full.mapInArrow(references, f"id {kind}, k int, n int, h binary"))
-    often = F.broadcast(heavy_keys(refs.select(F.hex("h").alias("hx")), "hx").select(F.unhex("heavy").alias("h"), F.lit(PARTS).alias("parts")))
-    encoded = full.mapInArrow(chunks, "h binary, chunk binary").repartition("h").sortWithinPartitions("h").mapInArrow(encode, "h binary, ids binary")
-    spread = encoded.join(often, "h", "left").select("h", "ids", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"))
-    placed = refs.join(often, "h", "left").select("id", "k", "n", "h", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
-    got = placed.join(spread, ["h", "part"]).select("id", "k", "n", "ids")
-    single = got.where("n = 1").select("id", "ids").mapInArrow(unpack, f"id {kind}, ids array<int>")
-    several = got.where("n > 1").repartition("id").sortWithinPartitions("id", "k").mapInArrow(stitch, f"id {kind}, ids array<int>")
-    nothing = source.where(F.col("t").isNull() | (F.col("t") == "")).select("id", F.array().cast("array<int>").alias("ids"))
-    return single.unionByName(several).unionByName(nothing).select(F.col("id").alias(key), "ids")
+            for i, of, k, n, ids in zip(*(b.column(c).to_pylist() for c in ("id", "of", "k", "n", "ids"))):
+                if now is None or (i, of) != now:
+                    if now is not None:
+                        done = text()
+                        keys, out = keys + done[0], out + done[1]
+                    now, last, copies, whole = (i, of), -1, 0, None
+                copies += k == 0
+                if k != last:  # equal rows have equal chunks: the text is joined once and given as often as it is there
+                    last = k
+                    if n == 1:
+                        whole = np.frombuffer(ids, dtype=small)
+                    else:
+                        stitcher.add(np.frombuffer(ids, dtype=small).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kinds), _lists(out)], ["id", "ids"])
+        if now is not None:
+            keys, out = text()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kinds), _lists(out)], ["id", "ids"])
+
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    sent = source.mapInArrow(chunks, f"id {kind}, of binary, k int, n int, h binary, part bigint, chunk binary")
+    encoded = sent.repartition("h", "part").sortWithinPartitions("h", "part", F.col("chunk").isNull()).mapInArrow(encode, f"id {kind}, of binary, k int, n int, ids binary")
+    return encoded.repartition("id", "of").sortWithinPartitions("id", "of", "k").mapInArrow(stitch, f"id {kind}, ids array<int>").withColumnRenamed("id", key)
