@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import broadcast_if_small, clean_value, durable, table
-from .boundary_split import cut_rows, row_valleys, split_texts
+from .boundary_split import cut_rows, row_blocks, row_counts, row_valleys, split_texts
 from .encoding import encode_texts
 from .lookalikes import canonical_column, same_looking_pairs
 from .packing import pack_items, unused
@@ -47,13 +47,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "value_extraction").where("file_id is not null").select("file_id", "run_id", same_path(F.col("read1_path")).alias("path")).distinct()
     files = files.join(runs, "run_id", "left").select("file_id", "path", F.coalesce("limit", F.lit(DEFAULT_READS)).cast("bigint").alias("limit"), F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"))
     reads = table(spark, sf_dir, "fastq_record").where("row_idx is not null")
-    # row_idx has no gaps, so the number of distinct ones is the greatest plus 1; one small row a file and task is sent. Written paths are made one name after that.
-    sizes = durable(reads.groupBy("read1_path").agg((F.max("row_idx") + 1).alias("n")).select("read1_path", "n", same_path(F.col("read1_path")).alias("path")))  # one row a file, used three times
-    large = durable(files.join(sizes.groupBy("path").agg(F.max("n").alias("n")), "path").where(F.col("n") > F.greatest("limit", F.lit(1))))
-    written = large.join(sizes.select("path", "read1_path"), "path").select("file_id", "read1_path")
+    # No file has more different row_idx than rows, so only files with enough rows are looked into. One small row a file and task is sent; written paths are made one name after that.
+    sizes = durable(reads.groupBy("read1_path").agg(F.count("*").alias("rows")).select("read1_path", "rows", same_path(F.col("read1_path")).alias("path")))
+    long = durable(files.join(sizes.groupBy("path").agg(F.sum("rows").alias("rows")), "path").where(F.col("rows") > F.greatest("limit", F.lit(1))))
+    written = long.join(sizes.select("path", "read1_path"), "path").select("file_id", "read1_path")
     rows = reads.select("read1_path", "row_idx", "header").join(broadcast_if_small(written), "read1_path").select("file_id", "row_idx", lane_tile(F.col("header")).alias("tile"))
-    valleys = row_valleys(rows, "file_id", "row_idx", "tile")
-    return cut_rows(large.select("file_id", "n", "limit", "overlap"), valleys, "file_id", "row_idx").select("file_id", F.col("first").alias("first_row"), F.col("last").alias("last_row"))
+    blocks = row_blocks(rows, "file_id", "row_idx", "tile")
+    large = long.join(row_counts(blocks, "file_id"), "file_id").where(F.col("n") > F.greatest("limit", F.lit(1)))
+    return cut_rows(large.select("file_id", "n", "limit", "overlap"), row_valleys(blocks, "file_id"), "file_id").select("file_id", F.col("first").alias("first_row"), F.col("last").alias("last_row"))
 
 
 def p2_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +62,20 @@ def p2_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # 4 and 5: sequences over the chunks of a run, and over everything
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of seqcountsummary with the value of seq, and `own`: a number for each row without row_id, which can't be the repeat of another."""
+    own = F.when(F.col("row_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    return table(spark, sf_dir, "seqcountsummary").select("row_id", own, "loaded_at", "run_id", "segment", "chunk", clean_value(F.col("seq")).alias("seq"), "seq_count")
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, segment, chunk, seq, seq_count): the last delivery of each row with a value. Rows without row_id can't be told from repeats and are left out."""
-    s = table(spark, sf_dir, "seqcountsummary").where("row_id is not null").select("row_id", "loaded_at", "run_id", "segment", "chunk", clean_value(F.col("seq")).alias("seq"), "seq_count")
+    """(run_id, segment, chunk, seq, seq_count): the last delivery of each row with a value; each row without row_id is a delivery of its own."""
     held = F.max(F.struct("loaded_at", "run_id", "segment", "chunk", "seq", "seq_count")).alias("h")
-    return s.repartition("row_id").groupBy("row_id").agg(held).select("h.*").where(F.col("seq").isNotNull()).drop("loaded_at")
+    return summaries(spark, sf_dir).repartition("row_id", "own").groupBy("row_id", "own").agg(held).select("h.*").where(F.col("seq").isNotNull()).drop("loaded_at")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = value_counts(deliveries(spark, sf_dir), ["run_id", "segment"], "seq", "chunk", "seq_count")
+    counts = value_counts(deliveries(spark, sf_dir), ["run_id", "segment"], "seq", "chunk", "seq_count", sketch_over=summaries(spark, sf_dir))
     limits = table(spark, sf_dir, "bccorrect").groupBy("run_id", "segment").agg(F.max("min_num_reads").alias("least"), F.max("max_num_chunks").alias("most"))
     c = counts.join(broadcast_if_small(limits), ["run_id", "segment"], "left")
     marks = F.array_compact(F.array(F.when(F.col("cf") < F.coalesce("least", F.lit(1)), "rare"), F.when(F.col("df") > F.col("most"), "common")))
@@ -113,7 +119,8 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_text_pieces, p4_found, p4_ngrams, p5_found, p6_ids, p7_packed, p8_found, p8_canonical)}
 
-_HELD = "s AS (SELECT * FROM (SELECT run_id, segment, chunk, nullif(upper(trim(seq, ' \t')), '-') AS seq, seq_count, row_number() OVER (PARTITION BY row_id ORDER BY loaded_at DESC) AS o FROM seqcountsummary) WHERE o = 1 AND seq IS NOT NULL AND seq <> '')"
+_HELD = """d AS (SELECT *, CASE WHEN row_id IS NULL THEN row_number() OVER () END AS own FROM seqcountsummary),
+s AS (SELECT * FROM (SELECT run_id, segment, chunk, nullif(upper(trim(seq, ' \t')), '-') AS seq, seq_count, row_number() OVER (PARTITION BY row_id, own ORDER BY loaded_at DESC) AS o FROM d) WHERE o = 1 AND seq IS NOT NULL AND seq <> '')"""
 
 SQL = {
     "p2_found": r"""WITH RECURSIVE q AS (SELECT DISTINCT run_id, CASE WHEN trim(coalesce(num_reads, ''), ' \t') = '' THEN 2000000 ELSE CAST(CAST(regexp_replace(num_reads, '[\s,_]', '', 'g') AS DOUBLE) AS BIGINT) END AS l, coalesce(overlap_reads, 0) AS o FROM qsub),

@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
-from strandweave.llm.boundary_split import Cutter, cut_rows, row_valleys, split_text, split_texts
+import pytest
+
+from strandweave.llm.boundary_split import REACH, Cutter, cut_rows, row_blocks, row_counts, row_valleys, split_text, split_texts
 from strandweave.llm.queries import lane_tile, same_path, whole_number
 from pyspark.sql import functions as F
 
@@ -62,11 +65,63 @@ def test_rows_over_blocks_with_gaps_in_terms_and_repeats(spark, monkeypatch):
     df = spark.createDataFrame(rows, "item int, place bigint, term string")
     items = spark.createDataFrame([(1, 100, 20, 3), (2, 37, 20, 3), (3, 5, 20, 3), (4, 64, 20, 3), (5, 0, 20, 3), (6, 50, 20, 3)], "item int, n bigint, limit bigint, overlap bigint")
     got: dict = {}
-    for i, a, z in cut_rows(items, row_valleys(df, "item", "place", "term"), "item", "place").collect():
+    blocks = row_blocks(df, "item", "place", "term")
+    assert {tuple(r) for r in row_counts(blocks, "item").collect()} == {(1, 100), (2, 37), (3, 5), (4, 64)}
+    for i, a, z in cut_rows(items, row_valleys(blocks, "item"), "item").collect():
         got.setdefault(i, set()).add((a, z))
     assert got == want | {6: set(greedy(50, 20, 3, []))}
     nothing = spark.createDataFrame([], "item int, place bigint, term string")
-    assert cut_rows(items.where("false"), row_valleys(nothing, "item", "place", "term"), "item", "place").count() == 0
+    assert cut_rows(items.where("false"), row_valleys(row_blocks(nothing, "item", "place", "term"), "item"), "item").count() == 0
+
+
+def brute_valleys(terms, w):
+    """Similarity and depth as they are stated, unit by unit; the first units without a term have the first known one."""
+    known, now = [], next((t for t in terms if t is not None), None)
+    for t in terms:
+        now = now if t is None else t
+        known.append(now)
+    s = {}
+    for g in range(1, len(known)):
+        a, b = Counter(known[max(0, g - w) : g]), Counter(known[g : g + w])
+        s[g] = sum(n * b[t] for t, n in a.items()) / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5
+    at = lambda g: s.get(g, 1.0)
+    out = {}
+    for g, v in s.items():
+        if v < 1 and v <= at(g - 1) and v <= at(g + 1):
+            peaks = []
+            for way in (-1, 1):
+                peak = v
+                for k in range(1, REACH * w + 1):
+                    if at(g + way * k) < at(g + way * (k - 1)):
+                        break
+                    peak = at(g + way * k)
+                else:
+                    peak = 1.0
+                peaks.append(peak)
+            if sum(peaks) > 2 * v:
+                out[g] = sum(peaks) - 2 * v
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_valleys_of_wider_blocks_match_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr("strandweave.llm.boundary_split.ROWS_A_BLOCK", 16)
+    rng = random.Random(width)
+    items = {}
+    for item, n in ((1, 150), (2, 90), (3, 16), (4, 1), (5, 70), (6, 33)):
+        topic, terms = 0, []
+        for _ in range(n):
+            topic += rng.random() < 0.1
+            terms.append(None if rng.random() < 0.2 else f"t{topic * 2 % 7 + rng.randrange(2)}" if item != 6 else rng.choice("abcdefghijk"))
+        items[item] = terms
+    items[5][10:60] = [None] * 50  # whole blocks without a term
+    rows = [(i, p, t) for i, terms in items.items() for p, t in enumerate(terms)]
+    rng.shuffle(rows)
+    valleys = row_valleys(row_blocks(spark.createDataFrame(rows, "item int, place bigint, term string"), "item", "place", "term"), "item", width).collect()
+    got = {(r.item, p): round(d, 9) for r in valleys for p, d in zip(r.places, r.depths)}
+    want = {(i, g): round(d, 9) for i, terms in items.items() for g, d in brute_valleys(terms, width).items()}
+    assert got == want and len(want) > 20
+    assert width > 1 or set(want.values()) == {2.0}
 
 
 def test_texts_are_covered_within_the_limit():

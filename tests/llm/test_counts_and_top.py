@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from strandweave.llm import term_counts, top_items
 from strandweave.llm.queries import p4_ngrams
 from strandweave.llm.term_counts import ngram_counts, value_counts
@@ -85,18 +87,45 @@ def test_ngrams_of_records_in_pieces(spark, monkeypatch):
 
 def test_batches_cut_runs_anywhere():
     import numpy as np
+    import pyarrow as pa
 
     rng = random.Random(9)
-    rows = sorted([(rng.choice("ab"), rng.choice("xyz")) for _ in range(200)], reverse=True)
-    whole, parts = term_counts.PrefixStack(0, 2), term_counts.PrefixStack(0, 2)
-
-    def feed(stack, chunk):
-        a, b = (np.array([r[i] for r in chunk], dtype=object) for i in (0, 1))
-        return stack.push([], [a, b], np.ones(len(chunk), dtype=np.int64), [np.ones(len(chunk), dtype=np.int64)] * 2)
-
-    one = feed(whole, rows) + whole.finish()
-    many = [x for k in range(0, 200, 7) for x in feed(parts, rows[k : k + 7])] + parts.finish()
-    assert sorted(one) == sorted(many)
+    rows = sorted([(rng.choice([None, 1.5, float("nan")]), rng.choice("ab"), rng.choice(["x", "y", "z", None])) for _ in range(300)], key=lambda r: (r[0] is not None, r[0] == r[0], *[(x is not None, x or "") for x in r[1:]]), reverse=True)
+    count = lambda r: (hash(r[1:]) % 5) + 1
+
+    def counted(size):
+        stack, out = term_counts.PrefixStack(2), Counter()
+        closed = []
+        for k in range(0, len(rows), size):
+            chunk = rows[k : k + size]
+            columns = [pa.array([r[i] for r in chunk], kind) for i, kind in enumerate((pa.float64(), pa.string(), pa.string()))]
+            c = np.array([count(r) for r in chunk], dtype=np.int64)
+            closed += stack.push(columns[:1], columns[1:], c, [np.ones(len(chunk), dtype=np.int64)] * 2)
+        for found, n, c, r in [*closed, *stack.finish()]:
+            for i in range(len(c)):
+                key = tuple(str(x[i].as_py()) for x in found.columns)
+                assert (n, key) not in out
+                out[n, key] = (int(c[i]), int(r[i]))
+        return dict(out)
+
+    want = {}
+    for n in (1, 2):
+        for r in rows:
+            if n == 1 or r[2] is not None:
+                c, m = want.get((n, k := tuple(str(x) for x in r[: n + 1])), (0, 0))
+                want[n, k] = (c + count(r), m + 1)
+    assert counted(300) == counted(7) == counted(1) == want
+
+
+def test_rows_without_an_id_are_deliveries_of_their_own(spark, tmp_path):
+    from strandweave.llm.queries import p4_found, p5_found
+
+    rows = [(1, "r", "umi", 0, "aa", 5, 1), (1, "r", "umi", 0, "AC", 7, 2), (None, "r", "umi", 1, " aa", 2, 1), (None, "r", "umi", 1, " aa", 2, 1), (2, "r", "umi", 2, "-", 9, 1), (None, "r", "umi", 3, None, 9, 1), (3, None, "umi", 1, "AA\t", 1, 1)]
+    s = spark.createDataFrame(rows, "row_id bigint, run_id string, segment string, chunk int, seq string, seq_count bigint, t int").withColumn("loaded_at", F.timestamp_seconds("t"))
+    s.write.parquet(str(tmp_path / "seqcountsummary.parquet"))
+    spark.createDataFrame([("r", "umi", 5, 0)], "run_id string, segment string, min_num_reads int, max_num_chunks int").write.parquet(str(tmp_path / "bccorrect.parquet"))
+    assert {tuple(r) for r in p4_found(spark, str(tmp_path)).collect()} == {("r", "umi", "AA", "rare"), ("r", "umi", "AA", "common"), ("r", "umi", "AC", "common")}  # AA: 2 + 2 in chunk 1
+    assert sorted(tuple(r) for r in p5_found(spark, str(tmp_path)).collect()) == [("umi", "AA"), ("umi", "AC")]
 
 
 def test_most_frequent_matches_brute_force(spark, monkeypatch):

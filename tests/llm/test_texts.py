@@ -1,12 +1,13 @@
 import random
 import unicodedata
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandweave.llm import encoding
-from strandweave.llm.encoding import Stitcher, chunk_ends, encode_texts, encoder
+from strandweave.llm.encoding import OWN, SHARED, Stitcher, Uses, chunk_ends, encode_texts, encoder
 from strandweave.llm.lookalikes import ALIKE, canonical, canonical_column, same_looking_pairs
 from strandweave.llm.packing import pack, pack_items, unused
 
@@ -39,23 +40,33 @@ def test_chunks_follow_the_content():
         assert (ends[-1] if d else 0) == (len(d) if d else 0) and "".join(d[x:y].decode() for x, y in zip([0, *ends], ends)) == text
 
 
-def test_ids_equal_those_of_whole_texts(spark, monkeypatch):
-    monkeypatch.setattr(encoding, "PARTS", 4)
+def test_ids_equal_those_of_whole_texts(spark):
     rng = random.Random(3)
     boiler = random_text(rng, 900)
     texts = [random_text(rng, rng.randrange(0, 1500)) for _ in range(40)] + [boiler + random_text(rng, 50) for _ in range(20)] + ["", None, " ", "x" * 70_000, " " * 40_000, "\n" * 30_000, "日" * 9_000, boiler, boiler]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
-    got = {r.doc_id: r.ids for r in encode_texts(df).collect()}
     enc = encoder()
-    assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    want = {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in encode_texts(df).collect()} == want
     assert encode_texts(df.where("false")).count() == 0
+    # rows of one key, or of none, keep apart
+    same = df.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.lit(7))).unionByName(df.where("doc_id < 3").withColumn("doc_id", F.lit(7)))
+    rows = sorted((r.doc_id or 0, tuple(r.ids)) for r in encode_texts(same).collect())
+    assert rows == sorted([(7 if i % 3 else 0, tuple(v)) for i, v in want.items()] + [(7, tuple(want[i])) for i in range(3)])
 
 
-def test_chunks_of_very_many_texts_are_spread(spark):
+def test_chunks_of_very_many_texts_are_spread():
+    uses = Uses(5)
+    got = [uses.part(b"hot") for _ in range(SHARED + 2 * OWN + 1)]
+    assert got[0] == (0, True) and got[1 : SHARED] == [(0, False)] * (SHARED - 1) and got[SHARED] == (6 * 2**32, True) and got[SHARED + 1] == (6 * 2**32, False)
+    assert sum(first for _, first in got) == 4 and max(Counter(part for part, _ in got).values()) == OWN and uses.part(b"other") == (0, True)
+
+
+def test_ids_of_a_text_in_very_many_parts(spark):
     text = "same words in every text. " * 20
-    df = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.lit(text)).otherwise(F.concat(F.lit(text * 4), F.col("id").cast("string"))).alias("text"))
     rows = encode_texts(df).collect()
-    assert len(rows) == 1500 and {tuple(r.ids) for r in rows} == {tuple(encoder().encode_ordinary(text))}
+    assert len(rows) == 9000 == len({r.doc_id for r in rows}) and all(tuple(r.ids) == tuple(encoder().encode_ordinary(text if r.doc_id % 3 < 2 else text * 4 + str(r.doc_id))) for r in rows)
 
 
 def test_both_libraries_agree_on_the_ids():
