@@ -3,9 +3,9 @@
 What does not show is folded: full-width and half-width forms, composed against combining accents, characters without width, the kind of a blank, and letters
 drawn alike. What shows stays: case, accents, raised and other digits, the number of blanks, line breaks.
 
-Letters drawn alike are those of the table ALIKE, which is written by hand, and the twins of one letter that Unicode names: letters in a mathematical or other style (<font>), and
-radicals, numerals and Hebrew signs that are an ideograph or letter encoded again (<compat>). Other look-alikes (the rest of Unicode's confusables, ligatures, presentation forms,
-letters of several signs) are not found.
+Letters drawn alike are those of the table ALIKE, which is written by hand, and the twins that Unicode names: letters in a mathematical or other style (<font>), radicals, numerals and Hebrew
+signs that are an ideograph or letter encoded again, letters and numerals that are several letters in one (<compat>), and signs that only forbid a break (<noBreak>). Other look-alikes (the
+rest of Unicode's confusables, and presentation forms) are not found.
 
 A quick check by character properties isolates the unstable segments: a run of characters that may change or combine, with the starter
 before it, which a combining mark may compose with. Only these are normalised, and spliced into the text, which is otherwise left as it is.
@@ -37,6 +37,10 @@ ALIKE = {
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Օ": "O", "Տ": "S", "Լ": "L",
     # Cherokee
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Ꭰ": "D", "Ꭲ": "T",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Roman numerals of one letter
     "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
     # Latin letters and signs encoded twice
@@ -71,7 +75,7 @@ def _tables() -> tuple[dict[int, str | None], tuple[re.Pattern, re.Pattern], tup
             elif kind == "Zs":
                 fold[cp] = " "
             elif (twin := _twin(c)) is not None:
-                fold[cp] = ALIKE.get(twin, twin)
+                fold[cp] = "".join(ALIKE.get(x, x) for x in twin)
             elif ALIKE.get(c, c) != c:
                 fold[cp] = ALIKE[c]
         target = fold.get(cp, c)
@@ -91,12 +95,15 @@ def _tables() -> tuple[dict[int, str | None], tuple[re.Pattern, re.Pattern], tup
 
 
 def _twin(c: str) -> str | None:
-    """The character of which c is another width, a letter in another style, or the same sign encoded twice; None without one."""
+    """What c is another width, another style, or another encoding of: one character, or several letters; None without such."""
     kind, *parts = unicodedata.decomposition(c).split() or [""]
     twin = "".join(chr(int(x, 16)) for x in parts)
-    if kind in ("<wide>", "<narrow>"):
+    if kind in ("<wide>", "<narrow>", "<noBreak>"):
         return twin
-    if len(twin) != 1:
+    spelt = all(unicodedata.category(x) in ("Lu", "Ll", "Lt", "Lo") for x in twin)
+    if len(twin) > 1:  # ligatures, digraphs and numerals; signs like that of a telephone are drawn otherwise
+        return twin if kind == "<compat>" and spelt and (unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nl") else None
+    if not twin:
         return None
     letters = unicodedata.category(c)[0] == unicodedata.category(twin)[0] == "L"  # digits of another style are visible differences
     again = "\u4e00" <= twin <= "\u9fff" or "\u05d0" <= twin <= "\u05ea"  # ideographs, Hebrew
@@ -158,20 +165,28 @@ def canonical_column(text: Column) -> Column:
     return F.when(odd, fold(F.when(odd, text))).otherwise(text)
 
 
-def same_looking_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key_a, key_b), key_a < key_b: two rows whose texts differ as strings but have one canonical form. Null texts have no pairs.
+def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, form, text): the rows whose text has one that looks the same and is another string, one row each, with the class (the digest of the canonical form) and the digest of the text itself.
 
-    Pairs are made between the distinct texts of a form, and only then between the rows that hold them, so copies of one text make no
-    candidates. Forms of a single text are dropped by an aggregation before any join.
+    Rows without a key or a text are in no class. Copies of a text are rows of one class, and are never paired here. Forms of a single text are dropped by an aggregation before any join.
     """
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
     # A SHA-256 digest stands for a text and its form; equal only for equal strings, to all practical certainty.
     digest = lambda c: F.unhex(F.sha2(c, 256))
-    d = durable(d.select("id", digest(F.col("t")).alias("of"), digest(canonical_column(F.col("t"))).alias("form")))  # read four times below
-    texts = d.select("form", "of").distinct()
-    mixed = texts.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    several = texts.join(mixed, "form")
-    pairs = several.select("form", F.col("of").alias("a")).join(several.select("form", F.col("of").alias("b")), "form").where(F.col("a") < F.col("b")).select("a", "b")
-    rows = d.select("id", "of")
+    d = durable(d.select("id", digest(canonical_column(F.col("t"))).alias("form"), digest(F.col("t")).alias("of")))  # read twice below
+    # A form is of several texts if its least and its greatest differ; both are combined before they are sent, however many copies there are.
+    mixed = d.groupBy("form").agg(F.min(F.xxhash64("of")).alias("a"), F.max(F.xxhash64("of")).alias("z")).where(F.col("a") != F.col("z")).select("form")
+    return d.join(mixed, "form").select(F.col("id").alias(key), "form", F.col("of").alias("text"))
+
+
+def same_looking_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key_a, key_b), key_a < key_b: two rows whose texts differ as strings but have one canonical form. Null texts have no pairs.
+
+    Pairs are made between the distinct texts of a class of `look_classes`, and only then between the rows that hold them, so copies of one text make no candidates.
+    """
+    c = durable(look_classes(docs, key, text).select(F.col(key).alias("id"), "form", F.col("text").alias("of")))  # read three times below
+    texts = c.select("form", "of").distinct()
+    pairs = texts.select("form", F.col("of").alias("a")).join(texts.select("form", F.col("of").alias("b")), "form").where(F.col("a") < F.col("b")).select("a", "b")
+    rows = c.select("id", "of")
     found = pairs.join(rows.select(F.col("id").alias("ia"), F.col("of").alias("a")), "a").join(rows.select(F.col("id").alias("ib"), F.col("of").alias("b")), "b")
     return found.where(F.col("ia") != F.col("ib")).select(F.least("ia", "ib").alias(f"{key}_a"), F.greatest("ia", "ib").alias(f"{key}_b"))

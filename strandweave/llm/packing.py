@@ -104,6 +104,10 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int = 2048) -> D
     return done.withColumnRenamed("id", key)
 
 
-def unused(packed: DataFrame, capacity: int) -> DataFrame:
-    """(containers, items, units, unused_share) of a packing."""
-    return packed.agg(F.countDistinct("container").alias("containers"), F.count("*").alias("items"), F.sum("size").alias("units")).withColumn("unused_share", 1 - F.col("units") / (F.col("containers") * capacity))
+def balance(packed: DataFrame, capacity: int, linear: float = 1.0, quadratic: float | None = None) -> DataFrame:
+    """(containers, least_containers, items, units, unused_share, least_cost, mean_cost, greatest_cost) of a packing: one row. least_containers: as many as the units need at least; costs as in `pack`."""
+    quadratic = 1.0 / capacity if quadratic is None else quadratic
+    n = F.col("size").cast("double")
+    each = packed.groupBy("container").agg(F.sum(n * linear + n * n * quadratic).alias("cost"), F.sum("size").alias("units"), F.count("*").alias("items"))
+    whole = each.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("units").alias("units"), F.min("cost").alias("least_cost"), F.avg("cost").alias("mean_cost"), F.max("cost").alias("greatest_cost"))
+    return whole.select("containers", F.ceil(F.col("units") / capacity).alias("least_containers"), "items", "units", (1 - F.col("units") / (F.col("containers") * capacity)).alias("unused_share"), "least_cost", "mean_cost", "greatest_cost")

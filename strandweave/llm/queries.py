@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.common import broadcast_if_small, clean_value, durable, table
 from .boundary_split import cut_rows, row_blocks, row_counts, row_valleys, split_texts
 from .encoding import encode_texts
-from .lookalikes import canonical_column, same_looking_pairs
-from .packing import pack_items, unused
+from .lookalikes import canonical_column, look_classes, same_looking_pairs
+from .packing import balance, pack_items
 from .term_counts import ngram_counts, value_counts
 from .top_items import most_frequent
 
@@ -108,16 +108,26 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", F.col("first").alias("first_token"), F.col("size").alias("tokens"), "container", F.col("start").alias("start_token"))
 
 
+def p7_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well p7_packed fills its containers, and how even their costs are."""
+    return balance(p7_packed(spark, sf_dir).select("container", F.col("tokens").alias("size")), CONTAINER)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that looks like a different text, with its class: the digest of what they look like."""
+    return look_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.hex("form").alias("look"))
+
+
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", canonical_column(F.col("text")).alias("canonical"))
     return d.select("doc_id", "canonical", (F.col("text") != F.col("canonical")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text_pieces, p4_found, p4_ngrams, p5_found, p6_ids, p7_packed, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text_pieces, p4_found, p4_ngrams, p5_found, p6_ids, p7_packed, p7_balance, p8_found, p8_classes, p8_canonical)}
 
 _HELD = """d AS (SELECT *, CASE WHEN row_id IS NULL THEN row_number() OVER () END AS own FROM seqcountsummary),
 s AS (SELECT * FROM (SELECT run_id, segment, chunk, nullif(upper(trim(seq, ' \t')), '-') AS seq, seq_count, row_number() OVER (PARTITION BY row_id, own ORDER BY loaded_at DESC) AS o FROM d) WHERE o = 1 AND seq IS NOT NULL AND seq <> '')"""
