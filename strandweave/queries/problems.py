@@ -46,10 +46,11 @@ def key_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, demux_key, child), one row for each delivery of a read with a complete key and child. Rows without read_id can't be told from repeats and are left out."""
+    """(read_id, own, demux_key, child), one row for each delivery of a read with a complete key and child. `own` is a number for each row without read_id, which can't be the repeat of another."""
     slots = range(len(SEGMENTS))
     rules = key_rules(spark, sf_dir).where(F.size("parts") <= len(SEGMENTS)).select("run_id", "child", F.size("parts").alias("size"), *[F.try_element_at("parts", F.lit(i + 1)).alias(f"part{i}") for i in slots])
-    rows = table(spark, sf_dir, "corrected_table").where(F.col("read_id").isNotNull()).join(broadcast_if_small(rules), "run_id")
+    reads = table(spark, sf_dir, "corrected_table").withColumn("own", F.when(F.col("read_id").isNull(), F.monotonically_increasing_id()))
+    rows = reads.join(broadcast_if_small(rules), "run_id")
 
     def pick(name: Column) -> Column:
         value = F.lit(None).cast("string")
@@ -58,14 +59,14 @@ def keyed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return value
 
     # CASE expressions, not array functions: this is the hot path over the largest table and stays in generated code.
-    got = rows.select("read_id", "size", clean_value(pick(F.col("child"))).alias("child"), *[clean_value(pick(F.col(f"part{i}"))).alias(f"k{i}") for i in slots])
+    got = rows.select("read_id", "own", "size", clean_value(pick(F.col("child"))).alias("child"), *[clean_value(pick(F.col(f"part{i}"))).alias(f"k{i}") for i in slots])
     whole = sum((F.col(f"k{i}").isNotNull().cast("int") for i in slots), F.lit(0)) == F.col("size")
-    return got.where(F.col("child").isNotNull() & whole).select("read_id", F.concat_ws("_", *[f"k{i}" for i in slots]).alias("demux_key"), "child")
+    return got.where(F.col("child").isNotNull() & whole).select("read_id", "own", F.concat_ws("_", *[f"k{i}" for i in slots]).alias("demux_key"), "child")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = keyed_reads(spark, sf_dir)
-    once = reads.repartition("read_id").distinct()  # deliveries of a read are equal but for their time
+    once = reads.repartition("read_id", "own").distinct()  # deliveries of a read are equal but for their time
     return most_frequent_value(once, "demux_key", "child", sketch_over=reads).select("demux_key", "child")
 
 
@@ -87,8 +88,8 @@ WHERE (x - x0) * (y1 - y0) + (y - y0) * (x1 - x0) < (x1 - x0) * (y1 - y0) GROUP
     "p3_found": """WITH k AS (SELECT DISTINCT run_id, list_filter(list_transform(string_split(demux_key, ','), lambda s: lower(trim(s, ' \t'))), lambda s: s <> '') AS parts FROM settings_demultiplex WHERE demux_key IS NOT NULL),
 c AS (SELECT DISTINCT run_id, lower(trim(child, ' \t')) AS child, list_sort(list_filter(list_transform(string_split(parent, ','), lambda s: lower(trim(s, ' \t'))), lambda s: s <> '')) AS of FROM config_extract_value_ext),
 r AS (SELECT k.run_id, k.parts, c.child FROM k JOIN c ON k.run_id = c.run_id AND list_sort(k.parts) = c.of WHERE len(k.parts) > 0),
-v AS (SELECT read_id, run_id, nullif(upper(trim(bc1, ' \t')), '-') AS bc1, nullif(upper(trim(bc2, ' \t')), '-') AS bc2, nullif(upper(trim(bc3, ' \t')), '-') AS bc3, nullif(upper(trim(umi, ' \t')), '-') AS umi FROM corrected_table),
-w AS (SELECT DISTINCT read_id, list_transform(parts, lambda s: CASE s WHEN 'bc1' THEN bc1 WHEN 'bc2' THEN bc2 WHEN 'bc3' THEN bc3 WHEN 'umi' THEN umi END) AS p,
+v AS (SELECT read_id, run_id, nullif(upper(trim(bc1, ' \t')), '-') AS bc1, nullif(upper(trim(bc2, ' \t')), '-') AS bc2, nullif(upper(trim(bc3, ' \t')), '-') AS bc3, nullif(upper(trim(umi, ' \t')), '-') AS umi, CASE WHEN read_id IS NULL THEN row_number() OVER () END AS own FROM corrected_table),
+w AS (SELECT DISTINCT read_id, own, list_transform(parts, lambda s: CASE s WHEN 'bc1' THEN bc1 WHEN 'bc2' THEN bc2 WHEN 'bc3' THEN bc3 WHEN 'umi' THEN umi END) AS p,
   CASE child WHEN 'bc1' THEN bc1 WHEN 'bc2' THEN bc2 WHEN 'bc3' THEN bc3 WHEN 'umi' THEN umi END AS child FROM v JOIN r USING (run_id)),
 n AS (SELECT array_to_string(p, '_') AS demux_key, child, count(*) AS n FROM w WHERE child IS NOT NULL AND len(list_filter(p, lambda s: s IS NULL)) = 0 GROUP BY ALL)
 SELECT demux_key, child FROM (SELECT *, row_number() OVER (PARTITION BY demux_key ORDER BY n DESC, child) AS o FROM n) WHERE o = 1""",

@@ -25,3 +25,14 @@ def test_heavy_and_light_keys_give_one_result(spark):
 
 def test_empty_table(spark):
     assert most_frequent_value(spark.createDataFrame([], SCHEMA), "k", "v").count() == 0
+
+
+def test_reads_without_an_id_are_reads_of_their_own(spark, tmp_path):
+    from strandweave.queries.problems import p3_found
+
+    rows = [(1, "r", "ac", "gg"), (1, "r", " AC\t", "GG"), (2, "r", "AC", "tt"), (None, "r", "AC", "TT"), (None, "r", "AC", "TT"), (3, "r", "-", "TT"), (None, "r", None, "TT"), (4, "r", "CC", "-"), (5, None, "AC", "GG"), (6, "r", "AC", "GG")]
+    df = spark.createDataFrame([(i, run, bc1, None, None, umi) for i, run, bc1, umi in rows], "read_id bigint, run_id string, bc1 string, bc2 string, bc3 string, umi string")
+    df.write.parquet(str(tmp_path / "corrected_table.parquet"))
+    spark.createDataFrame([("r", " bc1 "), (None, "bc1")], "run_id string, demux_key string").write.parquet(str(tmp_path / "settings_demultiplex.parquet"))
+    spark.createDataFrame([("r", "umi", "bc1\t"), ("r", "bc2", "bc1,umi")], "run_id string, child string, parent string").write.parquet(str(tmp_path / "config_extract_value_ext.parquet"))
+    assert [tuple(r) for r in p3_found(spark, str(tmp_path)).collect()] == [("AC", "TT")]  # 3 reads against 2
