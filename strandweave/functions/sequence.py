@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,23 @@ from pyspark.sql import functions as F
 PHRED = 33
 
 
+def byte_sums(quals: pa.Array) -> pa.Array:
+    """Sum of the bytes of each string of an Arrow array; null for null."""
+    if len(quals) == 0:
+        return pa.array([], pa.int64())
+    wide = pa.types.is_large_string(quals.type)
+    ends = np.frombuffer(quals.buffers()[1], dtype=np.int64 if wide else np.int32)[quals.offset : quals.offset + len(quals) + 1].astype(np.int64)
+    data = quals.buffers()[2]
+    running = np.zeros(int(ends[-1] - ends[0]) + 1, dtype=np.int64)
+    if data is not None:
+        np.cumsum(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], dtype=np.int64, out=running[1:])
+    at = ends - ends[0]
+    return pa.array(running[at[1:]] - running[at[:-1]], pa.int64(), mask=quals.is_null().to_numpy(zero_copy_only=False))
+
+
 def code_sum(qual: Column) -> Column:
-    """Sum of the character codes of a quality string. The string is named once, outside of the lambda, so that an expensive one is not computed for each character."""
-    return F.aggregate(F.split(qual, ""), F.lit(0), lambda acc, c: acc + F.ascii(c))
+    """Sum of the character codes of a quality string (ASCII): whole Arrow batches are added up, no string becomes an object. Null for null."""
+    return F.arrow_udf(byte_sums, "bigint")(qual)
 
 
 def phred_sum(qual: Column) -> Column:
@@ -25,14 +41,14 @@ def phred_sum(qual: Column) -> Column:
 def quality_ok(qual: Column, least_base: float = 5, least_mean: float = 20) -> Column:
     """Whether no base is below `least_base` and the mean is not below `least_mean`; false for empty and null qualities.
 
-    The least base is a character class that generated code can match; only qualities that pass it are summed.
+    The least base is a character class that generated code can match; only qualities that pass it are sent to be summed.
     """
     import math
 
     low = max(0, math.ceil(least_base) - 1)  # the greatest score that fails
     base = F.lit(True) if least_base <= 0 else ~qual.rlike(f"[\\x21-\\x{PHRED + low:02x}]")
-    mean = F.lit(True) if least_mean <= 0 else phred_sum(qual) >= F.lit(float(least_mean)) * F.length(qual)
-    return F.when(F.length(qual) > 0, F.when(base, mean).otherwise(False)).otherwise(False)
+    base = F.coalesce((F.length(qual) > 0) & base, F.lit(False))
+    return base if least_mean <= 0 else base & (code_sum(F.when(base, qual)) - F.length(qual) * PHRED >= F.lit(float(least_mean)) * F.length(qual))
 
 
 def mean_quality_code(qual: Column) -> Column:

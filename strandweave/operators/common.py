@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import re
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-#: Most rows that a side may have to be broadcast by `broadcast_if_small`. Callers pass narrow tables (well under 200 bytes a row), so the copy stays under about 40 MB.
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes that a side may have to be broadcast by `broadcast_if_small`.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: of strings and binaries what they hold, of arrays and structs that of their parts, else 8."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(16), lambda n, x: n + _width(x, kind.elementType).cast("int")), F.lit(8))
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` for broadcast if counting shows at most `most` rows; else returns it as it is, and the join shuffles. The count stops at `most` + 1 rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Marks `df` for broadcast if counting shows at most `most` rows, and adding up at most BROADCAST_BYTES bytes; else returns it as it is, and the join shuffles. The count stops at `most` + 1 rows."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    seen = df.limit(most + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen.rows <= most and seen.bytes <= BROADCAST_BYTES else df
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder which the session names in spark.checkpoint.dir; a folder of our own is used only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cuts the lineage with a reliable checkpoint in the folder which the session names in spark.checkpoint.dir. Only a local session may leave it unset: it gets a folder that is removed at the end."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/strandweave-checkpoint-{uuid.uuid4().hex}")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="strandweave-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -16,7 +16,7 @@ from ..operators.common import broadcast_if_small, durable, once
 from ..operators.counts import rank_counts, segment_counts
 from ..operators.merge_pairs import merge_reads
 from ..operators.segment import extract_segments
-from ..sources.fastq import read_fastq, with_samples, zip_mates
+from ..sources.fastq import list_files, read_fastq, samples_of, zip_mates
 from ..sources.tables import allowlist_lines, read_allowlist, read_conversion_table, read_samplesheet
 
 CustomFunction = Callable[[DataFrame], DataFrame]
@@ -29,12 +29,12 @@ class Pipeline:
 
     `reads` (sample, header, <READ>_seq, <READ>_qual) replaces the files that the configuration names; rows without a sample are not corrected. `custom` maps a segment to the function for its
     CUSTOM_CORRECTION or BARTENDER_CORRECTION: distinct sequences (sample, raw, n) -> (sample, raw, clean), or (raw, clean) for all samples alike; it is called once. mode: `random` gives references
-    in the shuffled order of fixed seeds, `ordered` in plain order.
+    in the shuffled order of fixed seeds, `ordered` in plain order. `unique`: pairs are merged only if no header occurs twice in a sample (a shuffle of all headers, which merging itself doesn't need).
     """
 
-    def __init__(self, spark: SparkSession, config: Config, reads: DataFrame | None = None, custom: dict[str, CustomFunction] | None = None, mode: str = "random", metric: str = "osa", words: int = assign.WORDS, strict: bool = False):
+    def __init__(self, spark: SparkSession, config: Config, reads: DataFrame | None = None, custom: dict[str, CustomFunction] | None = None, mode: str = "random", metric: str = "osa", words: int = assign.WORDS, strict: bool = False, unique: bool = False):
         self.spark, self.config, self._reads, self.custom = spark, config, reads, custom or {}
-        self.mode, self.metric, self.words, self.strict = mode, metric, words, strict
+        self.mode, self.metric, self.words, self.strict, self.unique = mode, metric, words, strict, unique
         self._maps: dict[str, DataFrame | None] = {}
         self._counts: DataFrame | None = None
 
@@ -45,14 +45,16 @@ class Pipeline:
         if rows is None:
             if not e.paths:
                 raise ConfigError("no READ path is given")
-            files = {r: read_fastq(self.spark, p) for r, p in e.paths.items()}
+            rows = zip_mates({r: read_fastq(self.spark, p) for r, p in e.paths.items()})
             if sheet := self.config.general.get("SAMPLESHEET"):
-                samples = read_samplesheet(self.spark, sheet)
-                files = {r: with_samples(f, samples) for r, f in files.items()}
-                names = next(iter(files.values())).select("file_idx", "sample").distinct()
-                rows = zip_mates(files).join(broadcast_if_small(names), "file_idx")
+                sheet = read_samplesheet(self.spark, sheet)
+                found = {tuple(samples_of(list_files(self.spark, p), sheet)) for p in e.paths.values()}
+                if len(found) > 1:
+                    raise ConfigError(f"the files of the reads are of different samples: {found}")
+                named = [(k, s) for k, s in enumerate(found.pop()) if s is not None]  # one short row a file
+                rows = rows.join(F.broadcast(self.spark.createDataFrame(named, "file_idx int, sample string")), "file_idx")
             else:
-                rows = zip_mates(files).withColumn("sample", F.lit("sample1"))
+                rows = rows.withColumn("sample", F.lit("sample1"))
         elif "sample" not in rows.columns:
             rows = rows.withColumn("sample", F.lit("sample1"))
         return rows.withColumn("header", demux.normal_header(F.col("header")))
@@ -61,6 +63,8 @@ class Pipeline:
         """sample, header and a struct<seq, qual> for each segment, its seq null where it fails the quality filter."""
         e, rows = self.config.extraction, self.reads()
         if e.flash:
+            if self.unique and not (again := rows.groupBy("sample", "header").count().where("count > 1").limit(1)).isEmpty():
+                raise ConfigError(f"headers must be unique to merge reads: {again.first().header}")
             rows = merge_reads(rows, *e.flash, e.min_overlap, e.max_overlap)
         parts: dict[str, list[Column]] = {}
         for read, patterns in e.structures.items():
@@ -287,7 +291,7 @@ class Pipeline:
 
     def _assembled(self, rows: DataFrame, structures: dict[str, tuple[str, ...]], parts: dict[str, tuple[Column, Column]], extra: tuple[str, ...]) -> DataFrame:
         made = self._reads_made(structures, parts)
-        out = rows.select("sample", "header", *extra, *[c.alias(n) for n, c in made.items()])
+        out = once(rows.select("sample", "header", *extra, *[c.alias(n) for n, c in made.items()]))  # the filter is not to compute the reads again
         return translate.complete_cases(out, list(made))
 
     # demultiplexing and annotation

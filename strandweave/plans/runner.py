@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config.parser import load
-from ..sources.fastq import write_fastq, write_table
+from ..sources.fastq import gathered, write_fastq, write_table
 from .engine import DEST, CustomFunction, Pipeline
 
 VERBS = ("value_extraction", "value_translation", "demultiplex", "annotate_header")
@@ -40,10 +40,10 @@ def _flag(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _stored(rows: DataFrame, out: str, name: str) -> Iterator[DataFrame]:
-    """The rows, written once under the results' folder, from where every sink reads its columns; removed at the end."""
+def _stored(rows: DataFrame, out: str, name: str, by: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """The rows, written once under the results' folder, from where every sink reads its columns in the same order; removed at the end. With `by` those of a key are side by side."""
     spark, path = rows.sparkSession, f"{out}/_tmp/{name}"
-    rows.write.mode("overwrite").parquet(path)
+    (gathered(rows, by) if by else rows).write.mode("overwrite").parquet(path)
     try:
         yield spark.read.parquet(path)
     finally:
@@ -72,11 +72,12 @@ def write_verb(pipeline: Pipeline, verb: str, out: str) -> None:
     elif verb == "demultiplex":
         d = pipeline.config.demultiplex
         if d.format == "TSV":
-            write_table(pipeline.demultiplex(), f"{out}/demultiplex", ["sample", "key"])
+            write_table(gathered(pipeline.demultiplex(), ["sample", "key"]), f"{out}/demultiplex", ["sample", "key"])
         else:
-            with _stored(pipeline.demultiplex(), out, verb) as rows:
+            by = ["sample", "key"] if d.key else by
+            with _stored(pipeline.demultiplex(), out, verb, by if d.key else ()) as rows:
                 for read in _reads_of(rows):
-                    write_fastq(rows, f"{out}/demultiplex_{read}", f"{read}_header", f"{read}_seq", f"{read}_qual", ["sample", "key"] if d.key else by)
+                    write_fastq(rows, f"{out}/demultiplex_{read}", f"{read}_header", f"{read}_seq", f"{read}_qual", by)
     elif verb == "annotate_header":
         with _stored(pipeline.annotate(), out, verb) as rows:
             for read in _reads_of(rows):
@@ -139,6 +140,7 @@ def main(args: Sequence[str] | None = None) -> None:
     p.add_argument("-custom", action="append", default=[], metavar="SEGMENT=MODULE:FUNCTION", help="the function of a CUSTOM_CORRECTION or BARTENDER_CORRECTION")
     p.add_argument("-mode", choices=("random", "ordered"), default="random")
     p.add_argument("-metric", choices=("osa", "levenshtein"), default="osa")
+    p.add_argument("-unique", action="store_true", help="pairs are merged only if headers are unique")
     p.add_argument("-aliases", action="store_true", help="understand old names of functions and options")
     p.add_argument("-again", action="store_true", help="run verbs that have run before")
     o = p.parse_args(args)
@@ -147,7 +149,7 @@ def main(args: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("strandweave").getOrCreate()
     ship(spark)
     config = load(o.conf, o.aliases)
-    pipeline, out = Pipeline(spark, config, custom=named_functions(o.custom), mode=o.mode, metric=o.metric), o.out or config.general["PROJECT_DIR"]
+    pipeline, out = Pipeline(spark, config, custom=named_functions(o.custom), mode=o.mode, metric=o.metric, unique=o.unique), o.out or config.general["PROJECT_DIR"]
     for stage in o.stage:
         write_stage(pipeline, stage, out)
     ran = run(spark, pipeline, out, o.verb, o.again) if o.verb or not o.stage else []

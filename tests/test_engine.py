@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandweave.config.model import ConfigError
 from strandweave.config.parser import analyse
 from strandweave.plans.engine import Pipeline
-from strandweave.sources.fastq import MateCountError, list_files, read_fastq, write_fastq, write_table, zip_mates
+from strandweave.sources.fastq import list_files, read_fastq, samples_of, write_fastq, write_table, zip_mates
 from strandweave.streaming.stateless import counting_batches, stream_corrected, stream_counts, stream_keyed, stream_segments
 
 
@@ -148,25 +148,58 @@ def test_functions_by_name(spark):
 def test_fastq_source(spark, tmp_path):
     records = [(f"@r{i}", "ACGT", "IIII") for i in range(25)]
     write(tmp_path / "a.fastq.gz", records)
-    write(tmp_path / "b.fastq.gz", records[:7])
+    write(tmp_path / "b c%.fastq.gz", records[:7])
+    (tmp_path / "notes.txt").write_text("no reads")
     got = read_fastq(spark, str(tmp_path)).collect()
-    assert len(got) == 32 and {(r.file_idx, r.row_idx) for r in got} == {(0, i) for i in range(25)} | {(1, i) for i in range(7)}
+    assert len(got) == 32 and {(r.file_idx, r.row_idx, r.header) for r in got} == {(0, i, f"@r{i}") for i in range(25)} | {(1, i, f"@r{i}") for i in range(7)}
     (tmp_path / "c.fastq").write_text("@x\nA\n+\nI\n")
     with pytest.raises(ValueError):
-        list_files(str(tmp_path))
+        list_files(spark, str(tmp_path))
     assert read_fastq(spark, str(tmp_path / "c.fastq")).count() == 1
-    (tmp_path / "d.fq").write_text("x\nA\n+\nI\n")
-    with pytest.raises(Exception, match="no FASTQ record"):
-        read_fastq(spark, str(tmp_path / "d.fq")).collect()
+    for name, text in {"d.fq": "x\nA\n+\nI\n", "e.fq": "@x\nA\n+\nI\n@y\nA\n", "f.fq": "@x\nA\n+\nI\n\n@y\nA\n+\nI\n"}.items():
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="no FASTQ record"):
+            read_fastq(spark, str(tmp_path / name)).collect()
+    for name, text in {"g.fq": "@x\r\nA\r\n+\r\nI\r\n", "h.fq": "@x\nA\n+\nI\n\n\n", "i.fq": "@x\nA\n+\nI"}.items():
+        (tmp_path / name).write_text(text)
+        assert [tuple(r)[2:] for r in read_fastq(spark, str(tmp_path / name)).collect()] == [(0, "@x", "A", "I")]
+    (tmp_path / "j.fq").write_text("")
+    assert read_fastq(spark, str(tmp_path / "j.fq")).count() == 0
     with pytest.raises(FileNotFoundError):
-        list_files(str(tmp_path / "none*"))
+        list_files(spark, str(tmp_path / "none*"))
+
+
+@pytest.mark.parametrize("size", [23, 64, 300])
+def test_plain_files_are_split_anywhere(spark, tmp_path, size):
+    rng = random.Random(size)
+    want = []
+    for k, n in enumerate((60, 1, 33)):
+        records = [(f"@r{k}_{i}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 40)))) for i in range(n)]
+        (tmp_path / f"{k}.fastq").write_text("".join(f"{h}\n{s}\n+\n{'@' * len(s)}\n" for h, s in records))
+        want += [(k, i, h, s, "@" * len(s)) for i, (h, s) in enumerate(records)]
+    conf = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = read_fastq(spark, f"{tmp_path}/*.fastq")
+        assert sorted(tuple(r)[1:] for r in got.collect()) == want and got.rdd.getNumPartitions() > 3
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
 
 
 def test_mates_must_be_as_many(spark):
     side = lambda n: spark.range(n).select(F.lit(0).alias("file_idx"), F.col("id").alias("row_idx"), F.concat(F.lit("@"), F.col("id")).alias("header"), F.lit("A").alias("seq"), F.lit("I").alias("qual"))
-    with pytest.raises(MateCountError):
-        zip_mates({"READ1": side(3), "READ2": side(4)})
-    assert zip_mates({"READ1": side(4), "READ2": side(4)}).columns == ["file_idx", "row_idx", "READ1_seq", "READ1_qual", "READ2_seq", "READ2_qual", "header"]
+    for a, b in ((3, 4), (4, 3)):
+        with pytest.raises(Exception, match="records of each file differ"):
+            zip_mates({"READ1": side(a), "READ2": side(b)}).where("READ1_seq is not null and READ2_seq is not null").count()
+        assert zip_mates({"READ1": side(a), "READ2": side(b)}, check=False).count() == 3
+    good = zip_mates({"READ1": side(4), "READ2": side(4)})
+    assert good.columns == ["file_idx", "row_idx", "READ1_seq", "READ1_qual", "READ2_seq", "READ2_qual", "header"] and good.where("READ1_seq is not null").count() == 4
+
+
+def test_samples_by_file_name():
+    assert samples_of(["/x_L1/b_L1_R1.fq", "/y/a_L1.fq", "/b_L1/c.fq"], {"a_L1": "s", "b_L1": "t"}) == ["t", "s", None]
 
 
 def test_other_functions_of_a_configuration(spark, project):
@@ -209,6 +242,10 @@ def test_merged_pairs_in_the_engine(spark):
     reads = spark.createDataFrame(rows, "header string, READ1_seq string, READ1_qual string, READ2_seq string, READ2_qual string")
     got = {r.header: r for r in Pipeline(spark, analyse(text), reads).clean().collect()}
     assert all(got[f"@m{i}"].clean_all == m and got[f"@m{i}"].clean_mate is None for i, m in enumerate(molecules))
+    twice = spark.createDataFrame(rows + rows[:1], reads.schema)
+    with pytest.raises(ConfigError, match="unique"):
+        Pipeline(spark, analyse(text), twice, unique=True).clean()
+    assert Pipeline(spark, analyse(text), reads, unique=True).clean().count() == 21
     assert got["@no"].clean_all == "A" * 35 and got["@no"].clean_head == "A" * 10 and got["@no"].clean_mate == "C" * 40
 
 
