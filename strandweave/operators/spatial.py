@@ -97,3 +97,38 @@ def expansion_rate(sources: DataFrame, dests: DataFrame, source_cell: float, des
         return None
     ring = greatest_below(dests, spacing * 1.5)
     return math.ceil(math.ceil(ring) * 2 / math.sqrt(3)) / least
+
+
+def _spacing(points: DataFrame) -> float:
+    """About the distance of neighbours if points were even: a width for cells."""
+    b = bounds(points).first()
+    return max(math.sqrt(max((b.x1 - b.x0) * (b.y1 - b.y0), 0) / b.n), max(b.x1 - b.x0, b.y1 - b.y0) / b.n, 2.0**-20)
+
+
+def spot_correspondence(sources: DataFrame, dests: DataFrame, expansion: float | None = None) -> DataFrame:
+    """(bead, tx, ty, spot): for each source place (columns spot, x, y) the nearest destination (spot, x, y), of equally near ones the first by name.
+
+    Sources are spread by `expansion` (by `expansion_rate` without it), destinations are moved so that both have one lower left corner, and are repeated in tiles of the destinations' box to the right
+    and above, in each but the first row and column moved on by half the distance of the first two spots of the lowest row (those less than 5 above it). A source looks for its spot in its own tile
+    (tx, ty). Tiles are not made: sources are moved into the first one. Rows without a place or name don't count; without sources or destinations there are no rows.
+    """
+    there = lambda p: p.select("spot", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("spot is not null and x is not null and y is not null and not isnan(x) and not isnan(y)")
+    s, d = durable(there(sources)), durable(there(dests))
+    none = s.select(F.col("spot").alias("bead"), F.lit(0).cast("bigint").alias("tx"), F.lit(0).cast("bigint").alias("ty"), F.lit(None).cast(dict(d.dtypes)["spot"]).alias("spot")).limit(0)
+    if s.isEmpty() or d.isEmpty():
+        return none
+    if expansion is None:
+        expansion = expansion_rate(s, d, _spacing(s), _spacing(d)) or 1.0
+    s = s.withColumns({"x": F.col("x") * expansion, "y": F.col("y") * expansion})
+    at, to = bounds(s).first(), bounds(d).first()  # a row each
+    d = d.withColumns({"x": F.col("x") - F.lit(to.x0 - at.x0), "y": F.col("y") - F.lit(to.y0 - at.y0)})
+    box = bounds(d).first()
+    lowest = [r.x for r in d.where(F.col("y") < box.y0 + 5).orderBy("x").select("x").limit(2).collect()]  # two rows
+    blank = (lowest[1] - lowest[0]) / 2 if len(lowest) > 1 else 0.0
+    wide, high = box.x1 - box.x0, box.y1 - box.y0
+    tile = lambda c, least, size: (F.floor((F.col(c) - F.lit(least)) / F.lit(size)) if size > 0 else F.lit(0)).cast("bigint")
+    s = s.select(F.col("spot").alias("bead"), "x", "y", tile("x", at.x0, wide).alias("tx"), tile("y", at.y0, high).alias("ty"))
+    moved = lambda c, t, size: F.when(F.col(t) == 0, F.col(c)).otherwise(F.col(c) - (F.lit(size) * F.col(t) + F.lit(blank)))
+    s = s.select(F.struct("bead", "tx", "ty").alias("bead"), moved("x", "tx", wide).alias("x"), moved("y", "ty", high).alias("y"))
+    near = nearest_spot(s, d, _spacing(d)).groupBy("bead").agg(F.min(F.struct("dist2", "spot")).alias("m"))
+    return near.select("bead.bead", "bead.tx", "bead.ty", F.col("m.spot").alias("spot"))

@@ -283,6 +283,15 @@ def nearest_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_spot(beads, _spots(spark, sf_dir), 2048.0).groupBy("bead").agg(F.min(F.struct("dist2", "spot")).alias("m")).select("bead", "m.spot", "m.dist2")
 
 
+def spot_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as beads on a small field, which is spread over tiles of a hexagonal field of suppliers."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    beads = table(spark, sf_dir, "customer").select(c.alias("spot"), (c * 37 % 211).cast("double").alias("x"), (c * 53 % 199).cast("double").alias("y"))
+    row = F.floor(s / 10)
+    spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s % 10 * 60 + row % 2 * 30).cast("double").alias("x"), (row * 52).cast("double").alias("y"))
+    return spatial.spot_correspondence(beads, spots)
+
+
 def spatial_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spots aligned to their lower left corner, scaled by two, and counted by tile."""
     t = spatial.tiled(spatial.aligned(_spots(spark, sf_dir), 2.0), 65536.0, 4096.0)
@@ -393,7 +402,7 @@ def extract_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     segment_fixed, segment_alternatives, segment_fuzzy, segment_errors, quality_filter, segment_counts, rank_count_curve, min_num_reads, correct_m2a, correct_m2a_levenshtein, correct_i2m, correct_i2m_m2a, correct_by_sample, correct_custom, correct_clusters,
     knee_majority, value_tree_global, value_tree_local, value_tree_3level, combinatorial_value, multi_sample_ids, size_info, value2seq_iupac, value2seq_multi, value2seq_random, assignment_overflow, seq2seq, mean_quality,
-    read_assembly, positional_zip, complete_case, demux_counts, demux_tsv, annotate_header, dominance_profile, profile_correspondence, well_384, nearest_spot, spatial_tiles, header_to_index, header_normal, bc_sort, union_null_fill,
+    read_assembly, positional_zip, complete_case, demux_counts, demux_tsv, annotate_header, dominance_profile, profile_correspondence, well_384, nearest_spot, spot_correspondence, spatial_tiles, header_to_index, header_normal, bc_sort, union_null_fill,
     merged_pairs, translate_reads, demultiplex_reads, demultiplex_samples, extract_reads,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -490,6 +499,16 @@ SELECT row, col AS column, concat(row, lpad(CAST(col AS VARCHAR), 2, '0')) AS we
 s AS (SELECT s_suppkey AS spot, CAST(s_suppkey * 37 % 101 * 3072 AS DOUBLE) AS sx, CAST(s_suppkey * 53 % 103 * 128 AS DOUBLE) AS sy FROM supplier),
 d AS (SELECT bead, min(struct_pack(d := (x - sx) * (x - sx) + (y - sy) * (y - sy), spot := spot)) AS m FROM b, s GROUP BY bead)
 SELECT bead, m.spot AS spot, m.d AS dist2 FROM d""",
+    "spot_correspondence": """WITH s AS (SELECT c_custkey AS bead, CAST(c_custkey * 37 % 211 AS DOUBLE) AS x, CAST(c_custkey * 53 % 199 AS DOUBLE) AS y FROM customer),
+d AS (SELECT s_suppkey AS spot, CAST(s_suppkey % 10 * 60 + s_suppkey // 10 % 2 * 30 AS DOUBLE) AS x, CAST(s_suppkey // 10 * 52 AS DOUBLE) AS y FROM supplier),
+dd AS (SELECT (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM d a, d b WHERE a.x <> b.x OR a.y <> b.y), sd AS (SELECT min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM s a, s b WHERE a.x <> b.x OR a.y <> b.y),
+ring AS (SELECT max(d2) AS d2 FROM dd WHERE d2 < (SELECT min(d2) FROM dd) * 2.25), rate AS (SELECT ceil(ceil(sqrt(ring.d2)) * 2 / sqrt(3)) / sqrt(sd.d2) AS r FROM ring, sd),
+e AS (SELECT bead, x * r AS x, y * r AS y FROM s, rate), eb AS (SELECT min(x) AS x0, min(y) AS y0 FROM e), db AS (SELECT min(x) AS x0, min(y) AS y0 FROM d),
+m AS (SELECT spot, x - (db.x0 - eb.x0) AS x, y - (db.y0 - eb.y0) AS y FROM d, db, eb), mb AS (SELECT min(x) AS x0, max(x) - min(x) AS w, min(y) AS y0, max(y) - min(y) AS h FROM m),
+lx AS (SELECT list_sort(list(x)) AS xs FROM m, mb WHERE m.y < mb.y0 + 5), bl AS (SELECT (xs[2] - xs[1]) / 2 AS blank FROM lx),
+t AS (SELECT bead, x, y, CAST(floor((x - x0) / w) AS BIGINT) AS tx, CAST(floor((y - y0) / h) AS BIGINT) AS ty FROM (SELECT e.*, eb.x0, eb.y0, w, h FROM e, eb, mb)),
+u AS (SELECT bead, tx, ty, CASE WHEN tx = 0 THEN x ELSE x - (w * tx + blank) END AS x, CASE WHEN ty = 0 THEN y ELSE y - (h * ty + blank) END AS y FROM t, mb, bl)
+SELECT bead, tx, ty, spot FROM (SELECT u.bead, tx, ty, spot, row_number() OVER (PARTITION BY u.bead ORDER BY (u.x - m.x) * (u.x - m.x) + (u.y - m.y) * (u.y - m.y), spot) AS o FROM u, m) WHERE o = 1""",
     "spatial_tiles": """WITH s AS (SELECT s_suppkey * 37 % 101 * 3072.0::DOUBLE AS x, s_suppkey * 53 % 103 * 128.0::DOUBLE AS y FROM supplier), b AS (SELECT min(x) AS x0, min(y) AS y0 FROM s),
 a AS (SELECT (x - x0) * 2 AS x, (y - y0) * 2 AS y FROM s, b) SELECT CAST(floor(x / 65536) AS BIGINT) AS tx, CAST(floor(y / 4096) AS BIGINT) AS ty, count(*) AS n, min(x - floor(x / 65536) * 65536) AS x0, max(y - floor(y / 4096) * 4096) AS y1 FROM a GROUP BY 1, 2""",
     "header_to_index": """WITH s AS (SELECT nullif(regexp_replace(string_split(header, ' ')[2], ':.*$', ''), '') AS seq FROM fastq_record) SELECT seq, repeat('?', length(seq)) AS qual, count(*) AS n FROM s GROUP BY seq""",

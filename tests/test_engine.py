@@ -266,3 +266,100 @@ def test_every_query_and_its_sql_fit():
 
     queries, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(queries) and "translate_reads" in queries
+
+
+THERE = """[value_extraction]
+READ1_STRUCTURE=^(?P<cb>.{6})(?P<umi>.{4})$
+READ2_STRUCTURE=^(?P<bio>.*)$
+INDEX1_STRUCTURE=^(?P<plate>.{4})$
+INDEX2_STRUCTURE=^(?P<well>.{5})$
+umi=CHILD_OF(cb)
+cb=CHILD_OF(well)
+well=CHILD_OF(plate)
+plate.v=SEQ2VALUE(source:plate)
+well.v=SEQ2VALUE(source:well)
+cb.v=SEQ2VALUE(source:cb)
+umi.v=SEQ2VALUE(source:umi)
+[value_translation]
+p1,p2=VALUE2SEQ(source:plate.v, randseq_pattern:NN,NN)
+w1,w2,w3=VALUE2SEQ(source:well.v, randseq_pattern:NN,NN,NN)
+c1,c2=VALUE2SEQ(source:cb.v, randseq_pattern:NNN,NNN)
+u1,u2=VALUE2SEQ(source:umi.v, randseq_pattern:NN,NNN)
+INDEX1_STRUCTURE=w2+w3+p1+p2+"TCTC"
+INDEX2_STRUCTURE=w1+bio
+READ1_STRUCTURE=u1+"ATAT"+u2
+READ2_STRUCTURE=c1+"CCCC"+c2
+"""
+
+BACK = """[value_extraction]
+INDEX1_STRUCTURE=^(?P<w2>.{2})(?P<w3>.{2})(?P<p1>.{2})(?P<p2>.{2})TCTC$
+INDEX2_STRUCTURE=^(?P<w1>.{2})(?P<bio>.*)$
+READ1_STRUCTURE=^(?P<u1>.{2})ATAT(?P<u2>.{3})$
+READ2_STRUCTURE=^(?P<c1>.{3})CCCC(?P<c2>.{3})$
+w1,w2,w3=CHILD_OF(p1,p2)
+c1,c2=CHILD_OF(w1,w2,w3)
+u1,u2=CHILD_OF(c1,c2)
+p1.v=SEQ2VALUE(source:p1)
+p2.v=SEQ2VALUE(source:p2)
+w1.v=SEQ2VALUE(source:w1)
+w2.v=SEQ2VALUE(source:w2)
+w3.v=SEQ2VALUE(source:w3)
+c1.v=SEQ2VALUE(source:c1)
+c2.v=SEQ2VALUE(source:c2)
+u1.v=SEQ2VALUE(source:u1)
+u2.v=SEQ2VALUE(source:u2)
+[value_translation]
+plate=VALUE2SEQ(source:p1.v,p2.v, randseq_pattern:NNNN)
+well=VALUE2SEQ(source:w1.v,w2.v,w3.v, randseq_pattern:NNNNN)
+cb=VALUE2SEQ(source:c1.v,c2.v, randseq_pattern:NNNNNN)
+umi=VALUE2SEQ(source:u1.v,u2.v, randseq_pattern:NNNN)
+READ1_STRUCTURE=cb+umi
+READ2_STRUCTURE=bio
+INDEX1_STRUCTURE=plate
+INDEX2_STRUCTURE=well
+"""
+
+
+def test_round_trip_of_three_levels_over_four_reads(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    plates, wells, cells, umis = [word(4) for _ in range(3)], [word(5) for _ in range(4)], [word(6) for _ in range(5)], [word(4) for _ in range(12)]
+    rows = []
+    for i in range(1500):
+        cb, umi, bio = rng.choice(cells), rng.choice(umis), word(20)
+        rows.append((f"s{i % 2}", f"@r{i}", cb + umi, "I" * 10, bio, "H" * 20, rng.choice(plates), "IIII", rng.choice(wells), "IIIII"))
+    names = [f"{r}_{c}" for r in ("READ1", "READ2", "INDEX1", "INDEX2") for c in ("seq", "qual")]
+    first = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["sample", "header", *names]))
+    there = Pipeline(spark, analyse(THERE), first, words=5000).translate()
+    there.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/there")
+    there = spark.read.parquet(path)
+    made = {r.header: r for r in there.collect()}
+    assert len(made) == 1500 and {tuple(len(r[f"{n}_seq"]) for n in ("READ1", "READ2", "INDEX1", "INDEX2")) for r in made.values()} == {(9, 10, 12, 22)}
+    back = {r.header: r for r in Pipeline(spark, analyse(BACK), there.select("sample", "header", *names), words=5000).translate().collect()}
+    assert len(back) == 1500
+    # at every level, below the same path, the way there and back is one to one
+    for level in range(1, 5):
+        pairs = set()
+        for r in rows:
+            b = back[r[1]]
+            old, new = (r[6], r[8], r[2][:6], r[2][6:]), (b.INDEX1_seq, b.INDEX2_seq, b.READ1_seq[:6], b.READ1_seq[6:])
+            pairs.add(((r[0], *old[:level]), (r[0], *new[:level])))
+            assert b.READ2_seq == r[4] and b.READ2_qual == r[5] and b.READ1_qual == "I" * 10
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_tools(spark, tmp_path):
+    from strandweave.plans import tools
+
+    write(tmp_path / "a.fastq.gz", [(f"@r{i} {'ACGT'[i % 4] * 3}:{i}" if i % 5 else f"@r{i}", "A", "I") for i in range(20)])
+    tools.main(["header_index", "-i", str(tmp_path / "a.fastq.gz"), "-out", str(tmp_path / "out")])
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/I1").collect()]
+    assert len(lines) == 16 * 4 and lines[0].startswith("@r") and " " not in lines[0] and set(lines[3]) == {"?"}
+    (tmp_path / "source.csv").write_text("barcode,x,y\n" + "".join(f"b{i},{i},{i % 3}\n" for i in range(9)))
+    (tmp_path / "dest.csv").write_text("".join(f"d{i},{100 + 4 * i},{50 + 3 * j}\n" for i in range(3) for j in range(2)))
+    tools.main(["nearest_spot", "-s", str(tmp_path / "source.csv"), "-d", str(tmp_path / "dest.csv"), "-expansion", "1", "-out", str(tmp_path / "out")])
+    got = {r.bead: (r.tx, r.spot) for r in spark.read.csv(f"{tmp_path}/out/nearest_spots", sep="\t", header=True).collect()}
+    assert len(got) == 9 and got["b0"] == ("0", "d0") and got["b4"] == ("0", "d1") and got["b7"][0] == "0" and got["b8"] == ("1", "d0")  # the second tile begins at 8, moved on by 2
+    (tmp_path / "wells.tsv").write_text("row\tbc\n" + "A\tx\n" * 3 + "A\ty\nA\t-\nB\ty\n")
+    tools.main(["well_profile", "-i", str(tmp_path / "wells.tsv"), "-well", "row", "-value", "bc", "-out", str(tmp_path / "out")])
+    assert [(r["row"], r.top, r.passed) for r in spark.read.csv(f"{tmp_path}/out/well_profile", sep="\t", header=True).orderBy("row").collect()] == [("A", "x", "true"), ("B", "y", "true")]
