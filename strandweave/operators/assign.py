@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from array import array
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,21 +45,24 @@ def word(index: Column, letters: Sequence[str]) -> Column:
     return F.when((index >= 0) & (index < F.lit(total)), F.concat(*parts))
 
 
-def random_order(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """(id, index): a permutation of 0..n-1 by Python's seeded shuffle. It is made on the driver because only that generator gives it; n is bounded by the caller's cap."""
-    order = list(range(n))
+def random_order(spark: SparkSession, n: int, seed: int = 0, wanted: int | None = None) -> DataFrame:
+    """(id, index): the first `wanted` of a permutation of 0..n-1 by Python's seeded shuffle. It is made on the driver because only that generator gives it, in compact arrays of 8 bytes a number; n is
+    bounded by the caller's cap, and only what is wanted becomes a table."""
+    order = array("q", range(n))
     random.Random(seed).shuffle(order)
     import numpy as np
     import pandas as pd
 
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(n, dtype="int64"), "index": np.array(order, dtype="int64")}))
+    kept = np.frombuffer(order, dtype="int64")[:wanted] if n else np.zeros(0, dtype="int64")
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(kept), dtype="int64"), "index": kept.copy()}), "id bigint, index bigint")
 
 
-def pattern_reference(spark: SparkSession, pattern: str, size: int, mode: str = "random", cap: int = WORDS) -> DataFrame:
-    """(id, seq): sequences of an IUPAC pattern for ids from 0. ordered: in the order of their letters; random: each place's letters and then the words shuffled with fixed seeds."""
+def pattern_reference(spark: SparkSession, pattern: str, size: int, mode: str = "random", cap: int = WORDS, wanted: int | None = None) -> DataFrame:
+    """(id, seq): sequences of an IUPAC pattern for ids from 0 (below `wanted`, if it is given). ordered: in the order of their letters; random: each place's letters and then the words shuffled with
+    fixed seeds."""
     n = min(pattern_size(pattern), max(size, cap if mode == "random" else size))
     letters = alphabets(pattern, mode == "random")
-    ids = random_order(spark, n) if mode == "random" else spark.range(n).select("id", F.col("id").alias("index"))
+    ids = random_order(spark, n, wanted=wanted) if mode == "random" else spark.range(n if wanted is None else min(n, wanted)).select("id", F.col("id").alias("index"))
     return ids.select("id", word(F.col("index"), letters).alias("seq"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, dense_rank_all
+from .common import place_within
 
 
 def segment_counts(segments: DataFrame, names: list[str], by: Sequence[str] = ()) -> DataFrame:
@@ -21,18 +21,11 @@ def segment_counts(segments: DataFrame, names: list[str], by: Sequence[str] = ()
 def rank_counts(counts: DataFrame, seq: str = "seq", n: str = "n", least: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by..., seq, n, rank, log_rank): present sequences of each group by descending count (of equals by name), from `least` on. A missing one keeps its place in the ranks; a null group is one like any other.
 
-    The rows are numbered in range partitions over all groups, and a group's ranks begin with its first number: no count and no group, however frequent, meets in one task.
+    The rows are numbered in range partitions over all groups: no count and no group, however frequent, meets in one task.
     """
     c = counts.select(*by, F.col(seq).alias("s"), F.col(n).alias("n"))
-    placed = dense_rank_all(c, [*[F.col(k) for k in by], F.desc("n"), F.col("s").asc_nulls_last()], "place")
-    before = F.lit(0)
-    if by:
-        first = placed.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.min("place").alias("first"))
-        same = F.lit(True)
-        for k in by:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        placed, before = placed.join(broadcast_if_small(first), same), F.col("first")
-    r = placed.withColumn("rank", (F.col("place") - before + 1).cast("bigint")).where(F.col("s").isNotNull() & (F.col("n") >= least))
+    placed = place_within(c, by, [F.desc("n"), F.col("s").asc_nulls_last()], "place")
+    r = placed.withColumn("rank", F.col("place") + 1).where(F.col("s").isNotNull() & (F.col("n") >= least))
     return r.select(*by, F.col("s").alias(seq), F.col("n").alias(n), "rank", F.log10("rank").alias("log_rank"))
 
 

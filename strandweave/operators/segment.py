@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PART = re.compile(r"\(\?P<(\w+)>([^()]*)\)|([^()]+)")
+_PART = re.compile(r"\(\?P<(\w+)>([^()]*)\)(?:\{s<=(\d+)\})?|([^(){}]*(?:\{\d+\}[^(){}]*)*)")
 _ATOM = re.compile(r"\.\{(\d+)\}|\.\*|\.|[A-Z]+")
 
 
@@ -22,11 +22,14 @@ class Layout:
     literals: tuple[tuple[int, str], ...]  # (start, bases)
     width: int
     open_end: bool  # longer reads match too
+    near: tuple[tuple[int, str, int], ...] = ()  # (start, bases, most that may differ)
 
     def matches(self, seq: Column) -> Column:
         ok = F.length(seq) >= self.width if self.open_end else F.length(seq) == self.width
         for start, bases in self.literals:
             ok = ok & (F.substring(seq, start, len(bases)) == bases)
+        for start, bases, most in self.near:
+            ok = ok & (sum((F.substring(seq, start + i, 1) != b).cast("int") for i, b in enumerate(bases)) <= most)
         return ok
 
     def slice(self, name: str, text: Column) -> Column:
@@ -35,17 +38,26 @@ class Layout:
 
 
 def fixed_layout(pattern: str) -> Layout | None:
-    """The layout of a pattern that is anchored at the start and made of `.{n}`, `.`, bases and at most one `.*` at its end; else None."""
+    """The layout of a pattern that is anchored at the start and made of `.{n}`, `.`, bases, groups of bases with a number of substitutions, and at most one `.*` at its end; else None."""
     if not pattern.startswith("^"):
         return None
     body, end = (pattern[1:-1], True) if pattern.endswith("$") else (pattern[1:], False)
-    segments, literals, at, rest = [], [], 1, False
+    segments, literals, near, at, rest = [], [], [], 1, False
     pos = 0
     for m in _PART.finditer(body):
+        if m.end() == m.start():
+            continue
         if m.start() != pos or rest:
             return None
         pos = m.end()
-        inner, start = m[2] if m[1] else m[3], at
+        inner, start = m[2] if m[1] else m[4], at
+        if m[3] is not None:
+            if not re.fullmatch("[A-Z]+", inner):
+                return None
+            near.append((at, inner, int(m[3])))
+            at += len(inner)
+            segments.append((m[1], start, at - start))
+            continue
         k = 0
         for a in _ATOM.finditer(inner):
             if a.start() != k or rest:
@@ -66,7 +78,7 @@ def fixed_layout(pattern: str) -> Layout | None:
             segments.append((m[1], start, None if rest else at - start))
     if pos != len(body):
         return None
-    return Layout(tuple(segments), tuple(literals), at - 1, rest or not end)
+    return Layout(tuple(segments), tuple(literals), at - 1, rest or not end, tuple(near))
 
 
 def _names(patterns: Sequence[str]) -> list[str]:

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import broadcast_if_small, dense_rank_all
+from .common import broadcast_if_small, place_within
 
 
 def complete(columns: Sequence[str]) -> Column:
@@ -29,14 +28,12 @@ def tree_counts(values: DataFrame, value: Sequence[str], parents: Sequence[str]
 def value_ids(counts: DataFrame, value: Sequence[str], parents: Sequence[str] = (), sample: str | None = None, per_sample: bool = False) -> DataFrame:
     """`counts` with id: from 0 by descending count, of equals by value (then by sample), for each path of ancestors.
 
-    Without parents the ids run over all samples together, unless `per_sample`: then equal values of two samples have ids of their own. These global ids come from a range-partitioned
-    sort with offsets of the partitions, not from one task.
+    Without parents the ids run over all samples together, unless `per_sample`: then equal values of two samples have ids of their own. Ids come from range partitions over all paths, so that no task
+    gets all children of one parent, nor all global values.
     """
     keys = [*([sample] if sample and (parents or per_sample) else []), *parents]
     ties = [*value, *([sample] if sample and sample not in keys else [])]
-    if keys:
-        return counts.withColumn("id", (F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), *ties)) - 1).cast("bigint"))
-    return dense_rank_all(counts, [F.desc("n"), *[F.col(t) for t in ties]], "id")
+    return place_within(counts, keys, [F.desc("n"), *[F.col(t) for t in ties]], "id")
 
 
 def size_info(ids: DataFrame, parents: Sequence[str] = (), sample: str | None = None) -> DataFrame:

@@ -280,7 +280,7 @@ class Pipeline:
         patterns = call.options["randseq_pattern"].split(",")
         if self.mode == "ordered":
             return [(assign.alphabets(p), assign.pattern_size(p)) for p in patterns]
-        return [(assign.pattern_reference(self.spark, p, size, self.mode, self.words), min(assign.pattern_size(p), max(size, self.words))) for p in patterns]
+        return [(assign.pattern_reference(self.spark, p, size, self.mode, self.words, size), min(assign.pattern_size(p), max(size, self.words))) for p in patterns]
 
     def _reads_made(self, structures: dict[str, tuple[str, ...]], parts: dict[str, tuple[Column, Column]]) -> dict[str, Column]:
         made = {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -435,6 +438,14 @@ def _word(index: str, places: int, letters: str = "ATGC") -> str:
     return " || ".join(f"substr('{letters}', CAST(({index} // {len(letters) ** k}) % {len(letters)} + 1 AS INTEGER), 1)" for k in range(places - 1, -1, -1))
 
 
+def _shuffled_words(places: int = 6) -> str:
+    """All words of so many N as SQL values (id, word): each place's letters in the order of a sample seeded with the place, the last place fastest, then all shuffled with seed 0."""
+    letters = [random.Random(i).sample(list("ATGC"), 4) for i in range(places)]
+    words = ["".join(w) for w in itertools.product(*letters)]
+    random.Random(0).shuffle(words)
+    return ", ".join(f"({i}, '{w}')" for i, w in enumerate(words))
+
+
 SQL = {
     "segment_fixed": f"WITH {_READS} SELECT header, substr(seq, 1, 8) AS cb, substr(seq, 9, 6) AS umi, substr(seq, 15) AS insert, substr(qual, 9, 6) AS umi_qual FROM r",
     "segment_alternatives": f"""WITH {_READS}, m AS (SELECT *, CASE WHEN substr(seq, 9, 2) = 'CA' THEN 1 WHEN substr(seq, 7, 2) = 'GT' THEN 2 ELSE 3 END AS matched FROM r)
@@ -474,6 +485,7 @@ UNION ALL SELECT 'all' AS sample, 'cb' AS component, count(*) AS size FROM (SELE
     "value2seq_iupac": f"WITH {_READS}, {_RANKS} SELECT cb, id, CASE WHEN id < 2048 THEN substr('AG', CAST((id // 1024) % 2 + 1 AS INTEGER), 1) || {_word('id', 5)} END AS dest FROM g",
     "value2seq_multi": f"""WITH {_READS}, {_LOCAL}, a AS (SELECT r_name AS seq, row_number() OVER (ORDER BY r_name) - 1 AS i FROM region), b AS (SELECT n_name AS seq, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation)
 SELECT cb, umi, id, a.seq AS dest1, b.seq AS dest2 FROM l LEFT JOIN a ON id < 125 AND a.i = (id // 25) % 5 LEFT JOIN b ON id < 125 AND b.i = id % 25""",
+    "value2seq_random": f"WITH {_READS}, {_RANKS}, w(i, word) AS (VALUES {_shuffled_words()}) SELECT cb, id, word AS dest FROM g LEFT JOIN w ON g.id = w.i",
     "assignment_overflow": f"WITH {_READS}, {_RANKS} SELECT count(*) AS rows, CAST(sum(CASE WHEN id >= 90 THEN 1 ELSE 0 END) AS BIGINT) AS beyond FROM g",
     "seq2seq": f"""WITH t AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 25) SELECT p_partkey, p.p_brand, p.p_type, CASE WHEN t.p_brand IS NOT NULL THEN substr({_DNA('concat(p.p_brand, p.p_type)')}, 1, 8) END AS dest1,
 CASE WHEN t.p_brand IS NOT NULL THEN substr({_DNA('concat(p.p_type, p.p_brand)')}, 1, 6) END AS dest2 FROM part p LEFT JOIN t ON p.p_brand = t.p_brand AND p.p_type = t.p_type""",

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from fractions import Fraction
@@ -9,14 +10,17 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.sequence import deletions, edit_distance, mean_quality_code, osa, quality_ok
 from strandweave.operators import assign, correct, counts, demux, merge_pairs, spatial, translate, tree, wells
+from strandweave.operators.common import place_within
 from strandweave.operators.segment import extract_segments, fixed_layout
 
 
 def test_layouts():
     x = fixed_layout("^(?P<a>.{3})AC(?P<b>.{2}).(?P<c>.*)$")
     assert x.segments == (("a", 1, 3), ("b", 6, 2), ("c", 9, None)) and x.literals == ((4, "AC"),) and x.width == 8 and x.open_end
+    x = fixed_layout("^(?P<a>.{3})(?P<b>CAG){s<=1}.{2}$")
+    assert x.segments == (("a", 1, 3), ("b", 4, 3)) and x.near == ((4, "CAG", 1),) and x.width == 8 and not x.open_end
     assert not fixed_layout("^(?P<a>.{3})$").open_end and fixed_layout("^(?P<a>.{3})").open_end
-    for p in ("(?P<a>.{3})", "^(?P<a>.{2,3})$", "^(?P<a>CAG){s<=1}$", "^.*(?P<a>.{3})$", "^(?P<a>[AC]{3})$"):
+    for p in ("(?P<a>.{3})", "^(?P<a>.{2,3})$", "^(?P<a>CAG){e<=1}$", "^(?P<a>.{3}){s<=1}$", "^(?P<a>CAG){2}$", "^.*(?P<a>.{3})$", "^(?P<a>[AC]{3})$"):
         assert fixed_layout(p) is None
 
 
@@ -24,10 +28,10 @@ def test_both_ways_of_segmentation_agree(spark):
     rng = random.Random(1)
     rows = [("".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 20))),) for _ in range(300)] + [(None,), ("",), ("ACAC",)]
     df = spark.createDataFrame(rows, "seq string").withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    patterns = ["^(?P<a>.{4})CA(?P<r>.*)$", "^(?P<b>.{2})(?P<r>.{3})$", "^(?P<a>.{3})G"]
+    patterns = ["^(?P<a>.{4})CA(?P<r>.*)$", "^(?P<b>.{2})(?P<r>.{3})$", "^(?P<a>.{3})G", "^(?P<a>AC)(?P<b>ACGT){s<=2}(?P<r>.*)$", "^(?P<b>GTG){s<=1}(?P<r>.{4})"]
     fast = extract_segments(df, patterns, structure="k").select("seq", "a", "b", "r", "k").collect()
     slow = extract_segments(df, [p.replace("^", "^(?:)") for p in patterns], structure="k").select("seq", "a", "b", "r", "k").collect()
-    assert fast == slow and len({r.k for r in fast}) == 4
+    assert fast == slow and len({r.k for r in fast}) == 6
     assert all(r.a is None or len(r.a.seq) == len(r.a.qual) for r in fast)
 
 
@@ -202,6 +206,38 @@ def test_words_and_references(spark):
     assert assign.overflow(spark.range(10), "id", 7).first() == (10, 3)
 
 
+def test_only_wanted_words_of_a_shuffled_reference(spark):
+    every = {r.id: r.seq for r in assign.pattern_reference(spark, "NNN", 0).collect()}
+    assert {r.id: r.seq for r in assign.pattern_reference(spark, "NNN", 0, wanted=9).collect()} == {i: every[i] for i in range(9)}
+    letters = assign.alphabets("NNN", True)
+    order = list(range(64))
+    random.Random(0).shuffle(order)
+    words = ["".join(w) for w in itertools.product(*letters)]
+    assert every == {i: words[k] for i, k in enumerate(order)} and assign.pattern_reference(spark, "NNN", 0, wanted=0).count() == 0
+
+
+def test_places_within_groups_of_any_size(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, "a", "b", "c", "c", "c", "c"]), rng.choice([1.0, float("nan"), None]), i) for i in rng.sample(range(10_000), 3000)]
+    df = spark.createDataFrame(rows, "g string, h double, v int")
+    want = {}
+    for g, h, v in rows:
+        want.setdefault((g, str(h)), []).append(v)
+    want = {(k, v): i for k, vs in want.items() for i, v in enumerate(sorted(vs, reverse=True))}
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "37", "spark.sql.shuffle.partitions": "12"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {((r.g, str(r.h)), r.v): r.place for r in place_within(df, ["g", "h"], [F.desc("v")], "place").collect()}
+        alone = {r.v: r.place for r in place_within(df, [], [F.asc("v")], "place").collect()}
+        assert place_within(df.where("false"), ["g"], [F.desc("v")], "place").count() == 0
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want and alone == {v: i for i, v in enumerate(sorted(r[2] for r in rows))}
+
+
 def test_seq2seq_strict_and_lenient(spark):
     t = spark.createDataFrame([("A", "B", "x"), ("A", "B", "w"), ("A", None, "y")], "s1 string, s2 string, d string")
     rows = spark.createDataFrame([("A", "B"), ("A", None), ("C", "D")], "a string, b string")
