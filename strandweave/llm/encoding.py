@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of the public vocabulary files, readable by every executor.
+#: Folder of the public vocabulary files, readable by every executor, unless the session names another in spark.strandweave.tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files (a fixed value of the vocabulary).
@@ -164,13 +164,14 @@ class Stitcher:
         return out
 
 
-def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
+def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, name: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids ARRAY<INT>): the ids of every text by the tokenizer, without special tokens, the text taken as it is. Empty and null texts have an empty list.
 
     Every row comes out once: keys may repeat or be null. Other columns are ignored. Chunks travel once for encoding and their ids once to each text. A task that is made again must see its
     rows in the same order, as it does from files; rows that come out of a shuffle should be written first.
     """
     kind = dict(docs.dtypes)[key]
+    folder = folder or docs.sparkSession.conf.get("spark.strandweave.tokenizers", TOKENIZERS)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.common import durable
+from ..operators.common import differs, durable
 from ..operators.heavy_keys import heavy_keys
 
 #: Parts into which a heavy first term is spread.
@@ -28,18 +28,6 @@ PARTS = 16
 TERMS = 2**20
 
 
-def _differs(column: pa.Array) -> np.ndarray:
-    """Where a value differs from the one before it (the first: True); missing values are equal, and so are NaN."""
-    out = np.ones(len(column), dtype=bool)
-    if len(column) > 1:
-        a, b = column.slice(1), column.slice(0, len(column) - 1)
-        unlike = pc.fill_null(pc.not_equal(a, b), False)
-        if pa.types.is_floating(column.type):
-            unlike = pc.and_not(unlike, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
-        out[1:] = unlike.to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
-    return out
-
-
 def _row(columns: list[pa.Array], at: int) -> tuple:
     return tuple(None if (v := c[at].as_py()) is None or v != v else v for c in columns)
 
@@ -55,9 +43,9 @@ class PrefixStack:
         """Adds a batch; yields the prefixes that it closes: (keys and terms up to the length, length, occurrences, records)."""
         changed = np.zeros(len(count), dtype=bool)
         for c in keys:
-            changed |= _differs(c)
+            changed |= differs(c)
         for n in range(1, self.longest + 1):
-            changed = changed | _differs(terms[n - 1])
+            changed = changed | differs(terms[n - 1])
             has = np.flatnonzero(terms[n - 1].is_valid().to_numpy(zero_copy_only=False))
             if not len(has):
                 continue
@@ -111,7 +99,7 @@ def _count(suffixes: DataFrame, seen: DataFrame, scope: list[str], longest: int,
             ks, ts = [b["part"], *[b[k] for k in keys]], [b[t] for t in terms]
             if record:  # one row or more for each record: a change of the record within a term marks a new one
                 own = [*ks, ts[0], b["record"]]
-                new = np.logical_or.reduce([_differs(c) for c in own])
+                new = np.logical_or.reduce([differs(c) for c in own])
                 new[0] = last is None or _row(own, 0) != last
                 last, records = _row(own, len(b) - 1), [new.astype(np.int64)]
             else:
