@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import durable
+from .common import broadcast_if_small, durable
 
 
 def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -33,39 +34,56 @@ def nearest_spot(beads: DataFrame, spots: DataFrame, cell: float, bead: str = "b
     """(bead, spot, dist2): for each bead the nearest spot, of equally near ones the first by name.
 
     Spots are put into the cells around theirs, `rings` wide: a spot found nearer than the ring's width is surely nearest, as all nearer spots share a cell. Beads without one (few, if `cell` is
-    about the spots' spacing) look again in cells eight times as wide, again and again, until the spots fit into a single cell and its neighbours. Beads and spots without a place don't count. `others`: a spot of the bead's own name doesn't count.
+    about the spots' spacing) descend through coarser cells that hold spots, see `_descended`; unless `exhaustive`, they come out with what the rings have, or not at all. Beads and spots without a place don't count.
+    `others`: a spot of the bead's own name doesn't count.
     """
     place = lambda d, name: d.select(F.col(name).alias(name), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(name).isNotNull())
-    b, s = place(beads, bead), place(spots, spot).withColumnsRenamed({"x": "sx", "y": "sy"}).distinct()
-    # one row of bounds of both sets tells how far widening may have to go
-    box = s.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
-    if box[0] is None:
-        return b.select(bead, F.lit(None).cast(dict(spots.dtypes)[spot]).alias(spot), F.lit(None).cast("double").alias("dist2")).limit(0)
-    out_of = b.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if out_of[0] is None:
-        return b.select(bead, F.lit(None).cast(dict(spots.dtypes)[spot]).alias(spot), F.lit(None).cast("double").alias("dist2")).limit(0)
-    extent = max(max(box[1], out_of[1]) - min(box[0], out_of[0]), max(box[3], out_of[3]) - min(box[2], out_of[2]))
-    found, left, side = None, b, cell
-    while True:
-        last = not exhaustive or side >= extent
-        steps = F.array(*[F.lit(i) for i in range(-rings, rings + 1)])
-        spread = s.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(F.col(spot), "sx", "sy", (F.floor(F.col("sx") / side) + F.col("i")).alias("cx"), (F.floor(F.col("sy") / side) + F.col("j")).alias("cy"))
-        d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-        at = left.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
-        if others:
-            spread = spread.withColumnRenamed(spot, "_spot")
-            pairs = at.join(spread, (at.cx == spread.cx) & (at.cy == spread.cy) & (F.col(bead) != F.col("_spot")), "left").select(bead, "x", "y", F.col("_spot").alias(spot), "sx", "sy")
-        else:
-            pairs = at.join(spread, ["cx", "cy"], "left")
-        best = pairs.groupBy(bead, "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d2.alias("dist2"), F.col(spot)))).alias("m"))
-        sure = F.col("m").isNotNull() if last else F.col("m.dist2") <= (side * rings) ** 2
-        best = durable(best)  # else each round would run those before it again
-        now = best.where(F.coalesce(sure, F.lit(False))).select(bead, F.col(f"m.{spot}").alias(spot), F.col("m.dist2").alias("dist2"))
-        found = now if found is None else found.unionByName(now)
-        if last:
-            return found
-        left = best.where(~F.coalesce(sure, F.lit(False))).select(bead, "x", "y")
-        side *= 8
+    b, s = place(beads, bead), place(spots, spot).select(F.col(spot).alias("_spot"), F.col("x").alias("sx"), F.col("y").alias("sy")).distinct()
+    steps = F.array(*[F.lit(i) for i in range(-rings, rings + 1)])
+    spread = s.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("_spot", "sx", "sy", (F.floor(F.col("sx") / cell) + F.col("i")).alias("cx"), (F.floor(F.col("sy") / cell) + F.col("j")).alias("cy"))
+    at = b.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    met = (at.cx == spread.cx) & (at.cy == spread.cy) & ((F.col(bead) != F.col("_spot")) if others else F.lit(True))
+    best = durable(_best(at.join(spread, met, "left"), bead))
+    sure = F.coalesce(F.col("m.dist2") <= (cell * rings) ** 2, F.lit(False))
+    if not exhaustive:
+        found = best.where("m is not null")
+    else:
+        found = best.where(sure)
+        left = best.where(~sure).select(bead, "x", "y")
+        if not left.isEmpty() and not s.isEmpty():
+            found = found.unionByName(_best(_descended(left, s, cell, bead, others), bead).where("m is not null"))
+    return found.select(bead, F.col("m._spot").alias(spot), F.col("m.dist2").alias("dist2"))
+
+
+def _best(pairs: DataFrame, bead: str) -> DataFrame:
+    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    return pairs.groupBy(bead, "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d2.alias("dist2"), F.col("_spot")))).alias("m"))
+
+
+def _descended(left: DataFrame, s: DataFrame, cell: float, bead: str, others: bool) -> DataFrame:
+    """Beads with the spots that may be nearest to them: from the few coarsest cells that hold spots, each level keeps the cells that begin nearer than some cell ends, and joins their occupied parts (64
+    at most) by the cell. No bead meets all spots, however far it is."""
+    same = lambda c, by: F.floor(F.col(c) / by)
+    levels = [durable(s.groupBy(same("sx", cell).alias("cx"), same("sy", cell).alias("cy")).agg(F.min("_spot").alias("a"), F.max("_spot").alias("z")))]
+    box = levels[0].agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()  # one row
+    extent = max(box[1] - box[0], box[3] - box[2]) + 1
+    while 8 ** (len(levels) - 1) < extent:
+        levels.append(durable(levels[-1].groupBy(same("cx", 8).alias("cx"), same("cy", 8).alias("cy")).agg(F.min("a").alias("a"), F.max("z").alias("z"))))
+    top = levels[-1].select("cx", "cy", (F.col("a") != F.col("z")).alias("several")).collect()  # at most four cells
+    near = left.withColumn("c", F.explode(F.array(*[F.struct(F.lit(r.cx).alias("cx"), F.lit(r.cy).alias("cy"), F.lit(r.several).alias("several")) for r in top]))).select(bead, "x", "y", "c.*")
+    for k in range(len(levels) - 1, -1, -1):
+        side = cell * 8**k
+        edges = {c: (F.col(f"c{c}") * side - F.col(c), F.col(c) - (F.col(f"c{c}") + 1) * side) for c in "xy"}
+        begins = sum((F.pow(F.greatest(lo, hi, F.lit(0.0)), F.lit(2.0)) for lo, hi in edges.values()), F.lit(0.0))
+        ends = sum((F.pow(F.greatest(F.abs(lo), F.abs(hi)), F.lit(2.0)) for lo, hi in edges.values()), F.lit(0.0))
+        # A cell with only the bead's own spot says nothing of others. Rounding must not lose a cell that touches the limit.
+        limit = F.min(F.when(F.col("several") | F.lit(not others), ends)).over(W.partitionBy(bead, "x", "y"))
+        near = near.withColumns({"begins": begins, "limit": limit}).where(F.col("limit").isNull() | (F.col("begins") <= F.col("limit") * (1 + 1e-9) + 1e-9)).drop("begins", "limit", "several")
+        if k:
+            parts = levels[k - 1].select(same("cx", 8).alias("px"), same("cy", 8).alias("py"), "cx", "cy", (F.col("a") != F.col("z")).alias("several"))
+            near = near.withColumnsRenamed({"cx": "px", "cy": "py"}).join(broadcast_if_small(parts), ["px", "py"]).drop("px", "py")
+    own = (F.col(bead) != F.col("_spot")) if others else F.lit(True)
+    return near.join(s.withColumns({"cx": same("sx", cell), "cy": same("sy", cell)}), ["cx", "cy"]).where(own)
 
 
 def least_distance(points: DataFrame, cell: float, name: str = "spot", x: str = "x", y: str = "y") -> float | None:

@@ -288,6 +288,14 @@ def test_nearest_spot_matches_brute_force(spark):
     assert abs(spatial.greatest_below(grid_table, 1.5 * min(all_d)) - ring) < 1e-9
     assert abs(spatial.expansion_rate(spot_table, grid_table, 30.0, 100.0) - math.ceil(math.ceil(ring) * 2 / 3**0.5) / least) < 1e-9
     assert spatial.expansion_rate(spot_table.limit(1), grid_table, 30.0, 100.0) is None
+    far = [(f"f{i}", rng.uniform(-1e5, 1e5), rng.uniform(-1e5, 1e5)) for i in range(60)]
+    for cell in (3.0, 30.0, 1e6):
+        reached = spatial.nearest_spot(spark.createDataFrame(beads + far, "bead string, x double, y double"), spot_table, cell)
+        assert {r.bead: r.spot for r in reached.collect()} == {b: min(((x - u) ** 2 + (y - v) ** 2, s) for s, u, v in spots)[1] for b, x, y in beads + far if x is not None and x == x}
+        own = spatial.nearest_spot(spot_table.withColumnRenamed("spot", "bead"), spot_table, cell, others=True).collect()
+        assert {r.bead: r.spot for r in own} == {s: min(((u - w) ** 2 + (v - z) ** 2, t) for t, w, z in spots if t != s)[1] for s, u, v in spots}
+    plan = reached._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     none = spark.createDataFrame([], "spot string, x double, y double")
     assert spatial.nearest_spot(spark.createDataFrame(beads, "bead string, x double, y double"), none, 30.0).count() == 0
 
