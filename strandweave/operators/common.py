@@ -35,10 +35,14 @@ def _width(c: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
+def widths(df: DataFrame) -> Column:
+    """Bytes of a row."""
+    return sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marks `df` for broadcast if counting shows at most `most` rows, and adding up at most BROADCAST_BYTES bytes; else returns it as it is, and the join shuffles. The count stops at `most` + 1 rows."""
-    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
-    seen = df.limit(most + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    seen = df.limit(most + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(widths(df)), F.lit(0)).alias("bytes")).first()
     return F.broadcast(df) if seen.rows <= most and seen.bytes <= BROADCAST_BYTES else df
 
 
@@ -80,9 +84,11 @@ def free_name(wanted: str, taken: Sequence[str]) -> str:
     return wanted
 
 
-def dense_rank_all(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def dense_rank_all(rows: DataFrame, order: Sequence[Column], name: str, stored: bool = False) -> DataFrame:
     """`rows` with their place from 0 in an order over the whole table. Range partitions are sorted and numbered within, then moved by the sizes of those before: what meets in one task is
-    one row a partition. The numbered rows are written once, so that a partition made again has the same numbers; rows equal in the order come in any order."""
+    one row a partition. The numbered rows are written once, so that a partition made again has the same numbers; rows equal in the order come in any order. The rows are read twice, to find the
+    ranges and to sort: they are written first, unless they are `stored` or cheap."""
+    rows = rows if stored else durable(rows)
     at, part, before = (free_name(n, rows.columns) for n in ("_at", "_part", "_before"))
     # The upper bits of this number are the partition, the lower 33 the row's place in it.
     numbered = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
@@ -109,14 +115,15 @@ def same_rows(a: Sequence[pa.Array], i: int, b: Sequence[pa.Array], j: int) -> b
     return all(not differs(pa.concat_arrays([x.slice(i, 1), y.slice(j, 1)]))[1] for x, y in zip(a, b))
 
 
-def place_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def place_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, stored: bool = False) -> DataFrame:
     """`rows` with their place from 0 in an order within each group of the `by` columns, however large a group is.
 
     Range partitions by group and order are sorted and numbered within, in one pass over Arrow batches. A group that goes on in the next partitions has its first rows' number carried over: what
-    meets in one task is one row a partition. The numbered rows are written once; rows equal in the order come in any order. A null group is one like any other.
+    meets in one task is one row a partition. The numbered rows are written once; rows equal in the order come in any order. A null group is one like any other. `stored` as in `dense_rank_all`.
     """
+    rows = rows if stored else durable(rows)
     if not by:
-        return dense_rank_all(rows, order, name)
+        return dense_rank_all(rows, order, name, True)
     at, first, edge, where, part = (free_name(n, rows.columns) for n in ("_at", "_first", "_edge", "_where", "_part"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

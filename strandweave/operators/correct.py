@@ -1,6 +1,7 @@
 """Error correction of distinct sequences: similarity joins, majority and allowlist maps, and their application.
 
-All maps take `by`: columns of groups (samples) that are corrected apart. They are keys of every step, so that any number of groups is corrected in one pass. A null group is none.
+All maps take `by`: columns of groups (samples) that are corrected apart. They are keys of every step, so that any number of groups is corrected in one pass. A null group is none. Maps are
+written once (`durable`), as every use of one is a join.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import deletions, edit_distance
-from .common import broadcast_if_small, durable
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, durable, widths
 from .counts import knee_ranks, rank_counts
 
 
@@ -38,15 +39,16 @@ def nearest(raws: DataFrame, dictionary: DataFrame, distance: int = 1, metric: s
     shortest term's length (rounded down), else DistanceError is raised."""
     on = [k for k in by if k in dictionary.columns]
     d = dictionary.groupBy(*on, "term").agg(F.max("weight").alias("weight"))
+    seen = d.agg(F.count("*").alias("rows"), F.sum(widths(d)).alias("bytes"), F.min(F.length("term")).alias("shortest")).first()  # one row
+    small = F.broadcast if seen.rows <= BROADCAST_ROWS and (seen.bytes or 0) <= BROADCAST_BYTES else lambda side: side
     terms = d.select(*on, F.col("term").alias("raw"), F.lit(True).alias("known"))
-    exact = raws.select(*by, "raw").distinct().join(broadcast_if_small(terms), [*on, "raw"], "left")
+    exact = raws.select(*by, "raw").distinct().join(small(terms), [*on, "raw"], "left")
     hit = exact.where("known").select(*by, "raw", F.col("raw").alias("clean"), F.lit(0).alias("d"))
     rest = exact.where("known is null").select(*by, F.col("raw").alias("l"))
-    shortest = d.agg(F.min(F.length("term"))).first()[0]  # one number
-    if shortest is not None and shortest // 2 <= distance > 0 and not rest.isEmpty():
-        raise DistanceError(f"a distance of {distance} is not below half of the shortest term, {shortest} long")
+    if seen.shortest is not None and seen.shortest // 2 <= distance > 0 and not rest.isEmpty():
+        raise DistanceError(f"a distance of {distance} is not below half of the shortest term, {seen.shortest} long")
     weighed = d.select(*on, F.col("term").alias("r"), "weight")
-    close = similar(rest, weighed, distance, metric, by).join(broadcast_if_small(weighed), [*on, "r"])
+    close = similar(rest, weighed, distance, metric, by).join(small(weighed), [*on, "r"])
     best = close.groupBy(*by, "l").agg(F.min(F.struct("d", (-F.col("weight")).alias("w"), "r")).alias("b"))
     return hit.unionByName(best.select(*by, F.col("l").alias("raw"), F.col("b.r").alias("clean"), F.col("b.d").alias("d")))
 
@@ -62,15 +64,15 @@ def _kept(counts: DataFrame, least: int, by: Sequence[str]) -> DataFrame:
 def allowlist_map(counts: DataFrame, allowlist: DataFrame, distance: int = 1, metric: str = "osa", least: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by..., raw, clean): M2A, mapping to an allowlist (column seq). Sequences below `least` reads or too far from all are not in the map. `counts`: seq, n; null is no sequence."""
     kept = durable(_kept(counts, least, by))  # used by several jobs
-    return nearest(kept, durable(_terms(allowlist)), distance, metric, by).select(*by, "raw", "clean")
+    return durable(nearest(kept, durable(_terms(allowlist)), distance, metric, by).select(*by, "raw", "clean"))
 
 
-def majority(counts: DataFrame, rank: int | str = "auto", least: int = 1, sensitivity: float = 10.0, by: Sequence[str] = ()) -> DataFrame:
+def majority(counts: DataFrame, rank: int | str = "auto", least: int = 1, sensitivity: float = 10.0, by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """(by..., seq, n, rank) of the majority: the first `rank` sequences of a group by count (a missing one is no sequence and has no rank here), or those before the knee, where a missing
-    one keeps its place. Without a knee all are."""
+    one keeps its place. Without a knee all are. `stored`: the counts are cheap to read again."""
     if rank != "auto":
-        return rank_counts(counts.where("seq is not null"), least=least, by=by).where(F.col("rank") <= int(rank)).drop("log_rank")
-    ranked = rank_counts(counts, least=least, by=by).drop("log_rank")
+        return rank_counts(counts.where("seq is not null"), least=least, by=by, stored=stored).where(F.col("rank") <= int(rank)).drop("log_rank")
+    ranked = rank_counts(counts, least=least, by=by, stored=stored).drop("log_rank")
     at = durable(knee_ranks(counts.where(F.col("seq").isNotNull() & (F.col("n") >= least)), sensitivity=sensitivity, by=by))  # one row a group
     joined = ranked.join(broadcast_if_small(at), list(by), "left") if by else ranked.join(F.broadcast(at), how="left")
     return joined.where(F.col("at").isNull() | (F.col("rank") < F.col("at"))).drop("at")
@@ -79,8 +81,8 @@ def majority(counts: DataFrame, rank: int | str = "auto", least: int = 1, sensit
 def majority_map(counts: DataFrame, rank: int | str = "auto", distance: int = 1, metric: str = "osa", least: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by..., raw, clean): I2M, imputation to the majority. A majority sequence stays itself, another goes to the closest of the majority (of equals the one with more reads), or is not in the map."""
     counts = durable(counts.select(*by, "seq", "n"))  # used by several jobs
-    top = durable(majority(counts, rank, least, by=by).select(*by, F.col("seq").alias("term"), F.col("n").alias("weight")))
-    return nearest(_kept(counts, least, by), top, distance, metric, by).select(*by, "raw", "clean")
+    top = durable(majority(counts, rank, least, by=by, stored=True).select(*by, F.col("seq").alias("term"), F.col("n").alias("weight")))
+    return durable(nearest(_kept(counts, least, by), top, distance, metric, by).select(*by, "raw", "clean"))
 
 
 def chained_map(first: DataFrame, second: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -90,9 +92,9 @@ def chained_map(first: DataFrame, second: DataFrame, by: Sequence[str] = ()) ->
 
 def majority_allowlist_map(counts: DataFrame, allowlist: DataFrame, rank: int | str = "auto", distance: int = 1, allow_distance: int = 1, metric: str = "osa", least: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by..., raw, clean): I2M, then M2A of the majority; a minority sequence follows its majority sequence."""
-    to_major = durable(majority_map(counts, rank, distance, metric, least, by))
+    to_major = majority_map(counts, rank, distance, metric, least, by)
     major = durable(to_major.select(*by, F.col("clean").alias("raw")).distinct())
-    return chained_map(to_major, nearest(major, durable(_terms(allowlist)), allow_distance, metric, by), by)
+    return durable(chained_map(to_major, nearest(major, durable(_terms(allowlist)), allow_distance, metric, by), by))
 
 
 def custom_map(counts: DataFrame, function: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +106,7 @@ def custom_map(counts: DataFrame, function: Callable[[DataFrame], DataFrame], by
     made = got.where((F.col("clean") != "-") & F.col("clean").isNotNull()).groupBy(*on, "raw").agg(F.min("clean").alias("clean"))
     if len(on) < len(by):
         made = asked.select(*by, "raw").distinct().join(made, [*on, "raw"])
-    return made.select(*by, "raw", "clean")
+    return durable(made.select(*by, "raw", "clean"))
 
 
 def cluster_map(barcodes: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -18,13 +18,13 @@ def segment_counts(segments: DataFrame, names: list[str], by: Sequence[str] = ()
     return long.groupBy(*by, "segment", "seq").agg(F.count("*").alias("n"))
 
 
-def rank_counts(counts: DataFrame, seq: str = "seq", n: str = "n", least: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def rank_counts(counts: DataFrame, seq: str = "seq", n: str = "n", least: int = 1, by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """(by..., seq, n, rank, log_rank): present sequences of each group by descending count (of equals by name), from `least` on. A missing one keeps its place in the ranks; a null group is one like any other.
 
-    The rows are numbered in range partitions over all groups: no count and no group, however frequent, meets in one task.
+    The rows are numbered in range partitions over all groups: no count and no group, however frequent, meets in one task. `stored`: the counts are cheap to read again.
     """
     c = counts.select(*by, F.col(seq).alias("s"), F.col(n).alias("n"))
-    placed = place_within(c, by, [F.desc("n"), F.col("s").asc_nulls_last()], "place")
+    placed = place_within(c, by, [F.desc("n"), F.col("s").asc_nulls_last()], "place", stored)
     r = placed.withColumn("rank", F.col("place") + 1).where(F.col("s").isNotNull() & (F.col("n") >= least))
     return r.select(*by, F.col("s").alias(seq), F.col("n").alias(n), "rank", F.log10("rank").alias("log_rank"))
 

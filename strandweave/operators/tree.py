@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import broadcast_if_small, place_within
+from .common import broadcast_if_small, durable, place_within
+
+#: Values below one path that a task can sort by the way.
+LARGE = 1_000_000
 
 
 def complete(columns: Sequence[str]) -> Column:
@@ -28,12 +32,20 @@ def tree_counts(values: DataFrame, value: Sequence[str], parents: Sequence[str]
 def value_ids(counts: DataFrame, value: Sequence[str], parents: Sequence[str] = (), sample: str | None = None, per_sample: bool = False) -> DataFrame:
     """`counts` with id: from 0 by descending count, of equals by value (then by sample), for each path of ancestors.
 
-    Without parents the ids run over all samples together, unless `per_sample`: then equal values of two samples have ids of their own. Ids come from range partitions over all paths, so that no task
-    gets all children of one parent, nor all global values.
+    Without parents the ids run over all samples together, unless `per_sample`: then equal values of two samples have ids of their own. Global ids, and those below a path with more than LARGE values,
+    come from range partitions, so that no task gets all of them; those of other paths from a window over the path.
     """
     keys = [*([sample] if sample and (parents or per_sample) else []), *parents]
-    ties = [*value, *([sample] if sample and sample not in keys else [])]
-    return place_within(counts, keys, [F.desc("n"), *[F.col(t) for t in ties]], "id")
+    order = [F.desc("n"), *[F.col(t) for t in [*value, *([sample] if sample and sample not in keys else [])]]]
+    if not keys:
+        return place_within(counts, keys, order, "id")
+    counts = durable(counts)
+    large = durable(counts.groupBy(*keys).agg(F.count("*").alias("_values")).where(F.col("_values") > LARGE).select(*keys))
+    number = lambda rows: rows.withColumn("id", (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+    if large.isEmpty():
+        return number(counts)
+    large = broadcast_if_small(large)
+    return number(counts.join(large, keys, "left_anti")).unionByName(place_within(counts.join(large, keys, "left_semi"), keys, order, "id"))
 
 
 def size_info(ids: DataFrame, parents: Sequence[str] = (), sample: str | None = None) -> DataFrame:

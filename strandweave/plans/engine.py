@@ -102,7 +102,7 @@ class Pipeline:
 
     def rank_curves(self) -> DataFrame:
         """(sample, segment, seq, n, rank, log_rank) of every corrected segment: what a rank-count plot shows."""
-        return rank_counts(self.counts(), by=["sample", "segment"])
+        return rank_counts(self.counts(), by=["sample", "segment"], stored=True)
 
     def correction_map(self, segment: str) -> DataFrame | None:
         """(sample, raw, clean) of a corrected segment, None for others. Samples are corrected apart, but all at once."""
@@ -111,7 +111,7 @@ class Pipeline:
             self._maps[segment] = None
             if lineage.corrected:
                 counts = self.counts().where((F.col("segment") == segment) & F.col("sample").isNotNull()).select("sample", "seq", "n")
-                self._maps[segment] = durable(self._map_of(segment, lineage, counts).select("sample", "raw", "clean"))  # joined by every job that needs the clean table
+                self._maps[segment] = self._map_of(segment, lineage, counts).select("sample", "raw", "clean")
         return self._maps[segment]
 
     def _map_of(self, segment: str, lineage: Lineage, counts: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ class Pipeline:
     def _value2seq(self, rows: DataFrame, combined: DataFrame, a: Assignment, k: int) -> DataFrame:
         group = self._group(a)
         ids, path = self.value_ids(group, combined)
-        ids = durable(ids)  # the level of the tree is counted once, then sized and joined
+        ids = durable(ids)  # the level of the tree is numbered once, then sized and joined
         size = tree.size_info(ids, path, "sample" if path else None).agg(F.max("size")).first()[0] or 0
         rows = tree.attach_ids(rows, ids, [f"clean_{s}" for s in group], path, "sample", f"id{k}")
         references = []

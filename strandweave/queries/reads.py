@@ -193,7 +193,7 @@ def value2seq_iupac(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value2seq_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to combinations of two references, in plain order; ids beyond their product have none."""
     ids = value_tree_local(spark, sf_dir).select("cb", "umi", "id")
-    names = lambda t, c: dense_rank_all(table(spark, sf_dir, t).select(F.col(c).alias("seq")), [F.col("seq")], "id")
+    names = lambda t, c: dense_rank_all(table(spark, sf_dir, t).select(F.col(c).alias("seq")), [F.col("seq")], "id", stored=True)
     a, b = names("region", "r_name"), names("nation", "n_name")
     return assign.assign_sequences(ids, "id", [("dest1", a, 5), ("dest2", b, 25)])
 
@@ -231,7 +231,7 @@ def read_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mates(spark: SparkSession, sf_dir: str, read: str, order: Column) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     key = F.concat(F.lit(f"{read}-"), F.col("o_orderkey").cast("string"))
-    r = dense_rank_all(o, [order], "row_idx")
+    r = dense_rank_all(o, [order], "row_idx", stored=True)
     return r.select(F.lit(0).alias("file_idx"), "row_idx", F.concat(F.lit("@"), key).alias("header"), dna(key).alias("seq"), quality(key).alias("qual"))
 
 
@@ -518,7 +518,7 @@ ring AS (SELECT max(d2) AS d2 FROM dd WHERE d2 < (SELECT min(d2) FROM dd) * 2.25
 e AS (SELECT bead, x * r AS x, y * r AS y FROM s, rate), eb AS (SELECT min(x) AS x0, min(y) AS y0 FROM e), db AS (SELECT min(x) AS x0, min(y) AS y0 FROM d),
 m AS (SELECT spot, x - (db.x0 - eb.x0) AS x, y - (db.y0 - eb.y0) AS y FROM d, db, eb), mb AS (SELECT min(x) AS x0, max(x) - min(x) AS w, min(y) AS y0, max(y) - min(y) AS h FROM m),
 lx AS (SELECT list_sort(list(x)) AS xs FROM m, mb WHERE m.y < mb.y0 + 5), bl AS (SELECT (xs[2] - xs[1]) / 2 AS blank FROM lx),
-t AS (SELECT bead, x, y, CAST(floor((x - x0) / w) AS BIGINT) AS tx, CAST(floor((y - y0) / h) AS BIGINT) AS ty FROM (SELECT e.*, eb.x0, eb.y0, w, h FROM e, eb, mb)),
+t AS (SELECT bead, x, y, CAST(CASE WHEN w > 0 THEN floor((x - x0) / w) ELSE 0 END AS BIGINT) AS tx, CAST(CASE WHEN h > 0 THEN floor((y - y0) / h) ELSE 0 END AS BIGINT) AS ty FROM (SELECT e.*, eb.x0, eb.y0, w, h FROM e, eb, mb)),
 u AS (SELECT bead, tx, ty, CASE WHEN tx = 0 THEN x ELSE x - (w * tx + blank) END AS x, CASE WHEN ty = 0 THEN y ELSE y - (h * ty + blank) END AS y FROM t, mb, bl)
 SELECT bead, tx, ty, spot FROM (SELECT u.bead, tx, ty, spot, row_number() OVER (PARTITION BY u.bead ORDER BY (u.x - m.x) * (u.x - m.x) + (u.y - m.y) * (u.y - m.y), spot) AS o FROM u, m) WHERE o = 1""",
     "spatial_tiles": """WITH s AS (SELECT s_suppkey * 37 % 101 * 3072.0::DOUBLE AS x, s_suppkey * 53 % 103 * 128.0::DOUBLE AS y FROM supplier), b AS (SELECT min(x) AS x0, min(y) AS y0 FROM s),
