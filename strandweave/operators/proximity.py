@@ -50,7 +50,7 @@ def _reach(left: Column, bottom: Column, side: float, radius: float) -> tuple[Co
 def disc_covers(p: DataFrame, radius: float, side: float) -> tuple[DataFrame, DataFrame]:
     """(covers, members) of points (g, p, x, y, cx, cy: the cell of the given side).
 
-    covers: a row for each point's half disc (the cells after its own) and each cell there that holds points: g, cx, cy, sub, salt, p, x, y, interior, own. members: the points by
+    covers: a row for each point's half disc (its own cell and those after it) and each cell there that holds other points: g, cx, cy, sub, salt, p, x, y, interior, own. members: the points by
     the same cells. A disc is sent to the tiles it meets, learns there which cells are occupied, and descends to them alone; empty cells get no row.
     """
     bit = lambda cx, cy: ((cx - F.floor(cx / TILE) * TILE) * TILE + cy - F.floor(cy / TILE) * TILE).cast("int")
@@ -60,6 +60,7 @@ def disc_covers(p: DataFrame, radius: float, side: float) -> tuple[DataFrame, Da
     tiles = durable(
         cells.groupBy("g", "tx", "ty").agg(
             F.expr("bit_or(shiftleft(1L, bit))").alias("occupied"),
+            F.expr("bit_or(CASE WHEN n > 1 THEN shiftleft(1L, bit) ELSE 0L END)").alias("shared"),
             F.collect_list(F.when(F.col("n") > CROWDED, F.struct("bit", blocks, "cx", "cy"))).alias("crowded"),  # at most TILE x TILE of them
         )
     )
@@ -78,7 +79,7 @@ def disc_covers(p: DataFrame, radius: float, side: float) -> tuple[DataFrame, Da
     discs = p.select("g", "p", "x", "y", F.col("cx").alias("own_x"), F.col("cy").alias("own_y"), at("x", radius).alias("right"), at("y", -radius).alias("bottom"), at("y", radius).alias("top"))
     sent = discs.withColumn("tx", F.explode(F.sequence(tile("own_x"), tile("right")))).withColumn("ty", F.explode(F.sequence(tile("bottom"), tile("top"))))
     sent = sent.where(_reach(F.col("tx") * TILE * side - F.col("x"), F.col("ty") * TILE * side - F.col("y"), TILE * side, radius)[0])
-    met = sent.join(broadcast_if_small(tiles.select("g", "tx", "ty", "occupied", F.transform("crowded", lambda c: F.struct(c.bit, c.blocks)).alias("crowded"))), ["g", "tx", "ty"])
+    met = sent.join(broadcast_if_small(tiles.select("g", "tx", "ty", "occupied", "shared", F.transform("crowded", lambda c: F.struct(c.bit, c.blocks)).alias("crowded"))), ["g", "tx", "ty"])
 
     first, last = F.greatest(F.col("tx") * TILE, F.col("own_x")), F.least(F.col("tx") * TILE + TILE - 1, F.col("right"))
     met = met.withColumn("cx", F.explode(F.sequence(first, last)))
@@ -86,7 +87,9 @@ def disc_covers(p: DataFrame, radius: float, side: float) -> tuple[DataFrame, Da
     high = F.least(F.col("ty") * TILE + TILE - 1, F.col("top"))
     met = met.withColumn("cy", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("bit", bit(F.col("cx"), F.col("cy")))
     meets, interior = _reach(F.col("cx") * side - F.col("x"), F.col("cy") * side - F.col("y"), side, radius)
-    met = met.where((F.getbit(F.col("occupied"), F.col("bit")) == 1) & meets).withColumns({"interior": interior, "own": (F.col("cx") == F.col("own_x")) & (F.col("cy") == F.col("own_y"))})
+    own = (F.col("cx") == F.col("own_x")) & (F.col("cy") == F.col("own_y"))
+    # A point's own cell holds it; there must be another.
+    met = met.where((F.getbit(F.when(own, F.col("shared")).otherwise(F.col("occupied")), F.col("bit")) == 1) & meets).withColumns({"interior": interior, "own": own})
     # A crowded cell becomes FINE x FINE cells (sub) times its blocks (salt).
     met = met.withColumn("blocks", F.when(F.size("crowded") > 0, F.get(F.filter("crowded", lambda c: c.bit == F.col("bit")), F.lit(0))["blocks"]))
     lone = F.col("blocks").isNull()
