@@ -194,12 +194,12 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], x:
     """(keys..., region): each point with each region that contains it. `regions` has region, vertices (array of struct<x,y>) and, if `group` is given, that column, which must agree.
 
     Points without a place and regions of fewer than three vertices match nothing. A region is covered by at most about `most_cells` cells, so the
-    coverage grows with the regions and not with the points; both sides may be of any size. Repeated rows of points come out as often as they are. Regions of one name are regions of
+    coverage grows with the regions and not with the points; both sides may be of any size. A small coverage is broadcast, and points are not sent at all. Repeated rows of points come out as often as they are. Regions of one name are regions of
     their own: each that contains a point gives a row; equal rows of regions count once.
     """
     own = F.col(group) if group else F.lit(0)
     shape = regions.select(F.col(region).alias("r"), own.alias("rg"), F.col(vertices).cast("array<struct<x:double,y:double>>").alias("v")).distinct()
-    shape = shape.withColumn("id", F.md5(F.to_json(F.struct("r", "rg", "v"))))  # regions of one name are told apart
+    shape = durable(shape.withColumn("id", F.md5(F.to_json(F.struct("r", "rg", "v")))))  # regions of one name are told apart
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -216,12 +216,13 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], x:
             yield cells
 
     kinds = dict(shape.dtypes)
-    cells = shape.mapInPandas(cover, f"level int, cx bigint, cy bigint, interior boolean, r {kinds['r']}, rg {kinds['rg']}, id string")
+    spread = shape.repartition(shape.sparkSession.sparkContext.defaultParallelism, "id")  # few bytes, but much to compute
+    cells = durable(spread.mapInPandas(cover, f"level int, cx bigint, cy bigint, interior boolean, r {kinds['r']}, rg {kinds['rg']}, id string"))
     levels = [row.level for row in cells.select("level").distinct().collect()]  # one number for each size of cell in use, at most about a hundred
     p = points.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], (F.col(group) if group else F.lit(0)).alias("pg"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where(located(F.col("px"), F.col("py")))
     side = F.pow(F.lit(2.0), F.col("level"))
     p = p.withColumn("level", F.explode(F.array(*[F.lit(v).cast("int") for v in levels]).cast("array<int>"))).withColumns({"cx": F.floor(F.col("px") / side), "cy": F.floor(F.col("py") / side)})
-    candidates = p.join(cells.withColumnRenamed("rg", "pg"), ["pg", "level", "cx", "cy"])
+    candidates = p.join(broadcast_if_small(cells.withColumnRenamed("rg", "pg")), ["pg", "level", "cx", "cy"])
     names = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
     sure = candidates.where("interior").select(*names, F.col("r").alias(region))
     outlines = shape.where("v is not null").select("id", "v")
