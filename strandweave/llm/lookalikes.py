@@ -121,6 +121,11 @@ def _following() -> frozenset[str]:
     return frozenset(out)
 
 
+def changing() -> list[int]:
+    """The code points whose canonical form is another text."""
+    return [cp for cp in _ASSIGNED if not 0xD800 <= cp < 0xE000 and canonical(chr(cp)) != chr(cp)]
+
+
 def _class(cps: list[int]) -> str:
     """A regular expression's class body of code points, as ranges."""
     out, start, last = [], None, None

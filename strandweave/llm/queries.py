@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.common import broadcast_if_small, clean_value, durable, table
 from .boundary_split import cut_rows, row_blocks, row_counts, row_valleys, split_texts
 from .encoding import encode_texts
-from .lookalikes import canonical_column, look_classes, same_looking_pairs
+from .lookalikes import canonical, canonical_column, changing, look_classes, same_looking_pairs
 from .packing import balance, pack_items
 from .term_counts import ngram_counts, value_counts
 from .top_items import most_frequent
@@ -129,8 +129,27 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_text_pieces, p4_found, p4_ngrams, p5_found, p6_ids, p7_packed, p7_balance, p8_found, p8_classes, p8_canonical)}
 
+def _look(text: str) -> str:
+    """SQL of the canonical form: each character that changes alone is replaced by what it becomes, then all is composed. (Segments, their context and their splicing are the operator's own.)"""
+    one, gone, several = {}, [], {}
+    for cp in changing():
+        form = canonical(chr(cp))
+        if len(form) == 1:
+            one[chr(cp)] = form
+        elif form:
+            several[chr(cp)] = form
+        else:
+            gone.append(chr(cp))
+    sql = text
+    for c, form in several.items():
+        sql = f"replace({sql}, '{c}', '{form}')"
+    made = "".join(one.values()).replace("'", "''")
+    return f"nfc_normalize(translate({sql}, '{''.join([*one, *gone])}', '{made}'))"
+
+
 _HELD = """d AS (SELECT *, CASE WHEN row_id IS NULL THEN row_number() OVER () END AS own FROM seqcountsummary),
 s AS (SELECT * FROM (SELECT run_id, segment, chunk, nullif(upper(trim(seq, ' \t')), '-') AS seq, seq_count, row_number() OVER (PARTITION BY row_id, own ORDER BY loaded_at DESC) AS o FROM d) WHERE o = 1 AND seq IS NOT NULL AND seq <> '')"""
+_LOOKS = f"d AS (SELECT doc_id, text, {_look('text')} AS look FROM documents)"
 
 SQL = {
     "p2_found": r"""WITH RECURSIVE q AS (SELECT DISTINCT run_id, CASE WHEN trim(coalesce(num_reads, ''), ' \t') = '' THEN 2000000 ELSE CAST(CAST(regexp_replace(num_reads, '[\s,_]', '', 'g') AS DOUBLE) AS BIGINT) END AS l, coalesce(overlap_reads, 0) AS o FROM qsub),
@@ -152,5 +171,8 @@ SELECT run_id, segment, seq, 'rare' AS mark FROM j WHERE cf < coalesce(min_num_r
 g AS (SELECT doc_id, n, array_to_string(t[i:i + n - 1], ' ') AS ngram FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w), (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(t)),
 c AS (SELECT ngram, n, count(*) AS cf, count(DISTINCT doc_id) AS df, count(*) < 5 AS rare, count(DISTINCT doc_id) * 10 > (SELECT count(*) FROM w) AS common FROM g GROUP BY ngram, n)
 SELECT ngram, n, cf, df, 'rare' AS mark FROM c WHERE rare UNION ALL SELECT ngram, n, cf, df, 'common' AS mark FROM c WHERE common UNION ALL SELECT ngram, n, cf, df, 'kept' AS mark FROM c WHERE NOT rare AND NOT common""",
+    "p8_found": f"WITH {_LOOKS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p8_classes": f"WITH {_LOOKS} SELECT doc_id, upper(sha256(look)) AS look FROM d WHERE look IN (SELECT look FROM d GROUP BY look HAVING count(DISTINCT text) > 1)",
+    "p8_canonical": f"WITH {_LOOKS} SELECT doc_id, look AS canonical, text <> look AS changed FROM d",
     "p5_found": f"""WITH {_HELD} SELECT segment, seq FROM (SELECT segment, seq, row_number() OVER (PARTITION BY segment ORDER BY sum(seq_count) DESC, seq) AS o FROM s WHERE segment IS NOT NULL GROUP BY segment, seq) WHERE o <= 20""",
 }

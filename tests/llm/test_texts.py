@@ -193,3 +193,17 @@ def test_pairs_match_brute_force(spark):
             looks.setdefault(canonical(t), []).append(i)
     assert len(rows) == len({r.doc_id for r in rows}) and {frozenset(v) for v in classes.values()} == {frozenset(v) for v in looks.values() if len({texts[i] for i in v}) > 1}
     assert [r.c for r in df.select("doc_id", canonical_column(F.col("text")).alias("c")).orderBy("doc_id").collect()] == [None if t is None else canonical(t) for t in texts]
+
+
+def test_sql_of_the_canonical_form():
+    duckdb = pytest.importorskip("duckdb")
+    from strandweave.llm.queries import _look
+
+    rng = random.Random(9)
+    pool = ["a", "e", "'", " ", "\n", "́", "̈", "​", "\xad", "\xe9", "е", "и", "й", "　", "＇", "ａ", "ℝ", "\U0001d400", "Ⅰ", "Ⅱ", "ﬁ", "‑", "ｶ", "ﾞ", "가", "ᆨ", "אָ", "क़", "ꓐ", "Ⲟ", "²"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 14))) for _ in range(1500)] + [a for pair in SAME + DIFFERENT for a in pair]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    got = dict(con.execute(f"SELECT i, {_look('text')} FROM t").fetchall())
+    assert [t for i, t in enumerate(texts) if got[i] != canonical(t)] == []
