@@ -36,6 +36,12 @@ def barcode(supplier: str) -> Column:
     return F.substring(dna(F.col(supplier).cast("string")), 1, 8)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if they come in fewer files than there are cores (a small table is one row group, and so one task); tables of many files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def synthetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(header, seq, qual, cb, umi, raw, l_linenumber, sample): a read of each lineitem; raw is its barcode with a planted error."""
     part = F.col("p_partkey").cast("string")
@@ -43,7 +49,8 @@ def synthetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), barcode("s_suppkey").alias("cb"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring(dna(F.concat(F.lit("u"), part)), 1, 6).alias("umi"), F.substring(dna(F.concat(F.lit("c"), part)), 1, 20).alias("insert"))
     k = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    r = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_suppkey", "l_partkey", k.alias("k"), F.col("l_returnflag").alias("sample"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag"))
+    r = lines.select("l_linenumber", "l_suppkey", "l_partkey", k.alias("k"), F.col("l_returnflag").alias("sample"))
     r = r.join(broadcast_if_small(suppliers), "l_suppkey").join(broadcast_if_small(parts), "l_partkey").withColumn("q", quality(F.col("k")))
     cb, n = F.col("cb"), F.col("l_linenumber")
     raw = F.when(n == 1, F.concat(F.lit("A"), F.substring(cb, 2, 9))).when(n == 2, F.substring(cb, 2, 9)).when(n == 3, F.concat(cb, F.lit("T"))).when(n == 4, F.concat(F.substring(cb, 2, 1), F.substring(cb, 1, 1), F.substring(cb, 3, 9))).otherwise(cb)
@@ -328,7 +335,7 @@ def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     place 50. 3: the mate is of another molecule, and the pair must not merge. Where reads agree the better quality holds, where not the difference (at least 2)."""
     key = F.col("o_orderkey")
     strand = lambda salt: dna(F.concat(F.lit(salt), key.cast("string")))
-    o = table(spark, sf_dir, "orders").select((key % 4).alias("kind"), F.concat(F.lit("@"), key.cast("string")).alias("header"), F.concat(strand(""), strand("x"), strand("y")).alias("molecule"), F.concat(strand("p"), strand("q"), strand("z")).alias("other"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select((key % 4).alias("kind"), F.concat(F.lit("@"), key.cast("string")).alias("header"), F.concat(strand(""), strand("x"), strand("y")).alias("molecule"), F.concat(strand("p"), strand("q"), strand("z")).alias("other"))
     wrong = lambda place: F.concat(F.substring("molecule", 1, place - 1), F.translate(F.substring("molecule", place, 1), "ACGT", "CATG"), F.substring("molecule", place + 1, 96))
     first = F.substring(F.when(F.col("kind") == 1, wrong(40)).otherwise(F.col("molecule")), 1, 60)
     second = F.reverse(F.translate(F.substring(F.when(F.col("kind") == 2, wrong(50)).when(F.col("kind") == 3, F.col("other")).otherwise(F.col("molecule")), 37, 60), "ACGT", "TGCA"))
